@@ -16,6 +16,11 @@ from siegelog.operators.rollups import Rollups
 from siegelog.sources.logs import enrich
 
 
+# The functions below are cached per session and folder: a plan is made once, as
+# a view would be. No data is cached.
+
+
+@lru_cache(maxsize=None)
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -29,6 +34,7 @@ def _address(number: Column) -> Column:
     )
 
 
+@lru_cache(maxsize=None)
 def raw_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     ts, user = F.col("ts"), F.col("user_id")
     k = F.get_json_object("props", "$.k").cast("bigint")
@@ -50,6 +56,7 @@ def raw_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@lru_cache(maxsize=None)
 def lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     key, nation = F.col("c_custkey"), F.col("n_nationkey")
     network = (key % 7).cast("string")
@@ -82,14 +89,17 @@ def lookup_bound(spark: SparkSession, sf_dir: str) -> int:
     return table(spark, sf_dir, "customer").count()
 
 
+@lru_cache(maxsize=None)
 def attacks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrich(raw_log(spark, sf_dir), lookup(spark, sf_dir), lookup_bound(spark, sf_dir))
 
 
+@lru_cache(maxsize=None)
 def rollups(spark: SparkSession, sf_dir: str) -> Rollups:
     return Rollups.of(attacks(spark, sf_dir))
 
 
+@lru_cache(maxsize=None)
 def raw_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole events table as a raw text log, with defects of real logs in it."""
     ts, number = F.col("ts"), F.col("event_id")

@@ -96,11 +96,12 @@ def _before_partition(rows: DataFrame, weight: Column) -> DataFrame:
 
 def _partitions(df: DataFrame) -> int:
     """Bound of the partition count of a sorted frame."""
-    names = (
-        "spark.sql.shuffle.partitions",
-        "spark.sql.adaptive.coalescePartitions.initialPartitionNum",
+    conf = df.sparkSession.conf
+    shuffled = conf.get("spark.sql.shuffle.partitions")
+    return max(
+        int(shuffled),
+        int(conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", shuffled)),
     )
-    return max(int(df.sparkSession.conf.get(name, "0") or 0) for name in names)
 
 
 def with_position(df: DataFrame, order: list[Column]) -> DataFrame:
