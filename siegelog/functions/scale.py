@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # A side is broadcast only when it is known to have at most this many rows.
@@ -27,6 +27,17 @@ def has_at_most(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def sort_result(df: DataFrame, rows: int | None, *order: Column | str) -> DataFrame:
+    """Sort a final result; ``rows`` is a proven upper bound of its size, if known.
+
+    A small result is sorted in one task, which saves the sampling job of a
+    distributed sort.
+    """
+    if rows is not None and rows <= BROADCAST_ROWS:
+        return df.repartition(1).sortWithinPartitions(*order)
+    return df.orderBy(*order)
+
+
 def reliable_checkpoint(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the folder shared by the cluster.
 

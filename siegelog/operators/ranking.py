@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siegelog.functions.scale import broadcast_if_bounded, reliable_checkpoint
+from siegelog.functions.scale import broadcast_if_bounded, has_at_most, reliable_checkpoint
 from siegelog.operators.joins import heavy_key_join
 from siegelog.schema import ENTITY
 
@@ -18,8 +18,8 @@ ASCENDING = ("first_seen", *ENTITY.values())
 
 PAGE_SIZES = (25, 50, 100, 250)
 
-# Up to this many rows a page is taken from the head of the sort; a page that
-# starts deeper is cut from distributed positions.
+# A slice that ends within this many rows is taken from the head of the sort, by
+# one task; a deeper one is cut from distributed positions.
 HEAD_ROWS = 100_000
 
 # Columns of one value of one metric, in rank order.
@@ -46,19 +46,27 @@ def sort_by(df: DataFrame, metric: str, desc: bool = True, key: str | None = Non
     return df.orderBy(order, *([F.asc(key)] if key else []))
 
 
+def rows_from(df: DataFrame, order: list[Column], offset: int, n: int | None) -> DataFrame:
+    """``n`` rows (None: all) of a total order, after the first ``offset``."""
+    if n is not None and offset + n <= HEAD_ROWS:
+        rows = df.orderBy(*order)
+        return (rows.offset(offset) if offset else rows).limit(n)
+    if n is None and not offset:
+        return df
+    place = F.col("position")
+    wanted = place > offset if n is None else place.between(offset + 1, offset + n)
+    return with_position(df, order).filter(wanted).drop("position")
+
+
 def page(df: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:
     """Page ``number`` (from 1) of ``size`` rows, with ``position`` in the whole list.
 
     ``order`` must be a total order.
     """
     skipped = (number - 1) * size
-    if skipped + size > HEAD_ROWS:
-        placed = with_position(df, order)
-        return placed.filter((F.col("position") > skipped) & (F.col("position") <= skipped + size))
-    rows = df.orderBy(*order).offset(skipped).limit(size)
     # At most ``size`` rows reach this window.
-    place = F.row_number().over(Window.orderBy(*order))
-    return rows.withColumn("position", place.cast("bigint") + F.lit(skipped).cast("bigint"))
+    place = F.row_number().over(Window.orderBy(*order)).cast("bigint")
+    return rows_from(df, order, skipped, size).withColumn("position", place + F.lit(skipped))
 
 
 def page_count(df: DataFrame, size: int) -> DataFrame:
@@ -120,9 +128,13 @@ def ranks(df: DataFrame, key: str, metrics: list[str]) -> DataFrame:
 
     Rows are counted per distinct value, the values are sorted over all
     partitions, and running counts give the rank of a value: 1 + rows before
-    it. Frequent values are looked up by broadcast, see ``heavy_key_join``.
+    it. Frequent values are looked up by broadcast, see ``heavy_key_join``. A
+    list that is known to be small is ranked by a window instead.
     """
     long = _long(df, key, metrics)
+    if has_at_most(df):
+        order = Window.partitionBy("metric").orderBy(*VALUE[1:])
+        return long.select(key, "metric", F.rank().over(order).cast("bigint").alias("rank"))
     counted = long.groupBy(*VALUE).agg(F.count("*").alias("rows"))
     rows = _numbered(counted, [F.asc(c) for c in VALUE])
     offsets = _before_partition(rows, F.col("rows"))

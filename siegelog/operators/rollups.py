@@ -7,6 +7,7 @@ derived on the fly, or written once and read back.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, fields
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -98,34 +99,62 @@ def _seen() -> list[Column]:
     return [F.min("datetime").alias("first_seen"), F.max("datetime").alias("last_seen")]
 
 
+def _merged_seen() -> list[Column]:
+    return [F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen")]
+
+
 def country_stats(attacks: DataFrame) -> DataFrame:
-    return (
+    """Totals, distinct counts, labels and mean position per country.
+
+    The log is first counted by all text columns: the least of a text is not
+    hash-aggregated by Spark, so labels are chosen among few rows only.
+    """
+    counted = (
         attacks.filter(X.present("country"))
-        .groupBy(_key("country"))
+        .groupBy(*[_key(c) for c in ("country", "country_code", "continent", "ip", "username")])
         .agg(
-            F.min("country_code").alias("country_code"),
-            F.min("continent").alias("continent"),
-            F.count("*").alias("total_attacks"),
-            F.count_distinct("ip").alias("unique_ips"),
-            F.count_distinct("username").alias("unique_usernames"),
+            F.count("*").alias("attacks"),
             *_seen(),
-            F.avg("latitude").alias("avg_latitude"),
-            F.avg("longitude").alias("avg_longitude"),
+            *[
+                how(c).alias(f"{name}_{c}")
+                for c in ("latitude", "longitude")
+                for name, how in (("sum", F.sum), ("count", F.count))
+            ],
         )
     )
 
+    def mean(c: str) -> Column:
+        count = F.sum(f"count_{c}")
+        return F.when(count > 0, F.sum(f"sum_{c}") / count).alias(f"avg_{c}")
+
+    return counted.groupBy("country").agg(
+        F.min("country_code").alias("country_code"),
+        F.min("continent").alias("continent"),
+        F.sum("attacks").alias("total_attacks"),
+        F.count_distinct("ip").alias("unique_ips"),
+        F.count_distinct("username").alias("unique_usernames"),
+        *_merged_seen(),
+        mean("latitude"),
+        mean("longitude"),
+    )
+
 
 def top_ips(attacks: DataFrame, limit: int | None = 10_000) -> DataFrame:
+    """Totals per address; counted by all text columns first, as ``country_stats``."""
+    counted = attacks.groupBy(
+        *[_key(c) for c in ("ip", "country", "asn", "asn_name", "username")]
+    ).agg(F.count("*").alias("attacks"), *_seen())
+
     def label(name: str) -> Column:
         return F.min(F.coalesce(F.col(name), F.lit("Unknown"))).alias(name)
 
-    totals = attacks.groupBy(_key("ip")).agg(
+    totals = counted.groupBy("ip").agg(
         label("country"),
         label("asn"),
         label("asn_name"),
-        F.count("*").alias("attack_count"),
+        F.sum("attacks").alias("attack_count"),
         F.count_distinct("username").alias("unique_usernames"),
-        *_seen(),
+        *_merged_seen(),
     )
     return _largest(totals, "attack_count", "ip", limit)
 
@@ -150,12 +179,33 @@ def _largest(df: DataFrame, metric: str, key: str, limit: int | None) -> DataFra
     return df if limit is None else df.orderBy(F.desc(metric), F.asc(key)).limit(limit)
 
 
+# Text columns whose distinct values a sketch counts.
+SKETCHED = {"ips": "ip", "countries": "country", "usernames": "username"}
+
+
+def daily_sketches(attacks: DataFrame) -> DataFrame:
+    """Daily statistics that can be merged: distinct counts as HyperLogLog sketches."""
+    return attacks.groupBy(_day()).agg(
+        F.count("*").alias("total_attacks"),
+        *[F.hll_sketch_agg(c).alias(f"sketch_{name}") for name, c in SKETCHED.items()],
+    )
+
+
+def estimates(sketches: DataFrame) -> DataFrame:
+    """``daily_stats`` from sketches; the distinct counts are approximate."""
+    return sketches.select(
+        "date",
+        "total_attacks",
+        *[F.hll_sketch_estimate(f"sketch_{name}").alias(f"unique_{name}") for name in SKETCHED],
+    )
+
+
 def merge_rollups(*parts: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """Add up partial rollups, such as one per file or per day of arrival.
 
     Columns beside the keys are merged by name: ``first_seen`` takes the least,
-    ``last_seen`` the greatest, counts are summed. Distinct counts cannot be
-    merged exactly and are refused.
+    ``last_seen`` the greatest, sketches are united, counts are summed. Plain
+    distinct counts cannot be merged and are refused.
     """
     merged = parts[0]
     for part in parts[1:]:
@@ -165,6 +215,7 @@ def merge_rollups(*parts: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     if inexact:
         raise ValueError(f"cannot merge {inexact}: rebuild them from the base rollup")
     how = {"first_seen": F.min, "last_seen": F.max}
+    how.update({f"sketch_{name}": F.hll_union_agg for name in SKETCHED})
     return merged.groupBy(*keys).agg(*[how.get(c, F.sum)(c).alias(c) for c in measures])
 
 
@@ -223,15 +274,23 @@ class Rollups:
         base_path = f"{path}/daily_base"
         _store(base, base_path, by_day, ("ip", "username"))
         base = spark.read.parquet(base_path)
-        _store(daily_stats_from_base(base), f"{path}/daily_stats", (), ("date",))
-        _store(daily_from_base(base, "country"), f"{path}/daily_country", (), ("date", "country"))
+        tables = [("stats", daily_stats_from_base(base), (), ("date",))]
+        tables.append(("country", daily_from_base(base, "country"), (), ("date", "country")))
         for table, order in (
             ("asn", ("asn_name",)),
             ("username", ("username",)),
             ("ip", ("ip",)),
             ("ip_username", ("ip", "username")),
         ):
-            _store(daily_from_base(base, table), f"{path}/daily_{table}", by_day, order)
+            tables.append((table, daily_from_base(base, table), by_day, order))
+        # The writes do not depend on each other; together they fill the cluster.
+        with ThreadPoolExecutor(len(tables)) as pool:
+            jobs = [
+                pool.submit(_store, df, f"{path}/daily_{table}", partition, order)
+                for table, df, partition, order in tables
+            ]
+            for job in jobs:
+                job.result()
         return cls.read(spark, path)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siegelog.functions import expressions as X
 from siegelog.functions.scale import broadcast_if_bounded
+from siegelog.operators.ranking import rows_from
 
 
 def totals(facts: DataFrame, entity: str) -> DataFrame:
@@ -18,13 +19,9 @@ def totals(facts: DataFrame, entity: str) -> DataFrame:
     )
 
 
-def largest(
-    facts: DataFrame, entity: str, n: int | None, offset: int = 0, metric: str = "attacks"
-) -> DataFrame:
-    """The ``n`` entities with the most attacks; ties by name."""
-    ordered = totals(facts, entity).orderBy(F.desc(metric), F.asc(entity))
-    ordered = ordered.offset(offset) if offset else ordered
-    return ordered if n is None else ordered.limit(n)
+def largest(facts: DataFrame, entity: str, n: int | None, offset: int = 0) -> DataFrame:
+    """The ``n`` entities with the most attacks, after ``offset`` others; ties by name."""
+    return rows_from(totals(facts, entity), [F.desc("attacks"), F.asc(entity)], offset, n)
 
 
 def only(facts: DataFrame, chosen: DataFrame, entity: str, n: int | None) -> DataFrame:

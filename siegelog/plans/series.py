@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siegelog.functions import expressions as X
-from siegelog.functions.dates import calendar, with_every_day
+from siegelog.functions.dates import calendar, days_between, with_every_day
+from siegelog.functions.scale import sort_result
 from siegelog.operators.rollups import Rollups
 from siegelog.operators.topn import largest, only
 from siegelog.plans.filters import Filters, route, rows_of
@@ -105,23 +106,25 @@ def series(
     rule = rule_for(RULES[dim], filters)
     table = source(rollups, dim, rule, filters)
     filled = rule.shape != STORED if fill is None else fill
+    days = days_between(filters.start, filters.end)
     if rule.table == "stats":
         table = table.select("date", F.col("total_attacks").alias("attacks"))
 
     if rule.shape == LOOKUP:
         found = address_days(table, filters)
         found = found if filled else found.filter(F.col("attacks").isNotNull())
-        return _finish(found, ["country"])
+        return _finish(found, ["country"], None)
 
     facts = rows_of(table, filters, rule.uses)
     if dim == "total":
         empty = calendar(table.sparkSession, filters.start, filters.end) if filled else None
-        return _finish(by_day(facts, empty, []), [])
+        return _finish(by_day(facts, empty, []), [], days)
 
     entity = ENTITY[dim]
     lines, facts = chosen_lines(facts, dim, rule, filters, n)
     empty = with_every_day(lines, filters.start, filters.end) if filled else None
-    return _finish(by_day(facts, empty, [entity], _label(rule, filters)), [entity])
+    count = n if rule.shape == TOP else len(getattr(filters, dim))
+    return _finish(by_day(facts, empty, [entity], _label(rule, filters)), [entity], days * count)
 
 
 def chosen_lines(
@@ -188,12 +191,13 @@ def _label(rule: Rule, filters: Filters) -> Column | None:
     return None
 
 
-def _finish(rows: DataFrame, entities: list[str]) -> DataFrame:
+def _finish(rows: DataFrame, entities: list[str], bound: int | None) -> DataFrame:
+    """Final columns and order; ``bound`` is the greatest possible number of rows."""
     columns = [X.day_text("date").alias("date"), *entities]
     if "country" in rows.columns and "country" not in entities:
         columns.append("country")
     columns.append(F.coalesce(F.col("attacks"), F.lit(0).cast("bigint")).alias("attacks"))
-    return rows.select(*columns).orderBy("date", F.desc("attacks"), *entities)
+    return sort_result(rows.select(*columns), bound, "date", F.desc("attacks"), *entities)
 
 
 def series_totals(lines: DataFrame, entity: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from siegelog.functions import expressions as X
 from siegelog.functions.dates import days_between, to_day
-from siegelog.functions.scale import broadcast_if_bounded
+from siegelog.functions.scale import broadcast_if_bounded, sort_result
 from siegelog.operators.rollups import Rollups
 from siegelog.operators.topn import largest
 from siegelog.plans.volatility import NOT_A_COUNTRY
@@ -89,7 +89,7 @@ def entity_summary(
         "active_days",
     ]
     columns += [c for c in metrics.columns if c in ("country", "asn_name", "countries") and c != entity]
-    return metrics.select(*columns).orderBy(F.desc("total_attacks"), F.asc(entity))
+    return sort_result(metrics.select(*columns), limit, F.desc("total_attacks"), F.asc(entity))
 
 
 def _metrics(start: dt.date, end: dt.date, recent_from: dt.date) -> list[Column]:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from siegelog.functions import expressions as X
-from siegelog.functions.dates import with_every_day
+from siegelog.functions.dates import days_between, with_every_day
+from siegelog.functions.scale import sort_result
 from siegelog.operators.rollups import Rollups
 from siegelog.operators.topn import largest, only
 from siegelog.plans.filters import Filters, rows_of
@@ -126,26 +127,30 @@ def volatile_series(rollups: Rollups, dim: str, filters: Filters, n: int = 10) -
     if rule.shape == LOOKUP:
         rows = address_days(table, filters)
         order = Window.partitionBy("ip").orderBy("date", "country")
-        return _with_change(rows, order, entity)
+        return _with_change(rows, order, entity, None)
 
     facts = rows_of(table, filters, rule.uses)
     if rule.shape == GIVEN:
-        lines = given_lines(facts, entity, getattr(filters, dim))
+        lines, n = given_lines(facts, entity, getattr(filters, dim)), len(getattr(filters, dim))
     else:
         pool = _real_entities(facts, dim) if not filters.given() else facts
         lines = most_volatile(pool, entity, n).select(entity)
         facts = only(facts, lines, entity, n)
     rows = by_day(facts, with_every_day(lines, filters.start, filters.end), [entity])
-    return _with_change(rows, Window.partitionBy(entity).orderBy("date"), entity)
+    order = Window.partitionBy(entity).orderBy("date")
+    return _with_change(rows, order, entity, n * days_between(filters.start, filters.end))
 
 
-def _with_change(rows: DataFrame, order: Window, entity: str) -> DataFrame:
+def _with_change(
+    rows: DataFrame, order: WindowSpec, entity: str, bound: int | None
+) -> DataFrame:
     attacks: Column = F.coalesce(F.col("attacks"), F.lit(0).cast("bigint"))
     previous = F.lag("attacks").over(order)
     change = F.coalesce(X.round_half_up(X.change_pct_or_zero(attacks, previous), 2), F.lit(0.0))
-    return rows.select(
+    series = rows.select(
         X.day_text("date").alias("date"),
         entity,
         attacks.alias("attacks"),
         change.alias("pct_change"),
-    ).orderBy("date", F.desc("attacks"), entity)
+    )
+    return sort_result(series, bound, "date", F.desc("attacks"), entity)

@@ -128,3 +128,29 @@ def test_reconcile(spark):
     assert verdict(10_000, 10_999).verdict == "match"
     assert verdict(995_000, 1_000_000).verdict == "close"
     assert tuple(verdict(900_000, 1_000_000))[1:] == (1_000_000, 900_000, 100_000, 10.0, "different")
+
+
+def test_sketches_merge(spark):
+    one = [("2024-01-01", f"1.1.1.{i}", "A", "N", "u", 1) for i in range(200)]
+    two = [("2024-01-01", f"1.1.1.{i}", "B", "N", "v", 1) for i in range(100, 250)]
+    parts = [R.daily_sketches(data.attacks(spark, rows)) for rows in (one, two)]
+    row = R.estimates(R.merge_rollups(*parts, keys=("date",))).first()
+    assert (row.total_attacks, row.unique_countries, row.unique_usernames) == (350, 2, 2)
+    assert abs(row.unique_ips - 250) <= 10
+
+
+def test_labels_are_chosen_after_hash_aggregation(fact):
+    """No plan sorts the log itself."""
+    plans = [
+        R.top_ips(fact),
+        R.country_stats(
+            fact.withColumns({"country_code": F.lit("C"), "continent": F.lit("X"),
+                              "latitude": F.lit(1.0), "longitude": F.lit(2.0)})
+        ),
+        R.username_stats(fact),
+        R.daily_stats(fact),
+    ]
+    for df in plans:
+        plan = df._jdf.queryExecution().sparkPlan().toString()
+        scan_side = [line for line in plan.splitlines() if "Aggregate" in line][-1]
+        assert "HashAggregate" in scan_side and "SortAggregate" not in scan_side

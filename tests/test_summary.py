@@ -7,6 +7,7 @@ from statistics import mode
 
 import pytest
 
+from siegelog.operators import ranking
 from siegelog.operators.rollups import Rollups
 from siegelog.plans import summary
 from tests import data
@@ -105,6 +106,16 @@ def test_order_and_pages(many):
     assert len(summary.entity_summary(r, "country", START, END, limit=3).collect()) == 3
 
 
+def test_deep_pages(many, monkeypatch):
+    """A page beyond the head of the sort is cut from positions."""
+    _, r = many
+    everything = summary.entity_summary(r, "ip", START, END, limit=None).collect()
+    monkeypatch.setattr(ranking, "HEAD_ROWS", 10)
+    page = summary.entity_summary(r, "ip", START, END, limit=20, offset=100).collect()
+    assert page == everything[100:120]
+    assert summary.entity_summary(r, "ip", START, END, limit=None, offset=150).collect() == everything[150:]
+
+
 def test_labels_of_addresses_and_usernames(spark):
     rows = [
         ("2024-01-03", "x", "B", "N2", "u", 9),
