@@ -20,6 +20,8 @@ from demo.settings import (
     RANK_METRICS,
     START,
     USERNAME,
+    WIDE_END,
+    WIDE_START,
 )
 from siegelog.functions import expressions as X
 from siegelog.operators import ranking, rollups, sets, topn
@@ -160,7 +162,46 @@ def _asns_of_countries(r: Rollups) -> DataFrame:
     return reports.networks_of_countries(r, filters(), chosen, 10, networks=5)
 
 
+def on_wide(build: Callable[[Rollups], DataFrame]) -> Query:
+    return lambda spark, sf_dir: build(mapping.wide_rollups(spark, sf_dir))
+
+
+def wide_queries() -> dict[str, Query]:
+    """Some of the queries over the log of many years, where most days are gaps."""
+    period = Filters.of(WIDE_START, WIDE_END)
+
+    def lines(dim: str) -> Query:
+        return on_wide(lambda r: S.series(r, dim, period))
+
+    def entities(dim: str) -> Query:
+        return on_wide(lambda r: summary.entity_summary(r, dim, WIDE_START, WIDE_END))
+
+    return {
+        "daily_stats": on_wide(lambda r: dated(r.stats)),
+        "daily_ip": on_wide(lambda r: dated(r.ip)),
+        "total_series": lines("total"),
+        "country_series": lines("country"),
+        "ip_series": lines("ip"),
+        "username_series": lines("username"),
+        "asn_series": lines("asn"),
+        "volatile_ip": on_wide(lambda r: volatility.volatility_summary(r, "ip")),
+        "unusual_countries": on_wide(lambda r: volatility.volatile_series(r, "country", period)),
+        "country_summary": entities("country"),
+        "asn_summary": entities("asn"),
+        "ip_summary": entities("ip"),
+        "username_summary": entities("username"),
+        "volume_vs_volatility": on_wide(
+            lambda r: reports.volume_vs_volatility(r, "country", period)
+        ),
+    }
+
+
 def queries() -> dict[str, Query]:
+    wide = {f"wide_{key}": query for key, query in wide_queries().items()}
+    return {**log_queries(), **wide}
+
+
+def log_queries() -> dict[str, Query]:
     stats = on_rollups
     return {
         "country_series": series("country"),

@@ -124,3 +124,36 @@ def raw_text(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_type").alias("Tag"),
         F.col("props").alias("Message"),
     )
+
+
+def _supplier_address(key: Column) -> Column:
+    return F.concat(F.lit("10.1."), F.floor(key / 256).cast("string"), F.lit("."), (key % 256).cast("string"))
+
+
+@lru_cache(maxsize=None)
+def wide_attacks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log of many years: ``lineitem`` by ship date, ``supplier`` as its lookup."""
+    log = table(spark, sf_dir, "lineitem").select(
+        F.col("l_shipdate").alias("datetime"),
+        _supplier_address(F.col("l_suppkey")).alias("ip"),
+        F.concat("l_returnflag", "l_linestatus").alias("username"),
+    )
+    key = F.col("s_suppkey")
+    network = (key % 7).cast("string")
+    suppliers = (
+        table(spark, sf_dir, "supplier")
+        .filter(key % 10 != 9)
+        .join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+        .select(
+            _supplier_address(key).alias("ip"),
+            F.col("n_name").alias("country"),
+            F.concat(F.lit("AS"), network).alias("asn"),
+            F.concat(F.lit("NET_"), network).alias("asn_name"),
+        )
+    )
+    return enrich(log, suppliers, table(spark, sf_dir, "supplier").count())
+
+
+@lru_cache(maxsize=None)
+def wide_rollups(spark: SparkSession, sf_dir: str) -> Rollups:
+    return Rollups.of(wide_attacks(spark, sf_dir))

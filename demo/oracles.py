@@ -6,7 +6,20 @@ grid and outer join, summaries on the full grid.
 
 from __future__ import annotations
 
-from demo.settings import ASN, ASNS, COUNTRIES, COUNTRY, DAY, END, HIDDEN, IP, START, USERNAME
+from demo.settings import (
+    ASN,
+    ASNS,
+    COUNTRIES,
+    COUNTRY,
+    DAY,
+    END,
+    HIDDEN,
+    IP,
+    START,
+    USERNAME,
+    WIDE_END,
+    WIDE_START,
+)
 
 K = "cast(json_extract_string(e.props, '$.k') as bigint)"
 
@@ -69,6 +82,32 @@ dates as (
 RANGE = f"date between date '{START}' and date '{END}'"
 
 
+# The long log in place of the first one: same columns as far as they are used.
+WIDE_LOG = """
+ip_lookup as (
+  select concat('10.1.', cast(floor(s.s_suppkey / 256) as int), '.', cast(s.s_suppkey % 256 as int)) as ip,
+         n.n_name as country, concat('AS', cast(s.s_suppkey % 7 as varchar)) as asn,
+         concat('NET_', cast(s.s_suppkey % 7 as varchar)) as asn_name
+  from supplier s join nation n on s.s_nationkey = n.n_nationkey where s.s_suppkey % 10 <> 9
+),
+raw_log as (
+  select l_shipdate as datetime, cast(l_shipdate as date) as date,
+         concat('10.1.', cast(floor(l_suppkey / 256) as int), '.', cast(l_suppkey % 256 as int)) as ip,
+         concat(l_returnflag, l_linestatus) as username
+  from lineitem
+),"""
+
+
+def wide(sql: str) -> str:
+    """The same SQL over the long log and its period."""
+    tables = BASE[BASE.index("attacks as (") :].strip()
+    return (
+        sql.replace(BASE.strip(), (WIDE_LOG + tables).strip())
+        .replace(START, WIDE_START)
+        .replace(END, WIDE_END)
+    )
+
+
 def q(body: str, *ctes: str) -> str:
     return "with " + ",\n".join([BASE.strip(), *ctes]) + "\n" + body
 
@@ -298,6 +337,24 @@ PROFILE_COLUMNS = {"ip": "string", "node": "string", "port": "bigint", "username
                    "tag": "string"}
 
 
+WIDE_KEYS = (
+    "daily_stats",
+    "daily_ip",
+    "total_series",
+    "country_series",
+    "ip_series",
+    "username_series",
+    "asn_series",
+    "volatile_ip",
+    "unusual_countries",
+    "country_summary",
+    "asn_summary",
+    "ip_summary",
+    "username_summary",
+    "volume_vs_volatility",
+)
+
+
 def oracle_sql() -> dict[str, str]:
     numbers = country_numbers()
     ranked = RANKED.format(numbers=numbers)
@@ -319,7 +376,7 @@ select *, position from (
     username_numbers = present_summary(
         "username", "username", "x.countries", "count(distinct country) as countries")
 
-    return {
+    answers = {
         # sources and ingest
         "ingest_normalise": "with " + RAW_TEXT + """
 select pid, cast(day as timestamp) as datetime, cast(year(day) as int) as year,
@@ -574,3 +631,6 @@ select asn_name, cast(sum(attacks) as bigint) as attacks from (
             *change_ctes("country", "country", RANGE), """
 chosen as (select country from changes group by country order by max(abs(pct)) desc, country limit 10)"""),
     }
+    for key in WIDE_KEYS:
+        answers[f"wide_{key}"] = wide(answers[key])
+    return answers

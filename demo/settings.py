@@ -11,3 +11,7 @@ IP = "10.0.0.1"
 USERNAME = "click_3"
 HIDDEN = ("NATION_19", "NATION_12")
 RANK_METRICS = ["total_attacks", "max_pct_change", "first_seen"]
+
+# Period of the long log, about 2,500 days of shipments.
+WIDE_START = "1996-03-01"
+WIDE_END = "1999-12-20"

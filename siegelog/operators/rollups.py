@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siegelog.functions import expressions as X
+from siegelog.functions.scale import reliable_checkpoint
 from siegelog.operators.joins import lookup_join
 
 # Finest daily grain. Every other daily rollup is an exact re-aggregation of it.
@@ -44,6 +45,15 @@ DAILY = {
 }
 
 
+# Rollups stored by date, and their order within a date.
+PARTITIONED = {
+    "asn": ("asn_name",),
+    "username": ("username",),
+    "ip": ("ip",),
+    "ip_username": ("ip", "username"),
+}
+
+
 def daily_rollup(attacks: DataFrame, keys: tuple[str, ...], keep: Column | None = None) -> DataFrame:
     """Count of attacks per key; ``date`` among the keys is the day of ``datetime``."""
     rows = attacks if keep is None else attacks.filter(keep)
@@ -276,12 +286,7 @@ class Rollups:
         base = spark.read.parquet(base_path)
         tables = [("stats", daily_stats_from_base(base), (), ("date",))]
         tables.append(("country", daily_from_base(base, "country"), (), ("date", "country")))
-        for table, order in (
-            ("asn", ("asn_name",)),
-            ("username", ("username",)),
-            ("ip", ("ip",)),
-            ("ip_username", ("ip", "username")),
-        ):
+        for table, order in PARTITIONED.items():
             tables.append((table, daily_from_base(base, table), by_day, order))
         # The writes do not depend on each other; together they fill the cluster.
         with ThreadPoolExecutor(len(tables)) as pool:
@@ -293,6 +298,31 @@ class Rollups:
                 job.result()
         return cls.read(spark, path)
 
+    @classmethod
+    def refresh(cls, attacks: DataFrame, path: str) -> Rollups:
+        """Rebuild the days present in ``attacks``, which must hold them whole.
+
+        Other days stay as stored. Tables partitioned by date replace folders;
+        the two small ones, of at most one row per day and country, are
+        rewritten from a checkpoint of what stays.
+        """
+        spark = attacks.sparkSession
+        base_path = f"{path}/daily_base"
+        rebuild_days(daily_rollup(attacks, BASE_KEYS), base_path, ("ip", "username"))
+        # One value per rebuilt day.
+        days = [r["date"] for r in attacks.select(_day()).distinct().collect() if r["date"]]
+        base = spark.read.parquet(base_path).filter(F.col("date").isin(days))
+        for table, order in PARTITIONED.items():
+            rebuild_days(daily_from_base(base, table), f"{path}/daily_{table}", order)
+        for table, fresh, order in (
+            ("stats", daily_stats_from_base(base), ("date",)),
+            ("country", daily_from_base(base, "country"), ("date", "country")),
+        ):
+            stored = spark.read.parquet(f"{path}/daily_{table}")
+            kept = reliable_checkpoint(stored.filter(~F.col("date").isin(days)))
+            _store(kept.unionByName(fresh), f"{path}/daily_{table}", (), order)
+        return cls.read(spark, path)
+
 
 def _store(
     df: DataFrame,

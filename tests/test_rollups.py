@@ -87,6 +87,17 @@ def test_rebuild_replaces_only_its_days(spark, fact, tmp_path):
     assert [r.n for r in days.collect()] == [6, 90, 3]
 
 
+def test_refresh_is_a_build_of_the_changed_log(spark, fact, tmp_path):
+    R.Rollups.build(fact, str(tmp_path / "a"))
+    second = F.to_date("datetime") == F.lit("2024-01-02")
+    changed = fact.filter(~second).unionByName(fact.filter(second).filter("ip != '3.3.3.3'"))
+    refreshed = R.Rollups.refresh(changed.filter(second), str(tmp_path / "a"))
+    rebuilt = R.Rollups.build(changed, str(tmp_path / "b"))
+    for field in fields(R.Rollups):
+        a, b = getattr(refreshed, field.name), getattr(rebuilt, field.name)
+        assert sorted(tuples(a, *b.columns), key=repr) == sorted(tuples(b), key=repr), field.name
+
+
 def test_merge(spark):
     one = spark.createDataFrame([("a", 1, 5, 9), ("b", 2, 1, 1)], "k string, attacks long, first_seen int, last_seen int")
     two = spark.createDataFrame([("a", 10, 3, 8)], "k string, attacks long, first_seen int, last_seen int")
