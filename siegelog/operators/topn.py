@@ -42,4 +42,4 @@ def largest_per_group(facts: DataFrame, group: str, entity: str, n: int) -> Data
         .agg(F.sum("attacks").alias("attacks"))
     )
     order = Window.partitionBy(group).orderBy(F.desc("attacks"), F.asc(entity))
-    return sums.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= n)
+    return sums.withColumn("place", F.row_number().over(order).cast("bigint")).filter(F.col("place") <= n)

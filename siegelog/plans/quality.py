@@ -13,6 +13,13 @@ from siegelog.schema import ENTITY
 # Texts that stand for a missing label.
 NO_LABEL = ("None", "Unknown")
 
+# Names of the quality counts.
+QUALITY_METRICS = {
+    "all": "Total Records",
+    "country": "Missing Country Info",
+    "asn": "Missing ASN Info",
+}
+
 # Limits of a reconciliation verdict.
 EXACT_ROWS = 1000
 CLOSE_PERCENT = 1.0
@@ -54,21 +61,16 @@ def coverage_by_file(attacks: DataFrame, columns: list[str]) -> DataFrame:
 
 def quality_counts(attacks: DataFrame) -> DataFrame:
     """``metric, count`` of all rows and of rows without a country or a network."""
-    missing = {"Missing Country Info": "country", "Missing ASN Info": "asn"}
     counts = attacks.agg(
-        F.count("*").alias("Total Records"),
-        *[F.count_if(X.absent(c, *NO_LABEL)).alias(m) for m, c in missing.items()],
-    )
-    return counts.select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(F.lit(m).alias("metric"), F.col(f"`{m}`").alias("count"))
-                    for m in ("Total Records", *missing)
-                ]
-            )
-        )
+        F.count("*").alias("all"),
+        F.count_if(X.absent("country", *NO_LABEL)).alias("country"),
+        F.count_if(X.absent("asn", *NO_LABEL)).alias("asn"),
     )
+    entries = [
+        F.struct(F.lit(metric).alias("metric"), F.col(c).alias("count"))
+        for c, metric in QUALITY_METRICS.items()
+    ]
+    return counts.select(F.inline(F.array(*entries)))
 
 
 def port_values(attacks: DataFrame, n: int = 20) -> DataFrame:

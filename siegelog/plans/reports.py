@@ -14,6 +14,12 @@ from siegelog.plans.volatility import most_volatile
 from siegelog.schema import ENTITY
 
 
+# The port of interest and the names of its two groups.
+SSH_PORT = 22
+SSH_LABEL = "SSH (Port 22)"
+OTHER_LABEL = "Other Ports"
+
+
 def total_count(attacks: DataFrame) -> DataFrame:
     return attacks.agg(F.count("*").alias("total_attacks"))
 
@@ -58,7 +64,7 @@ def hourly_share(hours: DataFrame) -> DataFrame:
 
 def port_share(attacks: DataFrame) -> DataFrame:
     """Attacks on port 22 and on all others (two rows at most) with their share."""
-    port = F.when(F.col("port") == 22, "SSH (Port 22)").otherwise("Other Ports")
+    port = F.when(F.col("port") == SSH_PORT, SSH_LABEL).otherwise(OTHER_LABEL)
     sums = attacks.groupBy(port.alias("port_type")).agg(F.count("*").alias("attacks"))
     return share_of_total(sums, "attacks")
 

@@ -42,7 +42,8 @@ class Rule:
     fixed_label: str | None = None  # this text on every row
 
 
-# First match wins. A label of "{country}" is the country asked for.
+# Which filters select which table, and the labels "Unknown",
+# "Mixed" and "Single IP". First match wins. A label of "{country}" is the country asked for.
 RULES: dict[str, tuple[Rule, ...]] = {
     "total": (
         Rule(("username",), "ip_username", ALL, TOTAL),

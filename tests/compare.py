@@ -33,8 +33,22 @@ def _sorted_rows(columns, rows):
     return [columns[i] for i in order], sorted(plain, key=repr)
 
 
+TYPES = {
+    "string": "VARCHAR",
+    "bigint": "BIGINT",
+    "int": "INTEGER",
+    "double": "DOUBLE",
+    "timestamp_ntz": "TIMESTAMP",
+}
+
+
 def differences(spark_df: DataFrame, connection, sql: str) -> str | None:
-    """None when both give the same column names, Python types and rows."""
+    """None when both give the same column names, types and rows."""
+    our_types = {name: TYPES.get(kind, kind) for name, kind in spark_df.dtypes}
+    described = connection.execute("describe " + sql).fetchall()
+    their_types = {row[0]: row[1] for row in described}
+    if our_types != their_types:
+        return f"types {our_types} against {their_types}"
     columns, ours = _sorted_rows(spark_df.columns, [tuple(r) for r in spark_df.collect()])
     relation = connection.execute(sql)
     names = [d[0] for d in relation.description]

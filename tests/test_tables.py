@@ -1,11 +1,15 @@
 from __future__ import annotations
 
+import datetime as dt
+
 import pytest
 from pyspark.sql import functions as F
 
 from siegelog.operators.rollups import Rollups
 from siegelog.plans import tables
 from siegelog.plans.endpoints import ENDPOINTS, answer, filters_from
+from siegelog.plans.filters import Filters
+from siegelog.plans.series import series
 from tests import data
 from tests.data import tuples
 
@@ -40,6 +44,20 @@ def test_stored_tables_answer_sql(spark, fact, tmp_path):
     assert sql("select country, days_measured from country_volatility") == [("A", 1)]
 
 
+def test_filters_reach_the_scan(spark, fact, tmp_path):
+    """Dates prune folders, entities prune row groups, unread columns are not read."""
+    r = Rollups.build(fact, str(tmp_path))
+    lines = series(r, "total", Filters.of("2022-11-01", "2022-11-01", ip="1"))
+    plan = lines._jdf.queryExecution().executedPlan().toString()
+    scan = next(line for line in plan.splitlines() if "FileScan" in line)
+    assert "PartitionFilters: [isnotnull(date" in scan and "(date" in scan
+    assert "EqualTo(ip,1)" in scan
+    assert "ReadSchema: struct<ip:string,attacks:bigint>" in scan
+    assert tuples(lines) == [("2022-11-01", 3)]
+    assert r.ip.select("date").distinct().count() == 2
+    assert {x[0] for x in tuples(r.ip, "date")} == {dt.date(2022, 11, 1), dt.date(2022, 11, 2)}
+
+
 def test_plural_wins_where_lists_are_read():
     params = {"country": "A|||B", "countries": "C|||D"}
     assert filters_from(params).country == ("A|||B",)
