@@ -77,6 +77,26 @@ def test_build_and_read(spark, fact, tmp_path):
     assert total(again.ip) == 4
 
 
+def test_a_hot_day_is_written_by_several_tasks(spark, tmp_path):
+    """The rebalance hint splits a folder that is larger than the advisory size."""
+    rows = spark.range(40_000).select(
+        F.when(F.col("id") % 3 != 0, F.lit("2024-01-01")).otherwise(F.lit("2024-01-02"))
+        .cast("date").alias("date"),
+        F.sha2(F.col("id").cast("string"), 256).alias("ip"),
+        F.col("id").alias("attacks"),
+    ).repartition(8)
+    setting = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "256KB")
+    try:
+        R._store(rows, str(tmp_path), ("date",), ("ip",))
+    finally:
+        spark.conf.set(setting, before)
+    files = {d: len(list((tmp_path / f"date=2024-01-0{d}").glob("*.parquet"))) for d in (1, 2)}
+    assert files[1] > files[2] >= 1
+    assert spark.read.parquet(str(tmp_path)).count() == 40_000
+
+
 def test_rebuild_replaces_only_its_days(spark, fact, tmp_path):
     R.Rollups.build(fact, str(tmp_path))
     path = str(tmp_path / "daily_ip")
