@@ -24,7 +24,8 @@ from demo.settings import (
     WIDE_START,
 )
 from siegelog.functions import expressions as X
-from siegelog.operators import ranking, rollups, sets, topn
+from siegelog.operators import ranking, rollups, sets
+from siegelog.operators.joins import heavy_key_join
 from siegelog.operators.rollups import DAILY, Rollups
 from siegelog.plans import quality, reports
 from siegelog.plans import series as S
@@ -104,6 +105,14 @@ def _normalised(text: DataFrame) -> DataFrame:
     )
 
 
+def _from_text_to_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole way of a log: text, normalised, enriched, counted by day."""
+    log = logs.normalise(mapping.raw_text(spark, sf_dir)).withColumnRenamed("IP", "ip")
+    attacks = logs.enrich(log, mapping.lookup(spark, sf_dir), mapping.lookup_bound(spark, sf_dir))
+    dated_rows = attacks.filter(F.col("datetime").isNotNull())
+    return dated(rollups.daily(logs.to_attacks(dated_rows), "country"))
+
+
 def _merged(attacks: DataFrame) -> DataFrame:
     """Partial country rollups, one per node as files would give them, added up."""
     parts = rollups.daily_rollup(
@@ -213,10 +222,28 @@ def log_queries() -> dict[str, Query]:
                 "asn", "asn_name", "asn_domain", "asn_type",
             )
         ),
+        "enrich_heavy_keys": lambda spark, sf_dir: heavy_key_join(
+            mapping.raw_log(spark, sf_dir), mapping.lookup(spark, sf_dir), "ip", heavy_keys=20
+        ).select("pid", "ip", "country", "asn_name"),
+        "ingest_daily_country": _from_text_to_rollup,
+        "ingest_undated": on_text(lambda t: lake.undated(logs.normalise(t))),
         "ingest_partition_counts": on_text(lambda t: lake.partition_counts(logs.normalise(t))),
         "profile_log": on_log(lambda log: quality.profile(log, PROFILED)),
         "profile_top_values": on_log(lambda log: quality.top_values(log, PROFILED)),
         # rollups
+        "daily_base": on_attacks(lambda a: dated(rollups.daily_rollup(a, rollups.BASE_KEYS))),
+        "daily_base_from_log": lambda spark, sf_dir: dated(
+            rollups.base_from_log(
+                mapping.raw_log(spark, sf_dir),
+                mapping.lookup(spark, sf_dir),
+                mapping.lookup_bound(spark, sf_dir),
+            )
+        ),
+        "daily_stats_from_base": on_attacks(
+            lambda a: dated(
+                rollups.daily_stats_from_base(rollups.daily_rollup(a, rollups.BASE_KEYS))
+            )
+        ),
         "daily_stats": stats(lambda r: dated(r.stats)),
         "country_stats": on_attacks(rollups.country_stats),
         "top_ips": on_attacks(rollups.top_ips),
@@ -252,6 +279,7 @@ def log_queries() -> dict[str, Query]:
         # series: country
         "country_series_username_country": series("country", username=USERNAME, country=COUNTRY),
         "country_series_username": series("country", username=USERNAME),
+        "country_series_username_asn": series("country", username=USERNAME, asn=ASN),
         "country_series_ip": series("country", ip=IP),
         "country_series_asn_country": series("country", asn=ASN, country=COUNTRY),
         "country_series_country": series("country", country=COUNTRY),
@@ -259,6 +287,9 @@ def log_queries() -> dict[str, Query]:
         # series: ip
         "ip_series_username_ip": series("ip", username=USERNAME, ip=IP),
         "ip_series_username": series("ip", username=USERNAME),
+        "ip_series_username_country_asn": series(
+            "ip", username=USERNAME, country=COUNTRY, asn=ASN
+        ),
         "ip_series_ip": series("ip", ip=IP),
         "ip_series_asn_country": series("ip", asn=ASN, country=COUNTRY),
         "ip_series_country": series("ip", country=COUNTRY),
@@ -266,6 +297,9 @@ def log_queries() -> dict[str, Query]:
         "ip_series": series("ip"),
         # series: username
         "username_series_username": series("username", username=USERNAME),
+        "username_series_username_all": series(
+            "username", username=USERNAME, ip=IP, country=COUNTRY, asn=ASN
+        ),
         "username_series_ip": series("username", ip=IP),
         "username_series_asn_country": series("username", asn=ASN, country=COUNTRY),
         "username_series_country": series("username", country=COUNTRY),
@@ -279,9 +313,15 @@ def log_queries() -> dict[str, Query]:
         "asn_series_ip": series("asn", ip=IP),
         "asn_series_username": series("asn", username=USERNAME),
         "asn_series_countries_list": series("asn", country="|||".join(COUNTRIES)),
+        "asn_series_all": series("asn", username=USERNAME, ip=IP, country=COUNTRY, asn=ASN),
         "series_totals": stats(
             lambda r: S.series_totals(S.series(r, "country", filters()), "country")
         ),
+        "series_maxima": stats(
+            lambda r: S.series_excluding(
+                S.series(r, "country", filters()), "country", list(HIDDEN)
+            )
+        ),
         "series_excluding": stats(
             lambda r: S.visible_maximum(S.series(r, "country", filters()), "country", list(HIDDEN))
         ),
@@ -307,6 +347,9 @@ def log_queries() -> dict[str, Query]:
         "average_rank": stats(_ranked),
         "rank_breakdown": stats(lambda r: ranking.rank_breakdown(_ranked(r), "country")),
         "entity_page": stats(_page),
+        "page_count": stats(
+            lambda r: ranking.page_count(summary.entity_summary(r, "ip", START, END), 25)
+        ),
         "entity_position": stats(_positions),
         "entity_sort": stats(
             lambda r: ranking.sort_by(countries(r), "max_pct_change", key="country")

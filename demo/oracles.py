@@ -385,6 +385,14 @@ select pid, cast(day as timestamp) as datetime, cast(year(day) as int) as year,
         "enrich_left": q("""
 select pid, ip, continent, country_code, country, latitude, longitude, asn, asn_name, asn_domain,
        asn_type from attacks"""),
+        "enrich_heavy_keys": q("select pid, ip, country, asn_name from attacks"),
+        "ingest_daily_country": q("""
+select cast(r.day as varchar) as date, k.country, count(*) as attacks
+from raw_text r join events e on r.number = e.event_id
+join ip_lookup k on k.ip = concat('10.0.', cast(floor(e.user_id / 256) as int), '.', cast(e.user_id % 256 as int))
+where r.day is not null group by r.day, k.country""", RAW_TEXT.strip()),
+        "ingest_undated": "with " + RAW_TEXT + """
+select count(*) as rows, count(*) - count(day) as undated_rows from raw_text""",
         "ingest_partition_counts": "with " + RAW_TEXT + """
 select cast(year(day) as int) as year, cast(month(day) as int) as month, count(*) as rows
 from raw_text where day is not null group by 1, 2""",
@@ -394,6 +402,10 @@ from raw_text where day is not null group by 1, 2""",
   max(cast({c} as varchar)) as greatest from raw_log""" for c, t in PROFILE_COLUMNS.items())),
         "profile_top_values": q(union_top),
         # rollups
+        **dict.fromkeys(("daily_base", "daily_base_from_log"), q("""
+select cast(date as varchar) as date, ip, username, country, asn, asn_name, count(*) as attacks
+from attacks group by all""")),
+        "daily_stats_from_base": q("select * replace (cast(date as varchar) as date) from daily_stats"),
         "daily_stats": q("select * replace (cast(date as varchar) as date) from daily_stats"),
         "country_stats": q("""
 select country, min(country_code) as country_code, min(continent) as continent,
@@ -455,6 +467,7 @@ select cast(date as varchar) as date, total_attacks as attacks from daily_stats
         # series: country
         "country_series_username_country": line("ip_username", f"{U} and {C}", f", '{COUNTRY}' as country"),
         "country_series_username": grid("ip_username", "country", U),
+        "country_series_username_asn": grid("ip_username", "country", f"{U} and {A}"),
         "country_series_ip": q(f"""
 select cast(d.date as varchar) as date, coalesce(t.country, h.country) as country,
        coalesce(t.attacks, 0) as attacks
@@ -468,6 +481,8 @@ select cast(date as varchar) as date, country, attacks from daily_country t wher
         "ip_series_username_ip": line(
             "ip_username", f"{U} and {I}", f", '{IP}' as ip, {max_label('Unknown')} as country"),
         "ip_series_username": grid("ip_username", "ip", U, max_label("Mixed")),
+        "ip_series_username_country_asn": grid(
+            "ip_username", "ip", f"{U} and {C} and {A}", max_label("Mixed")),
         "ip_series_ip": line("ip", I, f", '{IP}' as ip, {max_label('Unknown')} as country"),
         "ip_series_asn_country": grid("ip", "ip", f"{A} and {C}", max_label(COUNTRY)),
         "ip_series_country": grid("ip", "ip", C, max_label(COUNTRY)),
@@ -476,6 +491,9 @@ select cast(date as varchar) as date, country, attacks from daily_country t wher
         # series: username
         "username_series_username": line(
             "ip_username", U, f", '{USERNAME}' as username, {max_label('Mixed')} as country"),
+        "username_series_username_all": line(
+            "ip_username", f"{U} and {I} and {C} and {A}",
+            f", '{USERNAME}' as username, {max_label('Mixed')} as country"),
         "username_series_ip": grid("ip_username", "username", I, "'Single IP'"),
         "username_series_asn_country": grid("username", "username", f"{A} and {C}", f"'{COUNTRY}'"),
         "username_series_country": grid("username", "username", C, f"'{COUNTRY}'"),
@@ -489,6 +507,11 @@ select cast(date as varchar) as date, country, attacks from daily_country t wher
         "asn_series_ip": grid("ip", "asn_name", I, max_label("Mixed")),
         "asn_series_username": grid("ip_username", "asn_name", U, max_label("Mixed")),
         "asn_series_countries_list": grid("asn", "asn_name", CS, max_label("Mixed")),
+        "asn_series_all": grid(
+            "ip_username", "asn_name", f"{U} and {I} and {C}", max_label("Mixed"), given=[ASN]),
+        "series_maxima": f"""
+select country, max(attacks) as max_attacks from ({series_of_countries})
+where country not in {HIDDEN!r} group by country""",
         "series_totals": f"""
 select country, cast(sum(attacks) as bigint) as total from ({series_of_countries}) group by country""",
         "series_excluding": f"""
@@ -530,6 +553,8 @@ select row_number() over (order by avg_rank, total_attacks desc, country) as fin
        rank_total_attacks, rank_max_pct_change, rank_first_seen, avg_rank from ({ranked})
 order by final_rank limit 50""",
         "entity_page": page.format(numbers=ip_numbers).replace("select *, position from", "select * from"),
+        "page_count": f"""
+select count(*) as rows, cast(ceil(count(*) / 25e0) as bigint) as pages from ({ip_numbers})""",
         "entity_position": f"""
 select ip, total_attacks, row_number() over (order by total_attacks desc, ip) as position
 from ({ip_numbers})""",

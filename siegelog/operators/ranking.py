@@ -16,8 +16,6 @@ from siegelog.schema import ENTITY
 # Metrics where less is better; all others rank the greatest first.
 ASCENDING = ("first_seen", *ENTITY.values())
 
-PAGE_SIZES = (25, 50, 100, 250)
-
 # A slice that ends within this many rows is taken from the head of the sort, by
 # one task; a deeper one is cut from distributed positions.
 HEAD_ROWS = 100_000

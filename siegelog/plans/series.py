@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siegelog.functions import expressions as X
@@ -125,7 +125,14 @@ def series(
     lines, facts = chosen_lines(facts, dim, rule, filters, n)
     empty = with_every_day(lines, filters.start, filters.end) if filled else None
     count = n if rule.shape == TOP else len(getattr(filters, dim))
-    return _finish(by_day(facts, empty, [entity], _label(rule, filters)), [entity], days * count)
+    rows = by_day(facts, empty, [entity], with_country=rule.label is not None)
+    if rule.label is not None:
+        rows = rows.withColumn(
+            "country", F.coalesce("country", F.lit(label_text(rule.label, filters)))
+        )
+    elif rule.fixed_label is not None:
+        rows = rows.withColumn("country", F.lit(label_text(rule.fixed_label, filters)))
+    return _finish(rows, [entity], days * count)
 
 
 def chosen_lines(
@@ -146,22 +153,32 @@ def given_lines(facts: DataFrame, entity: str, values: tuple[str, ...]) -> DataF
 
 
 def by_day(
-    facts: DataFrame, empty: DataFrame | None, entities: list[str], label: Column | None = None
+    facts: DataFrame,
+    empty: DataFrame | None,
+    entities: list[str],
+    with_country: bool = False,
 ) -> DataFrame:
     """Facts summed to (date, entity); ``empty`` lists the rows that must appear.
 
     An empty row carries NULL attacks, so after the sum a NULL marks a day
-    without facts. Adding rows before the one aggregation takes the place of an
-    outer join.
+    without facts. Adding rows before the aggregation takes the place of an
+    outer join. ``with_country`` adds the last country of the day by name; it
+    is picked after a hash aggregation, as the greatest of a text would have
+    Spark sort the facts.
     """
     keys = ["date", *entities]
     rows = facts
     if empty is not None:
         rows = facts.unionByName(empty, allowMissingColumns=True)
-    measures = [F.sum("attacks").alias("attacks")]
-    if label is not None:
-        measures.append(label.alias("country"))
-    return rows.groupBy(*keys).agg(*measures)
+    attacks = F.sum("attacks").alias("attacks")
+    if not with_country:
+        return rows.groupBy(*keys).agg(attacks)
+    return (
+        rows.groupBy(*keys, "country")
+        .agg(attacks)
+        .groupBy(*keys)
+        .agg(attacks, F.max("country").alias("country"))
+    )
 
 
 def address_days(table: DataFrame, filters: Filters) -> DataFrame:
@@ -179,17 +196,10 @@ def address_days(table: DataFrame, filters: Filters) -> DataFrame:
     )
 
 
-def _label(rule: Rule, filters: Filters) -> Column | None:
-    def text(label: str) -> str:
-        if label != "{country}":
-            return label
-        return filters.country[0] if len(filters.country) == 1 else "Mixed"
-
-    if rule.fixed_label is not None:
-        return F.first(F.lit(text(rule.fixed_label)))
-    if rule.label is not None:
-        return F.coalesce(F.max("country"), F.lit(text(rule.label)))
-    return None
+def label_text(label: str, filters: Filters) -> str:
+    if label != "{country}":
+        return label
+    return filters.country[0] if len(filters.country) == 1 else "Mixed"
 
 
 def _finish(rows: DataFrame, entities: list[str], bound: int | None) -> DataFrame:
