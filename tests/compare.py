@@ -38,6 +38,7 @@ TYPES = {
     "bigint": "BIGINT",
     "int": "INTEGER",
     "double": "DOUBLE",
+    "boolean": "BOOLEAN",
     "timestamp_ntz": "TIMESTAMP",
 }
 
