@@ -42,6 +42,8 @@ SHARD_TOKENS = 2_000_000
 # A context with more than this part of all tokens is dealt over all shards.
 HOT = 1000
 ADDED = 0.1
+# Text in a batch: the larger, the fewer words and pairs are asked for more than once.
+BATCH_BYTES = 12 << 20
 _END, _BEGIN = np.uint64(0xE0D), np.uint64(0xBE61)  # stand for the hashes of the two signs
 
 _BATCH = "batch long, ids binary, held_out binary, first binary, vocabulary binary, tokens binary, train_tokens long, train_docs long"
@@ -49,11 +51,14 @@ _NAMES = ["batch", "ids", "held_out", "first", "vocabulary", "tokens", "train_to
 
 
 def _shrunk(a: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a).tobytes())
+    """Compressed byte by byte of the numbers: all first bytes, all second ones and so on."""
+    planes = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T if len(a) else np.zeros(0, np.uint8)
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
 
 
 def _grown(body, dtype) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(body)), dtype)
+    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(body)), np.uint8)
+    return np.ascontiguousarray(flat.reshape(np.dtype(dtype).itemsize, -1).T).view(dtype).ravel()
 
 
 def is_held_out(doc_id: int | None) -> bool:
@@ -65,9 +70,13 @@ def _batches_of(batches) -> Iterator[pa.RecordBatch]:
 
     context = TaskContext.get()
     number = context.partitionId() << 33 if context else 0
-    for ids, texts in text_batches(batches, "id", "text"):
+    for ids, texts in text_batches(batches, "id", "text", BATCH_BYTES):
         w = words(texts)
-        vocabulary, tokens = np.unique(w.hashes(lower=True), return_inverse=True)
+        vocabulary, tokens, times = np.unique(w.hashes(lower=True), return_inverse=True, return_counts=True)
+        frequent = np.argsort(-times, kind="stable")  # frequent words have small numbers, which take less room
+        number_of = np.empty_like(frequent)
+        number_of[frequent] = np.arange(len(frequent))
+        vocabulary, tokens = vocabulary[frequent], number_of[tokens]
         held = np.array([is_held_out(i) for i in ids])
         sizes = np.diff(w.first)
         row = [
@@ -121,9 +130,9 @@ class Batch:
         return (np.where(np.isin(h, hot), mix(h + mix(w)), mix(h)) % np.uint64(shards)).astype(np.int64)
 
 
-def _parts(shard: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order by shard, and where each shard begins."""
-    order = np.argsort(shard, kind="stable")
+def _parts(shard: np.ndarray, shards: int, by: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Order by shard, within it by ``by``, and where each shard begins."""
+    order = np.argsort(shard, kind="stable") if by is None else np.lexsort((by, shard))
     return order, np.searchsorted(shard[order], np.arange(shards + 1))
 
 
@@ -133,9 +142,9 @@ def _ask_words(shards: int):
             for row in batch.to_pylist():
                 b = Batch(row)
                 counts = b.word_counts()[: b.words].astype(np.int32)
-                order, at = _parts((mix(b.hashes[: b.words]) % np.uint64(shards)).astype(np.int64), shards)
+                order, at = _parts((mix(b.hashes[: b.words]) % np.uint64(shards)).astype(np.int64), shards, b.hashes[: b.words])
                 rows = [
-                    (s, row["batch"], b.hashes[order[x:y]].tobytes(), _shrunk(counts[order[x:y]]))
+                    (s, row["batch"], _shrunk(b.hashes[order[x:y]]), _shrunk(counts[order[x:y]]))
                     for s, (x, y) in enumerate(zip(at[:-1], at[1:], strict=True))
                     if x < y
                 ]
@@ -151,7 +160,7 @@ def _answer_words(tokens: int):
 
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        parts = [np.frombuffer(r["words"], np.uint64) for r in rows]
+        parts = [_grown(r["words"], np.uint64) for r in rows]
         distinct, of = np.unique(np.concatenate(parts), return_inverse=True)
         total = np.bincount(of, np.concatenate([_grown(r["counts"], np.int32) for r in rows])).astype(np.int64)
         out, at = [], 0
@@ -166,6 +175,15 @@ def _answer_words(tokens: int):
     return run
 
 
+_PAIRS = ["shard", "batch", "contexts", "context_of", "words", "word_of", "counts"]
+
+
+def _listed(hashes: np.ndarray, numbers: np.ndarray) -> tuple[bytes, bytes]:
+    """Distinct hashes, and which of them each number has."""
+    distinct, of = np.unique(numbers, return_inverse=True)
+    return _shrunk(hashes[distinct]), _shrunk(of.astype(np.int32))
+
+
 def _ask_pairs(shards: int, hot: np.ndarray):
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,10 +195,10 @@ def _ask_pairs(shards: int, hot: np.ndarray):
                 for s, (x, y) in enumerate(zip(at[:-1], at[1:], strict=True)):
                     if x < y:
                         own = order[x:y]
-                        rows.append((s, row["batch"], _shrunk(b.hashes[contexts[own]]), b.hashes[followers[own]].tobytes(), _shrunk(counts[own])))
-                columns = zip(*rows, strict=True) if rows else ([],) * 5
-                types = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-                names = ["shard", "batch", "contexts", "words", "counts"]
+                        rows.append((s, row["batch"], *_listed(b.hashes, contexts[own]), *_listed(b.hashes, followers[own]), _shrunk(counts[own])))
+                columns = zip(*rows, strict=True) if rows else ([],) * len(_PAIRS)
+                types = [pa.int32(), pa.int64()] + [pa.binary()] * 5
+                names = _PAIRS
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
     return run
@@ -256,8 +274,8 @@ class Trie:
 def _answer_pairs(hot: dict[int, int], shards: int):
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        followers = [np.frombuffer(r["words"], np.uint64) for r in rows]
-        contexts = [_grown(r["contexts"], np.uint64) for r in rows]
+        followers = [_grown(r["words"], np.uint64)[_grown(r["word_of"], np.int32)] for r in rows]
+        contexts = [_grown(r["contexts"], np.uint64)[_grown(r["context_of"], np.int32)] for r in rows]
         counts = np.concatenate([_grown(r["counts"], np.int32) for r in rows])
         trie = Trie(np.concatenate(contexts), np.concatenate(followers), counts, hot, shards)
         books = np.stack([trie.book, trie.weights]).tobytes()
@@ -283,7 +301,7 @@ def _scores(shards: int, hot: np.ndarray, tokens: int, docs: int, distinct: int)
         answers = {(r["counts"] is None, r["shard"]): r for r in right.to_pylist()}
         count = np.zeros(b.words + 2, np.int64)
         count[b.words] = docs
-        order, at = _parts((mix(b.hashes[: b.words]) % np.uint64(shards)).astype(np.int64), shards)
+        order, at = _parts((mix(b.hashes[: b.words]) % np.uint64(shards)).astype(np.int64), shards, b.hashes[: b.words])
         for s, (x, y) in enumerate(zip(at[:-1], at[1:], strict=True)):
             if x < y:
                 count[order[x:y]] = _grown(answers[False, s]["counts"], np.int64)
@@ -338,7 +356,7 @@ def score_documents(documents: DataFrame, id_column: str = "doc_id", text_column
     hot = {int(np.int64(k).view(np.uint64)): v for k, v in frequent.items()} | {int(_BEGIN): docs}
     hot_hashes = np.array(sorted(hot), np.uint64)
 
-    asked = batches.mapInArrow(_ask_pairs(shards, hot_hashes), "shard int, batch long, contexts binary, words binary, counts binary")
+    asked = batches.mapInArrow(_ask_pairs(shards, hot_hashes), "shard int, batch long, contexts binary, context_of binary, words binary, word_of binary, counts binary")
     paired = asked.groupBy("shard").applyInArrow(
         _answer_pairs(hot, shards), "batch long, shard int, codes binary, weights binary, books binary"
     )

@@ -112,20 +112,20 @@ def windows(hashes: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarra
     return mix(out[at]), at
 
 
-def batches(rows: Iterator, texts_of=lambda row: row[1]) -> Iterator[list]:
-    """Rows in lists of about ``BATCH_BYTES`` of text."""
+def batches(rows: Iterator[tuple], limit: int = BATCH_BYTES) -> Iterator[list[tuple]]:
+    """Rows (key, text) in lists of about ``limit`` bytes of text."""
     held, size = [], 0
     for row in rows:
         held.append(row)
-        size += len(texts_of(row))
-        if size >= BATCH_BYTES:
+        size += len(row[1])
+        if size >= limit:
             yield held
             held, size = [], 0
     if held:
         yield held
 
 
-def text_batches(arrow_batches, key: str, text: str) -> Iterator[tuple[list, list[bytes]]]:
+def text_batches(arrow_batches, key: str, text: str, limit: int = BATCH_BYTES) -> Iterator[tuple[list, list[bytes]]]:
     """(keys, texts as bytes) of Arrow batches, a few MB at a time; null texts are empty."""
 
     def rows() -> Iterator[tuple]:
@@ -133,5 +133,5 @@ def text_batches(arrow_batches, key: str, text: str) -> Iterator[tuple[list, lis
             for i, body in zip(batch.column(key).to_pylist(), batch.column(text), strict=True):
                 yield i, (body.as_py() or b"")
 
-    for held in batches(rows()):
+    for held in batches(rows(), limit):
         yield [x[0] for x in held], [x[1] for x in held]
