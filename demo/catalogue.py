@@ -25,7 +25,7 @@ from demo.settings import (
 )
 from siegelog.functions import expressions as X
 from siegelog.operators import ranking, rollups, sets
-from siegelog.operators.joins import heavy_key_join
+from siegelog.operators.joins import skewed_join
 from siegelog.operators.rollups import DAILY, Rollups
 from siegelog.plans import quality, reports
 from siegelog.plans import series as S
@@ -222,8 +222,8 @@ def log_queries() -> dict[str, Query]:
                 "asn", "asn_name", "asn_domain", "asn_type",
             )
         ),
-        "enrich_heavy_keys": lambda spark, sf_dir: heavy_key_join(
-            mapping.raw_log(spark, sf_dir), mapping.lookup(spark, sf_dir), "ip", heavy_keys=20
+        "enrich_heavy_keys": lambda spark, sf_dir: skewed_join(
+            mapping.raw_log(spark, sf_dir), mapping.lookup(spark, sf_dir), "ip"
         ).select("pid", "ip", "country", "asn_name"),
         "ingest_daily_country": _from_text_to_rollup,
         "ingest_undated": on_text(lambda t: lake.undated(logs.normalise(t))),
@@ -246,8 +246,8 @@ def log_queries() -> dict[str, Query]:
         ),
         "daily_stats": stats(lambda r: dated(r.stats)),
         "country_stats": on_attacks(rollups.country_stats),
-        "top_ips": on_attacks(rollups.top_ips),
-        "username_stats": on_attacks(rollups.username_stats),
+        "top_ips": on_attacks(lambda a: rollups.top_ips(a, 10_000)),
+        "username_stats": on_attacks(lambda a: rollups.username_stats(a, 10_000)),
         "hourly_patterns": on_log(rollups.hourly_patterns),
         "daily_country": stats(lambda r: dated(r.country)),
         "daily_asn": stats(lambda r: dated(r.asn)),

@@ -1,8 +1,8 @@
 """An attack log made of the given tables.
 
-``events`` is the log, ``customer`` with ``nation`` and ``region`` the address
-lookup. Every tenth address is missing from the lookup, and every network has
-days without rows.
+``events`` is the log, ``supplier`` with ``nation`` and ``region`` the address
+lookup. There are fewer suppliers than users in ``events``, so a third of the
+addresses are missing from the lookup; many addresses have days without rows.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siegelog.operators.rollups import Rollups
+from siegelog.operators.rollups import Rollups, base_from_log
 from siegelog.sources.logs import enrich
 
 
@@ -40,7 +40,6 @@ def raw_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("bigint")
     return (
         table(spark, sf_dir, "events")
-        .filter(((user % 7) + F.dayofmonth(ts)) % 4 != 0)
         .select(
             ts.alias("datetime"),
             F.year(ts).alias("year"),
@@ -58,12 +57,11 @@ def raw_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @lru_cache(maxsize=None)
 def lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key, nation = F.col("c_custkey"), F.col("n_nationkey")
+    key, nation = F.col("s_suppkey"), F.col("n_nationkey")
     network = (key % 7).cast("string")
     return (
-        table(spark, sf_dir, "customer")
-        .filter(key % 10 != 9)
-        .join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == nation)
+        table(spark, sf_dir, "supplier")
+        .join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == nation)
         .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
         .select(
             _address(key).alias("ip"),
@@ -85,8 +83,8 @@ def lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @lru_cache(maxsize=None)
 def lookup_bound(spark: SparkSession, sf_dir: str) -> int:
-    """The lookup has at most one row per customer; counted from file footers."""
-    return table(spark, sf_dir, "customer").count()
+    """The lookup has at most one row per supplier; counted from file footers."""
+    return table(spark, sf_dir, "supplier").count()
 
 
 @lru_cache(maxsize=None)
@@ -96,7 +94,8 @@ def attacks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @lru_cache(maxsize=None)
 def rollups(spark: SparkSession, sf_dir: str) -> Rollups:
-    return Rollups.of(attacks(spark, sf_dir))
+    log, known = raw_log(spark, sf_dir), lookup(spark, sf_dir)
+    return Rollups.of_base(base_from_log(log, known, lookup_bound(spark, sf_dir)))
 
 
 @lru_cache(maxsize=None)
@@ -142,7 +141,6 @@ def wide_attacks(spark: SparkSession, sf_dir: str) -> DataFrame:
     network = (key % 7).cast("string")
     suppliers = (
         table(spark, sf_dir, "supplier")
-        .filter(key % 10 != 9)
         .join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
         .select(
             _supplier_address(key).alias("ip"),

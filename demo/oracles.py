@@ -25,20 +25,19 @@ K = "cast(json_extract_string(e.props, '$.k') as bigint)"
 
 BASE = f"""
 ip_lookup as (
-  select concat('10.0.', cast(floor(c.c_custkey / 256) as int), '.', cast(c.c_custkey % 256 as int)) as ip,
+  select concat('10.0.', cast(floor(s.s_suppkey / 256) as int), '.', cast(s.s_suppkey % 256 as int)) as ip,
          r.r_name as continent, concat('C', cast(n.n_nationkey as varchar)) as country_code,
          n.n_name as country,
          cast(n.n_nationkey * 5 - 60 as double) as latitude,
          cast(n.n_nationkey * 10 - 120 as double) as longitude,
-         concat('AS', cast(c.c_custkey % 7 as varchar)) as asn,
-         concat('NET_', cast(c.c_custkey % 7 as varchar)) as asn_name,
-         concat('net', cast(c.c_custkey % 7 as varchar), '.example') as asn_domain,
-         case when c.c_custkey % 3 = 0 then 'isp' when c.c_custkey % 3 = 1 then 'hosting'
+         concat('AS', cast(s.s_suppkey % 7 as varchar)) as asn,
+         concat('NET_', cast(s.s_suppkey % 7 as varchar)) as asn_name,
+         concat('net', cast(s.s_suppkey % 7 as varchar), '.example') as asn_domain,
+         case when s.s_suppkey % 3 = 0 then 'isp' when s.s_suppkey % 3 = 1 then 'hosting'
               else 'business' end as asn_type
-  from customer c
-  join nation n on c.c_nationkey = n.n_nationkey
+  from supplier s
+  join nation n on s.s_nationkey = n.n_nationkey
   join region r on n.n_regionkey = r.r_regionkey
-  where c.c_custkey % 10 <> 9
 ),
 raw_log as (
   select e.ts as datetime, cast(e.ts as date) as date,
@@ -50,7 +49,6 @@ raw_log as (
          concat(e.event_type, '_', cast({K} % 8 as varchar)) as username,
          e.event_type as tag
   from events e
-  where ((e.user_id % 7) + extract(day from e.ts)) % 4 <> 0
 ),
 attacks as (select l.*, k.* exclude (ip) from raw_log l left join ip_lookup k on l.ip = k.ip),
 daily_stats as (
@@ -88,7 +86,7 @@ ip_lookup as (
   select concat('10.1.', cast(floor(s.s_suppkey / 256) as int), '.', cast(s.s_suppkey % 256 as int)) as ip,
          n.n_name as country, concat('AS', cast(s.s_suppkey % 7 as varchar)) as asn,
          concat('NET_', cast(s.s_suppkey % 7 as varchar)) as asn_name
-  from supplier s join nation n on s.s_nationkey = n.n_nationkey where s.s_suppkey % 10 <> 9
+  from supplier s join nation n on s.s_nationkey = n.n_nationkey
 ),
 raw_log as (
   select l_shipdate as datetime, cast(l_shipdate as date) as date,
@@ -263,14 +261,13 @@ left join recent r on s.{entity} = r.{entity} {extra_join}""",
   where {RANGE} group by {entity})""")
 
 
-def present_summary(entity: str, table: str, extra: str, labels: str, limit: int = 1000) -> str:
+def present_summary(entity: str, table: str, extra: str, labels: str) -> str:
     return q(f"""
 select s.{entity}, {SUMMARY_COLUMNS}, {extra}
 from stats s left join moves v on s.{entity} = v.{entity}
 left join recent r on s.{entity} = r.{entity} left join labels x on s.{entity} = x.{entity}""",
              f"""chosen as (
-  select {entity} from daily_{table} where {RANGE} group by {entity}
-  order by sum(attacks) desc, {entity} limit {limit})""",
+  select distinct {entity} from daily_{table} where {RANGE})""",
              f"""present as (
   select {entity}, date, cast(sum(attacks) as bigint) as attacks from daily_{table}
   where {RANGE} and {entity} in (select {entity} from chosen) group by {entity}, date)""",
@@ -372,7 +369,7 @@ select *, position from (
   from ({{numbers}})) where position between 26 and 50"""
     ip_numbers = present_summary(
         "ip", "ip", "x.country, x.asn_name",
-        f"{mode_of('country')} as country, {mode_of('asn_name')} as asn_name", 1000)
+        f"{mode_of('country')} as country, {mode_of('asn_name')} as asn_name")
     username_numbers = present_summary(
         "username", "username", "x.countries", "count(distinct country) as countries")
 

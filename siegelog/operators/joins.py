@@ -2,19 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siegelog.functions.scale import BROADCAST_ROWS, has_at_most
 
-# Keys looked up by broadcast when the dimension itself is too large for it.
-# Outside the most frequent 1,000 no key can hold more than 1/1,000 of the rows.
-HEAVY_KEYS = 1_000
-
-
 def lookup_join(
     left: DataFrame,
     right: DataFrame,
@@ -26,45 +18,29 @@ def lookup_join(
 
     A right side of at most ``max_rows`` rows is broadcast, so the left side is
     not shuffled. ``right_rows`` is a known upper bound of its size; without
-    one the size is checked. A larger right side takes ``heavy_key_join``.
+    one the size is checked. A larger right side takes ``skewed_join``.
     """
     small = right_rows <= max_rows if right_rows is not None else has_at_most(right, max_rows)
     if not small:
-        return heavy_key_join(left, right, *keys)
+        return skewed_join(left, right, *keys)
     return _left_columns_first(left.join(F.broadcast(right), list(keys), "left"), left)
 
 
-def heavy_key_join(
-    left: DataFrame, right: DataFrame, *keys: str, heavy_keys: int = HEAVY_KEYS
-) -> DataFrame:
+def skewed_join(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
     """Left join of two large sides where a few keys may hold most left rows.
 
-    Rows of the most frequent keys, at most ``heavy_keys`` of them, and rows
-    with a NULL key meet their right rows by broadcast and are never shuffled.
-    The remaining keys are shuffled; none of them can be hot.
+    One left outer join, so each side is read once. Spark's skew join splits the
+    left rows of a hot key over several tasks and gives each the key's right
+    row. ``right`` has one row per key; ``one_per_key`` makes sure of it.
     """
-    on = list(keys)
-    unknown = reduce(or_, [F.col(k).isNull() for k in on])
-    heavy = (
-        left.filter(~unknown)
-        .groupBy(*on)
-        .count()
-        .orderBy(F.desc("count"), *on)
-        .limit(heavy_keys)
-        .select(*on)
-    )
-    heavy_right = heavy.join(right, on, "left").withColumn("_heavy", F.lit(True))
-    at_hand = (
-        left.join(F.broadcast(heavy_right), on, "left")
-        .filter(F.col("_heavy") | unknown)
-        .drop("_heavy")
-    )
-    shuffled = (
-        left.filter(~unknown)
-        .join(F.broadcast(heavy), on, "left_anti")
-        .join(right, on, "left")
-    )
-    return _left_columns_first(at_hand.unionByName(shuffled), left)
+    return _left_columns_first(left.join(right, list(keys), "left"), left)
+
+
+def one_per_key(right: DataFrame, *keys: str) -> DataFrame:
+    """``right``; its job fails if a key comes twice."""
+    times = F.count("*").over(Window.partitionBy(*keys))
+    repeated = F.raise_error(F.concat_ws(" ", F.lit("key comes twice:"), *[F.col(k).cast("string") for k in keys]))
+    return right.withColumn("_times", times).filter(F.when(F.col("_times") > 1, repeated.cast("boolean")).otherwise(True)).drop("_times")
 
 
 def _left_columns_first(joined: DataFrame, left: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siegelog.functions.scale import broadcast_if_bounded, has_at_most, reliable_checkpoint
-from siegelog.operators.joins import heavy_key_join
+from siegelog.operators.joins import skewed_join
 from siegelog.schema import ENTITY
 
 # Metrics where less is better; all others rank the greatest first.
@@ -126,7 +126,7 @@ def ranks(df: DataFrame, key: str, metrics: list[str]) -> DataFrame:
 
     Rows are counted per distinct value, the values are sorted over all
     partitions, and running counts give the rank of a value: 1 + rows before
-    it. Frequent values are looked up by broadcast, see ``heavy_key_join``. A
+    it. Frequent values are left to Spark's skew join. A
     list that is known to be small is ranked by a window instead.
     """
     long = _long(df, key, metrics)
@@ -145,7 +145,7 @@ def ranks(df: DataFrame, key: str, metrics: list[str]) -> DataFrame:
     ranked = placed.join(broadcast_if_bounded(starts, len(metrics)), "metric").select(
         *VALUE, (F.col("ahead") - F.col("start") + 1).alias("rank")
     )
-    return heavy_key_join(long, ranked, *VALUE).select(key, "metric", "rank")
+    return skewed_join(long, ranked, *VALUE).select(key, "metric", "rank")
 
 
 def _long(df: DataFrame, key: str, metrics: list[str]) -> DataFrame:

@@ -149,7 +149,7 @@ def country_stats(attacks: DataFrame) -> DataFrame:
     )
 
 
-def top_ips(attacks: DataFrame, limit: int | None = 10_000) -> DataFrame:
+def top_ips(attacks: DataFrame, limit: int | None) -> DataFrame:
     """Totals per address; counted by all text columns first, as ``country_stats``."""
     counted = attacks.groupBy(
         *[_key(c) for c in ("ip", "country", "asn", "asn_name", "username")]
@@ -169,7 +169,7 @@ def top_ips(attacks: DataFrame, limit: int | None = 10_000) -> DataFrame:
     return _largest(totals, "attack_count", "ip", limit)
 
 
-def username_stats(attacks: DataFrame, limit: int | None = 10_000) -> DataFrame:
+def username_stats(attacks: DataFrame, limit: int | None) -> DataFrame:
     totals = attacks.groupBy(_key("username")).agg(
         F.count("*").alias("attempt_count"),
         F.count_distinct("ip").alias("unique_ips"),
@@ -262,6 +262,11 @@ class Rollups:
         """Derived from the fact on every use; each plan evaluates only what it reads."""
         return cls(stats=daily_stats(attacks), **{t: daily(attacks, t) for t in DAILY})
 
+    @classmethod
+    def of_base(cls, base: DataFrame) -> Rollups:
+        """As ``of``, from the base grain: with ``base_from_log`` the log is counted before it is enriched."""
+        return cls(stats=daily_stats_from_base(base), **{t: daily_from_base(base, t) for t in DAILY})
+
     @classmethod
     def read(cls, spark: SparkSession, path: str) -> Rollups:
         return cls(**{f.name: spark.read.parquet(f"{path}/daily_{f.name}") for f in fields(cls)})

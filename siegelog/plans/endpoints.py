@@ -33,6 +33,10 @@ def filters_from(params: Params, lists: bool = False) -> Filters:
     )
 
 
+# Rows of an answer that names no limit, where entities are very many.
+PAGE = {"ip": 1000, "username": 1000}
+
+
 def _series(dim: str, lists: bool = False) -> Callable[[Rollups, Params], DataFrame]:
     return lambda rollups, params: series(rollups, dim, filters_from(params, lists))
 
@@ -44,9 +48,9 @@ def _volatile(dim: str, lists: bool = False) -> Callable[[Rollups, Params], Data
 def _summary(dim: str) -> Callable[[Rollups, Params], DataFrame]:
     def query(rollups: Rollups, params: Params) -> DataFrame:
         period = filters_from(params)
-        paging = {"limit": int(params["limit"])} if params.get("limit") else {}
+        limit = int(params["limit"]) if params.get("limit") else PAGE.get(dim)
         offset = int(params.get("offset", 0))
-        return entity_summary(rollups, dim, period.start, period.end, offset=offset, **paging)
+        return entity_summary(rollups, dim, period.start, period.end, limit=limit, offset=offset)
 
     return query
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from siegelog.functions import expressions as X
 from siegelog.functions.dates import days_between, to_day
-from siegelog.functions.scale import broadcast_if_bounded, sort_result
+from siegelog.functions.scale import broadcast_if_bounded
 from siegelog.operators.rollups import Rollups
 from siegelog.operators.topn import largest
 from siegelog.plans.volatility import NOT_A_COUNTRY
@@ -20,18 +20,13 @@ RECENT_DAYS = 7
 # Dimensions whose absent days count as days with 0 attacks.
 ON_CALENDAR = ("country", "asn")
 
-# Page size of the dimensions with very many entities.
-DEFAULT_LIMIT = {"country": None, "asn": None, "ip": 1000, "username": 1000}
-
-_DEFAULT = object()
-
 
 def entity_summary(
     rollups: Rollups,
     dim: str,
     start: str | dt.date,
     end: str | dt.date,
-    limit: int | None | object = _DEFAULT,
+    limit: int | None = None,
     offset: int = 0,
     total_days: int | None = None,
 ) -> DataFrame:
@@ -44,7 +39,6 @@ def entity_summary(
     ``total_days`` replaces the length of the period in the persistence.
     """
     start, end = to_day(start), to_day(end)
-    limit = DEFAULT_LIMIT[dim] if limit is _DEFAULT else limit
     entity = ENTITY[dim]
     calendar_days = dim in ON_CALENDAR
     recent_from = end - dt.timedelta(days=RECENT_DAYS - 1)
@@ -89,7 +83,7 @@ def entity_summary(
         "active_days",
     ]
     columns += [c for c in metrics.columns if c in ("country", "asn_name", "countries") and c != entity]
-    return sort_result(metrics.select(*columns), limit, F.desc("total_attacks"), F.asc(entity))
+    return metrics.select(*columns).orderBy(F.desc("total_attacks"), F.asc(entity))
 
 
 def _metrics(start: dt.date, end: dt.date, recent_from: dt.date) -> list[Column]:

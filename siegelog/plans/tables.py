@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 
 from siegelog.operators import rollups as R
@@ -19,10 +21,13 @@ DAILY_NAMES = {
     "ip_username": "daily_ip_username_attacks",
 }
 
+# Rows of the two stored top lists, by definition.
+STORED_TOP = 10_000
+
 OVERALL = {
     "country_stats": R.country_stats,
-    "top_ips": R.top_ips,
-    "username_stats": R.username_stats,
+    "top_ips": partial(R.top_ips, limit=STORED_TOP),
+    "username_stats": partial(R.username_stats, limit=STORED_TOP),
     "hourly_patterns": R.hourly_patterns,
 }
 

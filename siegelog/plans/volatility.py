@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from siegelog.functions import expressions as X
 from siegelog.functions.dates import days_between, with_every_day
-from siegelog.functions.scale import sort_result
 from siegelog.operators.rollups import Rollups
 from siegelog.operators.topn import largest, only
 from siegelog.plans.filters import Filters, rows_of
@@ -153,4 +152,4 @@ def _with_change(
         attacks.alias("attacks"),
         change.alias("pct_change"),
     )
-    return sort_result(series, bound, "date", F.desc("attacks"), entity)
+    return series.orderBy("date", F.desc("attacks"), entity)

@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import random
 
+import pytest
+
 from siegelog.operators import joins
 from tests.data import tuples
 
@@ -26,8 +28,24 @@ def test_all_paths_agree(spark):
     assert by_i(joins.lookup_join(left, right, "k")) == expected
     assert by_i(joins.lookup_join(left, right, "k", right_rows=6)) == expected
     assert by_i(joins.lookup_join(left, right, "k", max_rows=2)) == expected
-    for heavy in (1, 2, 3, 100):
-        assert by_i(joins.heavy_key_join(left, right, "k", heavy_keys=heavy)) == expected
+    assert by_i(joins.skewed_join(left, right, "k")) == expected
+
+
+def test_each_side_is_read_once(spark, tmp_path):
+    left, right, expected = sides(spark)
+    left.write.parquet(f"{tmp_path}/left")
+    right.write.parquet(f"{tmp_path}/right")
+    joined = joins.skewed_join(spark.read.parquet(f"{tmp_path}/left"), spark.read.parquet(f"{tmp_path}/right"), "k")
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 2
+    assert sorted(tuples(joined)) == expected
+
+
+def test_repeated_keys_are_refused(spark):
+    _, right, _ = sides(spark)
+    assert sorted(tuples(joins.one_per_key(right, "k")), key=repr) == sorted(tuples(right), key=repr)
+    with pytest.raises(Exception, match="key comes twice: a"):
+        joins.one_per_key(right.union(right.filter("k = 'a'")), "k").collect()
 
 
 def test_large_right_side_is_not_broadcast_whole(spark):
@@ -41,5 +59,4 @@ def test_several_keys(spark):
     left = spark.createDataFrame([(1, "x", 1), (2, "x", 2), (3, None, 1), (4, "y", None)], "i int, a string, b int")
     right = spark.createDataFrame([("x", 1, "p"), ("y", 1, "q")], "a string, b int, v string")
     expected = [(1, "x", 1, "p"), (2, "x", 2, None), (3, None, 1, None), (4, "y", None, None)]
-    for heavy in (1, 10):
-        assert sorted(tuples(joins.heavy_key_join(left, right, "a", "b", heavy_keys=heavy))) == expected
+    assert sorted(tuples(joins.skewed_join(left, right, "a", "b"))) == expected

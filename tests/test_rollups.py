@@ -173,12 +173,12 @@ def test_sketches_merge(spark):
 def test_labels_are_chosen_after_hash_aggregation(fact):
     """No plan sorts the log itself."""
     plans = [
-        R.top_ips(fact),
+        R.top_ips(fact, None),
         R.country_stats(
             fact.withColumns({"country_code": F.lit("C"), "continent": F.lit("X"),
                               "latitude": F.lit(1.0), "longitude": F.lit(2.0)})
         ),
-        R.username_stats(fact),
+        R.username_stats(fact, None),
         R.daily_stats(fact),
     ]
     for df in plans:
