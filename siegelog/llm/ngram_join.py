@@ -18,9 +18,11 @@ the index against expected chance meetings. A set is indexed in its own band, an
 in the next lower one if a smaller partner may be there. Sets that meet are
 compared shingle by shingle.
 
-Equal sets are one class from the start. Within a bucket of sets that meet, each is
-first compared with one hub; only sets that this leaves in different components
-are paired, so a large group of near copies costs about its size.
+Equal sets are one class from the start. Sets that meet, directly or through others,
+form a family; families are small but for groups of near copies. A family is
+compared in blocks of bounded size, two blocks to a task, by a product of incidence
+matrices. A task returns a spanning forest of the links it found, so no plan node
+makes a row for each pair, and no family is gathered in one place.
 """
 
 from __future__ import annotations
@@ -46,6 +48,11 @@ SLACK = 0.15
 COMMON = 0.05
 # Rows of the index in a shuffle partition.
 PARTITION_ROWS = 1_000_000
+# A block of a family has about so many shingles, and sets, at most.
+BLOCK_SHINGLES = 250_000
+BLOCK_SETS = 1000
+# Shingles that a step of the incidence product takes.
+COLUMNS = 2048
 # Sets counted in a bucket; the order of signatures is by this count.
 COUNTED = 1000
 
@@ -268,15 +275,44 @@ def _sets(size: int):
     return run
 
 
-def _verified(like: Similarity):
-    def run(batches) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True):
-                p, q = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                both = len(p) + len(q) - len(np.unique(np.concatenate([p, q])))
-                keep.append(like.holds(both, len(p), len(q)))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+def forest(sets: list[np.ndarray], like: Similarity) -> list[tuple[int, int]]:
+    """Links between sets as a spanning forest of their components."""
+    size = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(sets)), size)
+    distinct, of, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    column = np.cumsum(times > 1) - 1  # of those in two sets or more
+    shared = times[of] > 1
+    owner, column = owner[shared], column[of[shared]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    for low in range(0, int((times > 1).sum()), COLUMNS):
+        a, b = np.searchsorted(column, [low, low + COLUMNS])
+        part = np.zeros((len(sets), COLUMNS), np.float32)
+        part[owner[a:b], column[a:b] - low] = 1
+        both += part @ part.T
+    linked = like.whole * both.astype(np.int64) >= like.part * (size[:, None] + size[None, :] - both.astype(np.int64))
+    out, left = [], np.ones(len(sets), bool)
+    for start in range(len(sets)):
+        if not left[start]:
+            continue
+        left[start] = False
+        stack = [start]
+        while stack:
+            node = stack.pop()
+            near = np.flatnonzero(linked[node] & left)
+            left[near] = False
+            out += [(node, int(x)) for x in near]
+            stack += near.tolist()
+    return out
+
+
+def _compared(like: Similarity):
+    def run(table: pa.Table) -> pa.Table:
+        classes = table.column("class").to_pylist()
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles")]
+        links = forest(sets, like)
+        return pa.table({"a": pa.array([classes[x] for x, _ in links], pa.int64()), "b": pa.array([classes[y] for _, y in links], pa.int64())})
 
     return run
 
@@ -342,52 +378,38 @@ def similar_documents(
         .withColumn("shared", F.count("*").over(own))
         .withColumn("rank", F.row_number().over(own.orderBy("sets", "sig")))
         .filter("deletions or twins > 1 or rank <= differ + 1 - (segments - shared)")
-        .select("sig", "class", "n")
+        .select("sig", "class")
     )
     live = stored(live, "live")
 
-    # First each set of a bucket against the bucket's smallest.
-    hubs = live.groupBy("sig").agg(F.min(F.struct("class", "n")).alias("hub"), F.count("*").alias("k")).filter("k > 1")
-    first = live.join(hubs, "sig").select(
-        F.col("hub.class").alias("a"), F.col("hub.n").alias("na"), F.col("class").alias("b"), F.col("n").alias("nb")
-    )
+    # Families: what meets in a bucket, and different sets with one fingerprint.
+    hubs = live.groupBy("sig").agg(F.min("class").alias("a"), F.count("*").alias("k")).filter("k > 1").select("sig", "a")
     twins = classes.filter("twins > 1").select("fp", "class", "n")
-    alike = twins.toDF("fp", "a", "na").join(twins.toDF("fp", "b", "nb"), "fp").drop("fp")
-    tried = stored(_candidates(first.union(alike.select("a", "na", "b", "nb")), like), "pairs")
-
-    needed = live.select("class").union(twins.select("class")).distinct()
-    sets = stored(_class_sets(texts, classes, needed, size), "sets")
-    links = stored(_links(tried, sets, like), "links")
-
-    # Then what lies in one bucket but is still apart.
-    groups = components(links)
-    labelled = live.join(groups.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("component", "class"))
-    apart = labelled.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
-    rest = stored(labelled.join(apart, "sig", "left_semi").select("sig", "class", "n", "label"), "apart")
-    other = rest.toDF("sig", "b", "nb", "label_b")
-    more = rest.toDF("sig", "a", "na", "label_a").join(other, "sig").filter("label_a <> label_b and a < b")
-    more = _candidates(more.select("a", "na", "b", "nb"), like).join(tried, ["a", "b"], "left_anti")
-    links = links.union(_links(stored(more, "pairs"), sets, like))
+    alike = twins.join(twins.groupBy("fp").agg(F.min("class").alias("a")), "fp").select("a", "class")
+    meetings = live.join(hubs, "sig").select("a", "class").union(alike).toDF("a", "b")
+    families = components(meetings)
+    members = families.toDF("class", "family").join(classes.select("class", "n"), "class")
+    blocks = F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_SETS)).alias("blocks")
+    members = stored(members.join(members.groupBy("family").agg(blocks), "family"), "members")
+    placed = (
+        members.withColumn("block", F.pmod(F.xxhash64("class"), "blocks"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("class", "family", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    )
+    links = (
+        placed.join(_class_sets(texts, classes, members.select("class"), size), "class")
+        .groupBy("family", "low", "high")
+        .applyInArrow(_compared(like), "a long, b long")
+    )
     return _answer(profiles, classes, components(links), id_column)
 
 
-def _candidates(pairs: DataFrame, like: Similarity) -> DataFrame:
-    """Distinct pairs a < b whose sizes allow a link."""
-    fits = F.least("na", "nb") * like.whole >= F.greatest("na", "nb") * like.part
-    return pairs.filter("a <> b").filter(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
 def _class_sets(texts: DataFrame, classes: DataFrame, needed: DataFrame, size: int) -> DataFrame:
     """The shingles of each needed class, from the text of its first document."""
     wanted = classes.join(needed, "class", "left_semi").select(F.col("first").alias("id"), F.struct("class", "fp").alias("of"))
     return texts.join(wanted, "id").select("of", "text").mapInArrow(_sets(size), "class long, shingles binary")
 
 
-def _links(pairs: DataFrame, sets: DataFrame, like: Similarity) -> DataFrame:
-    both = pairs.join(sets.toDF("b", "sb"), "b").join(sets.toDF("a", "sa"), "a")
-    return both.select("a", "b", "sa", "sb").mapInArrow(_verified(like), "a long, b long")
-
-
 def _answer(profiles: DataFrame, classes: DataFrame, groups: DataFrame | None, id_column: str) -> DataFrame:
     if groups is not None:
         named = classes.join(groups.withColumnRenamed("node", "class"), "class", "left")
