@@ -90,7 +90,7 @@ def mixed(
     without tokens, also those without text, are never read. Repeated rows
     are read each. Columns of ``documents`` with the names above are replaced.
     """
-    rows = documents.select(
+    rows = documents.drop("leaf", "epoch", "tokens", "tokens_taken").select(
         "*",
         F.coalesce(domain.cast("string"), F.lit(_NONE)).alias("_domain"),
         F.coalesce(F.col("lang").cast("string"), F.lit(_NONE)).alias("_lang"),
@@ -103,27 +103,27 @@ def mixed(
     plan = plan.withColumn("held", F.col("capacity") / max_epochs)
     plan = plan.select(
         *levels,
-        "leaf",
-        F.floor(F.col("budget") / F.col("held")).cast("int").alias("whole"),
-        F.floor(F.col("budget") - F.floor(F.col("budget") / F.col("held")) * F.col("held")).cast("long").alias("rest"),
+        F.col("leaf").alias("_leaf"),
+        F.floor(F.col("budget") / F.col("held")).cast("int").alias("_whole"),
+        F.floor(F.col("budget") - F.floor(F.col("budget") / F.col("held")) * F.col("held")).cast("long").alias("_rest"),
     )
     # The order is that of the last epoch, which is the only one that may end early.
     few = held.count() <= BROADCAST_LEAVES
     rows = rows.join(F.broadcast(plan) if few else plan, levels)
-    rows = rows.withColumn("_key", F.md5(F.concat_ws("|", F.lit(seed), F.col("whole").cast("string"), F.col(id_column).cast("string"))))
+    rows = rows.withColumn("_key", F.md5(F.concat_ws("|", F.lit(seed), F.col("_whole").cast("string"), F.col(id_column).cast("string"))))
     rows = rows.withColumn("_bucket", F.substring("_key", 1, BUCKET_DIGITS))
-    before = Window.partitionBy("leaf").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("_leaf").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
-        rows.groupBy("leaf", "_bucket")
+        rows.groupBy("_leaf", "_bucket")
         .agg(F.sum("_tokens").alias("n"))
-        .select("leaf", "_bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
+        .select("_leaf", "_bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
     )
-    inside = Window.partitionBy("leaf", "_bucket").orderBy("_key", "_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.join(starts, ["leaf", "_bucket"]).withColumn("_start", F.col("_start") + F.sum("_tokens").over(inside) - F.col("_tokens"))
-    part = F.least(F.col("_tokens"), F.col("rest") - F.col("_start"))
-    epochs = F.transform(F.sequence(F.lit(0), F.col("whole")), lambda e: F.struct(e.alias("e"), F.when(e < F.col("whole"), F.col("_tokens")).otherwise(part).alias("n")))
+    inside = Window.partitionBy("_leaf", "_bucket").orderBy("_key", "_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.join(starts, ["_leaf", "_bucket"]).withColumn("_start", F.col("_start") + F.sum("_tokens").over(inside) - F.col("_tokens"))
+    part = F.least(F.col("_tokens"), F.col("_rest") - F.col("_start"))
+    epochs = F.transform(F.sequence(F.lit(0), F.col("_whole")), lambda e: F.struct(e.alias("e"), F.when(e < F.col("_whole"), F.col("_tokens")).otherwise(part).alias("n")))
     return (
         rows.withColumn("_read", F.explode(F.filter(epochs, lambda x: x["n"] > 0)))
-        .withColumns({"epoch": F.col("_read.e"), "tokens": F.col("_tokens"), "tokens_taken": F.col("_read.n")})
-        .drop(*levels, "whole", "rest", "_tokens", "_key", "_bucket", "_start", "_read")
+        .withColumns({"leaf": F.col("_leaf"), "epoch": F.col("_read.e"), "tokens": F.col("_tokens"), "tokens_taken": F.col("_read.n")})
+        .drop(*levels, "_leaf", "_whole", "_rest", "_tokens", "_key", "_bucket", "_start", "_read")
     )

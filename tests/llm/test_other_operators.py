@@ -1,0 +1,169 @@
+"""Pseudonyms, hash tree, secrets, embeddings, URL lists and mixing; the pipeline stage by stage."""
+
+from __future__ import annotations
+
+import datetime as dt
+import re
+from collections import defaultdict
+
+import numpy as np
+import pytest
+from tests.llm.data import documents, none, rows
+
+from siegelog.llm import embeddings, hash_tree, mixing, pseudonyms, secret_forest, url_lists
+from siegelog.llm.queries import domain_of
+
+
+def luhn(number):
+    d = [int(x) for x in number[::-1]]
+    return sum(x if k % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for k, x in enumerate(d)) % 10 == 0
+
+
+def test_pseudonyms(spark):
+    texts = [
+        "card 4539578763621486, again 4539-5787-6362-1486.", "phone +1 (269) 555-3296 and (269) 555-3296", "ip 42.144.35.254.",
+        "on 2024-02-29 or 02/29/2024", "ssn 123-45-6789", "not 4539578763621487 300.1.1.1 2023-02-29 666-45-6789", "a.b@c.org", None, "", "no data 12",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = [r.text for r in pseudonyms.pseudonymised(df, "k").orderBy("doc_id").collect()]
+    assert [r.n_replaced for r in pseudonyms.pseudonymised(df, "k").orderBy("doc_id").collect()] == [2, 2, 1, 2, 1, 0, 1, 0, 0, 0]
+    one, two = re.findall(r"[\d-]{16,}", out[0])
+    assert luhn(one) and two.replace("-", "") == one and one != "4539578763621486"
+    assert re.fullmatch(r"phone \+1 \(\d{3}\) \d{3}-\d{4} and \(\d{3}\) \d{3}-\d{4}", out[1])
+    assert out[1][9:] == out[1][9:23] + " and " + out[1][28:] and out[1][9:23] == out[1][28:]
+    assert out[5] == texts[5] and out[7] is None and out[8:] == texts[8:]
+    iso, american = re.findall(r"[\d/-]{10}", out[3])
+    assert dt.date.fromisoformat(iso) == dt.datetime.strptime(american, "%m/%d/%Y").date()
+    back = pseudonyms.pseudonymised(spark.createDataFrame(list(enumerate(out)), "doc_id long, text string"), "k", inverse=True)
+    restored = [r.text for r in back.orderBy("doc_id").collect()]
+    assert restored[:6] == texts[:6]
+    assert pseudonyms.pseudonymised(none(spark), "k").count() == 0
+    assert pseudonyms.pseudonymised(documents(spark), "k").columns == [*documents(spark).columns, "n_replaced"]
+
+
+def test_hash_tree(spark):
+    tree = hash_tree.Tree.even(16)
+    df = documents(spark).select("doc_id", "text").union(spark.range(5000, 25000).selectExpr("id", "string(id)"))
+    got = hash_tree.sharded(df, tree).collect()
+    slots, by_id = defaultdict(list), defaultdict(set)
+    for r in got:
+        slots[r.shard].append(r.slot)
+        by_id[r.doc_id].add((r.shard, r.grown_shard))
+        assert r.grown_shard in (r.shard, 16)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and len(slots) == 16
+    assert all(len(x) == 1 for x in by_id.values())
+    assert max(map(len, slots.values())) < 1.15 * min(map(len, slots.values()))
+    moved = sum(r.grown_shard == 16 for r in got)
+    assert 0.8 < 17 * moved / len(got) < 1.2
+    heavy = hash_tree.Tree((((1.0, 3.0),),))
+    share = spark.range(20000).select(heavy.shard_of(hash_tree.F.col("id")).alias("s")).filter("s = 1").count() / 20000
+    assert abs(share - 0.75) < 0.02
+    assert hash_tree.sharded(none(spark), tree).count() == 0
+
+
+def vectors():
+    pick = np.random.default_rng(3)
+    centre = pick.normal(size=(40, 16))
+    rows = [c + pick.normal(size=16) * s for c in centre for s in (0.0, 0.05, 0.2, 0.4, 0.4)]
+    rows += [rows[0] * 2, rows[0], rows[7]]
+    return np.array(rows)
+
+
+@pytest.mark.parametrize("tile", [4096, 20])
+def test_embeddings(spark, monkeypatch, tile):
+    monkeypatch.setattr(embeddings, "TILE", tile)
+    a = vectors()
+    bad = [None, [], [0.0] * 16, [float("nan")] * 16, [float("inf")] + [1.0] * 15, [None] + [1.0] * 15, [1.0, 0.0], [2.0, 0.0]]
+    data = [(k, v.tolist()) for k, v in enumerate(a)] + [(1000 + k, v) for k, v in enumerate(bad)] + [(None, [1.0, 0.0])]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>").repartition(3)
+    norm = np.sqrt((a * a).sum(1))
+    linked = a @ a.T / np.outer(norm, norm) >= 0.9
+    want = {}
+    for k in range(len(a)):
+        reach, stack = {k}, [k]
+        while stack:
+            for x in np.flatnonzero(linked[stack.pop()]):
+                if int(x) not in reach:
+                    reach.add(int(x))
+                    stack.append(int(x))
+        want[k] = (int(linked[k].sum()) - 1, min(reach))
+    want |= {1000 + k: (0, 1000 + k) for k in range(6)} | {1006: (1, 1006), 1007: (1, 1006), None: (0, None)}
+    got = embeddings.near_duplicates(df).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == want and len(got) == len(want)
+    assert all(r.kept == (r.vec_id is not None and r.vec_id == r.component_id) for r in got)
+    assert embeddings.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_url_lists(spark):
+    day = lambda k: dt.datetime(2024, 1, 1) + dt.timedelta(days=k)
+    changes = [
+        ("Example.com", "ads", True, day(10)), ("example.com", "ads", False, day(50)), ("example.com", "ads", True, day(90)),
+        ("a.example.com/x", "malware", True, day(0)), ("b.org", "ads", True, day(5)), ("b.org", "ads", False, day(5)), (None, "ads", True, day(1)),
+    ]
+    urls = ["http://u@A.example.com:80/x/y?q", "https://example.com", "http://b.org/", "nothing", None, "http://notexample.com/x"]
+    captured = [(k, u, day(t)) for k, u in enumerate(urls) for t in (0, 9, 10, 49, 50, 95)] + [(9, urls[0], None), (9, urls[0], day(95)), (9, urls[0], day(95))]
+    listed = spark.createDataFrame(changes, "pattern string, category string, active boolean, at timestamp_ntz")
+    df = spark.createDataFrame(captured, "page_id long, url string, fetched timestamp_ntz")
+    got = sorted((r.page_id, str(r.fetched), r.n_active, r.categories) for r in url_lists.evaluated(df, listed).collect())
+
+    def active(url, at):
+        t = None if at is None else (at - day(0)).days
+        ads = t is not None and (10 <= t < 50 or t >= 90)
+        return {
+            urls[0]: (["ads"] if ads else []) + (["malware"] if t is not None else []), urls[1]: ["ads"] if ads else [],
+            urls[2]: ["ads"] if t is not None and t >= 5 else [],
+        }.get(url, [])
+
+    assert got == sorted((k, str(t), len(active(u, t)), ",".join(active(u, t))) for k, u, t in captured)
+    assert url_lists.evaluated(df.limit(0), listed).count() == 0 and url_lists.evaluated(df, listed.limit(0)).filter("n_active > 0").count() == 0
+
+
+def test_mixing(spark):
+    leaves = spark.createDataFrame(
+        [("a", "x", "s1", 100.0), ("a", "x", "s2", 10.0), ("a", "y", "s1", 5.0), ("b", "x", "s1", 1000.0)], "d string, l string, s string, capacity double"
+    )
+    got = {r.leaf: r.budget for r in mixing.budgets(leaves, ["d", "l", "s"], 400 / 1115, {"b": 1.0}).collect()}
+    # a holds 115 of its 200; the rest goes to b
+    assert {k: round(v, 6) for k, v in got.items()} == {"a/x/s1": 100, "a/x/s2": 10, "a/y/s1": 5, "b/x/s1": 285}
+    got = {r.leaf: r.budget for r in mixing.budgets(leaves, ["d", "l", "s"], 100 / 1115, {}).collect()}
+    assert {k: round(v, 6) for k, v in got.items()} == {"a/x/s1": 35, "a/x/s2": 10, "a/y/s1": 5, "b/x/s1": 50}
+    df = documents(spark)
+    for share, epochs in ((0.5, 1), (2.0, 3)):
+        out = mixing.mixed(df, share, {"web": 2.0}, domain_of(mixing.F.col("source")), max_epochs=epochs).collect()
+        total = sum(len((r[1] or "").split()) for r in rows())
+        leaves_read = {r.leaf for r in out}
+        assert abs(sum(r.tokens_taken for r in out) - share * total) <= len(leaves_read) + 1
+        assert all(0 < r.tokens_taken <= r.tokens and r.epoch < epochs + 1 for r in out)
+        assert sum(r.tokens_taken < r.tokens for r in out) <= len(leaves_read)
+    assert mixing.mixed(none(spark), 0.5, {}, domain_of(mixing.F.col("source"))).count() == 0
+
+
+def test_secret_forest(spark):
+    texts = [f"x password=abc{k:015d}f done" if k % 2 else f"about number 45395787636{k:06d} here" for k in range(200)]
+    df = spark.createDataFrame([(k, t, "src0") for k, t in enumerate(texts)] + [(900, None, None), (901, "", "a")], "doc_id long, text string, source string")
+    found = secret_forest.findings(df)
+    assert found.count() == 200
+    held = found.withColumn("label", secret_forest.F.expr("if(doc_id < 120, int(before like '%password=%'), null)"))
+    got = secret_forest.scanned(held).collect()
+    assert all(r.kept == (r.doc_id % 2 == 1) for r in got if r.doc_id >= 120)
+    assert secret_forest.scanned(held.limit(0)).count() == 0
+
+
+def test_pipeline_stages(spark, tmp_path):
+    import corpus_pipeline as P
+    from tests.llm.test_text_operators import brute_join
+
+    df = documents(spark)
+    kept = P.quality_stage(spark, df, "")
+    assert kept.columns == df.columns
+    assert all(len((r.text or "").split()) >= 50 for r in kept.collect() if r.doc_id not in (2, 3))
+    apart = P.near_duplicate_stage(spark, df, "").collect()
+    component = {i: c for i, _, c in brute_join(rows()) if i not in (-1, 2)}
+    assert {r.doc_id for r in apart} - {None, 2} == {i for i, c in component.items() if i == c}
+    hidden = P.pseudonym_stage(spark, df, "")
+    assert hidden.columns == df.columns and hidden.filter("text like '%4539578763621486%' or text like '%a.b@c.example.org%'").count() == 0
+    assert hidden.count() == df.count()
+    mix = P.mixing_stage(spark, df, "")
+    assert mix.columns == df.columns and 0 < mix.count() < df.count()
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    assert {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"} <= set(P.run(spark, str(tmp_path)).columns)
