@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from demo import mapping
@@ -105,12 +105,43 @@ def _normalised(text: DataFrame) -> DataFrame:
     )
 
 
+def _safe_numbers(text: DataFrame) -> DataFrame:
+    """Text to numbers; the latitude is missing in two spellings, the port is also a word."""
+    number = F.col("PID").cast("bigint")
+    latitude = (
+        F.when(number % 3 == 0, " NaN ")
+        .when(number % 7 == 1, "None")
+        .otherwise(F.concat((number % 180 - 90).cast("string"), F.lit(".25")))
+    )
+    return text.select(
+        F.col("PID").alias("pid"),
+        X.safe_double(latitude).alias("latitude"),
+        X.safe_double("Port").alias("port"),
+        X.safe_double("Time").alias("time"),
+    )
+
+
+def _all_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text log, normalised and enriched, in the columns of the fact."""
+    log = logs.normalise(mapping.raw_text(spark, sf_dir)).withColumnRenamed("IP", "ip")
+    return logs.to_attacks(
+        logs.enrich(log, mapping.lookup(spark, sf_dir), mapping.lookup_bound(spark, sf_dir))
+    )
+
+
 def _from_text_to_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole way of a log: text, normalised, enriched, counted by day."""
-    log = logs.normalise(mapping.raw_text(spark, sf_dir)).withColumnRenamed("IP", "ip")
-    attacks = logs.enrich(log, mapping.lookup(spark, sf_dir), mapping.lookup_bound(spark, sf_dir))
-    dated_rows = attacks.filter(F.col("datetime").isNotNull())
-    return dated(rollups.daily(logs.to_attacks(dated_rows), "country"))
+    dated_rows = _all_columns(spark, sf_dir).filter(F.col("datetime").isNotNull())
+    return dated(rollups.daily(dated_rows, "country"))
+
+
+def _file_name() -> Column:
+    return F.substring_index("file", "/", -1)
+
+
+def _file_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = lake.file_statistics(mapping.given(spark, sf_dir, "documents", "labels"))
+    return files.select(_file_name().alias("file"), "rows")
 
 
 def _merged(attacks: DataFrame) -> DataFrame:
@@ -228,6 +259,15 @@ def log_queries() -> dict[str, Query]:
         "ingest_daily_country": _from_text_to_rollup,
         "ingest_undated": on_text(lambda t: lake.undated(logs.normalise(t))),
         "ingest_partition_counts": on_text(lambda t: lake.partition_counts(logs.normalise(t))),
+        "safe_number": on_text(_safe_numbers),
+        "attacks_columns": _all_columns,
+        "union_by_name": lambda spark, sf_dir: mapping.given(
+            spark, sf_dir, "documents", "labels"
+        ).select("doc_id", "lang", "source", "n_chars", "quality", "toxic"),
+        "file_rows": _file_rows,
+        "coverage_by_file": lambda spark, sf_dir: quality.coverage_by_file(
+            mapping.given(spark, sf_dir, "documents", "labels"), ["doc_id", "lang", "quality"]
+        ).withColumn("file", _file_name()),
         "profile_log": on_log(lambda log: quality.profile(log, PROFILED)),
         "profile_top_values": on_log(lambda log: quality.top_values(log, PROFILED)),
         # rollups
@@ -317,12 +357,12 @@ def log_queries() -> dict[str, Query]:
         "series_totals": stats(
             lambda r: S.series_totals(S.series(r, "country", filters()), "country")
         ),
-        "series_maxima": stats(
+        "series_excluding": stats(
             lambda r: S.series_excluding(
                 S.series(r, "country", filters()), "country", list(HIDDEN)
             )
         ),
-        "series_excluding": stats(
+        "series_maxima": stats(
             lambda r: S.visible_maximum(S.series(r, "country", filters()), "country", list(HIDDEN))
         ),
         # volatility

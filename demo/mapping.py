@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siegelog.operators.rollups import Rollups, base_from_log
+from siegelog.sources import lake
 from siegelog.sources.logs import enrich
 
 
@@ -129,8 +130,13 @@ def _supplier_address(key: Column) -> Column:
     return F.concat(F.lit("10.1."), F.floor(key / 256).cast("string"), F.lit("."), (key % 256).cast("string"))
 
 
+def given(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
+    """Files of given tables with differing columns, united by name."""
+    return lake.read_by_name(spark, *(f"{sf_dir}/{name}.parquet" for name in names))
+
+
 @lru_cache(maxsize=None)
-def wide_attacks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def wide_rollups(spark: SparkSession, sf_dir: str) -> Rollups:
     """A log of many years: ``lineitem`` by ship date, ``supplier`` as its lookup."""
     log = table(spark, sf_dir, "lineitem").select(
         F.col("l_shipdate").alias("datetime"),
@@ -149,9 +155,4 @@ def wide_attacks(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.concat(F.lit("NET_"), network).alias("asn_name"),
         )
     )
-    return enrich(log, suppliers, table(spark, sf_dir, "supplier").count())
-
-
-@lru_cache(maxsize=None)
-def wide_rollups(spark: SparkSession, sf_dir: str) -> Rollups:
-    return Rollups.of(wide_attacks(spark, sf_dir))
+    return Rollups.of_base(base_from_log(log, suppliers, lookup_bound(spark, sf_dir)))

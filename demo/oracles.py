@@ -393,6 +393,41 @@ select count(*) as rows, count(*) - count(day) as undated_rows from raw_text""",
         "ingest_partition_counts": "with " + RAW_TEXT + """
 select cast(year(day) as int) as year, cast(month(day) as int) as month, count(*) as rows
 from raw_text where day is not null group by 1, 2""",
+        "safe_number": "with " + RAW_TEXT + f"""
+select r.pid,
+       case when r.number % 3 = 0 or r.number % 7 = 1 then null
+            else cast(concat(cast(r.number % 180 - 90 as varchar), '.25') as double) end as latitude,
+       case when r.number % 7 = 0 then null when r.number % 11 = 0 then 22.7e0
+            else cast({K} as double) end as port,
+       case when r.number % 5 = 0 then null else extract(hour from r.ts) + 0.5e0 end as time
+from raw_text r join events e on r.number = e.event_id""",
+        "attacks_columns": q("""
+select cast(r.day as timestamp) as datetime, cast(year(r.day) as int) as year,
+       cast(month(r.day) as int) as month,
+       concat('10.0.', cast(floor(e.user_id / 256) as int), '.', cast(e.user_id % 256 as int)) as "IP",
+       cast(r.hour_or_zero as bigint) as "Time",
+       k.continent, k.country_code, k.country, k.latitude, k.longitude,
+       k.asn, k.asn_name, k.asn_domain, k.asn_type,
+       concat('node_', cast(e.user_id % 3 as varchar)) as "Node", cast(r.port as bigint) as "Port",
+       r.pid as "PID", r.username as "Username", e.event_type as "Tag",
+       cast(e.props as varchar) as "Message"
+from raw_text r join events e on r.number = e.event_id
+left join ip_lookup k
+  on k.ip = concat('10.0.', cast(floor(e.user_id / 256) as int), '.', cast(e.user_id % 256 as int))""",
+            RAW_TEXT.strip()),
+        "union_by_name": """
+select doc_id, lang, source, n_chars, null as quality, null as toxic from documents
+union all select doc_id, null, null, null, quality, toxic from labels""",
+        "file_rows": """
+select 'documents.parquet' as file, count(*) as rows from documents
+union all select 'labels.parquet', count(*) from labels""",
+        "coverage_by_file": " union all ".join(
+            f"""select '{t}.parquet' as file, '{c}' as "column", count(*) as rows,
+  count({x}) as filled, {rnd(f'100.0e0 * count({x}) / count(*)', 1)} as filled_pct,
+  cast(100.0e0 * count({x}) / count(*) > 90 as int) as enough from {t}"""
+            for t, own in (("documents", ("doc_id", "lang")), ("labels", ("doc_id", "quality")))
+            for c in ("doc_id", "lang", "quality")
+            for x in [c if c in own else "null"]),
         "profile_log": q(" union all ".join(
             f"""select '{c}' as "column", '{t}' as type, count(*) as rows, count({c}) as filled,
   count(distinct {c}) as distinct_values, min(cast({c} as varchar)) as least,
@@ -506,12 +541,12 @@ select cast(date as varchar) as date, country, attacks from daily_country t wher
         "asn_series_countries_list": grid("asn", "asn_name", CS, max_label("Mixed")),
         "asn_series_all": grid(
             "ip_username", "asn_name", f"{U} and {I} and {C}", max_label("Mixed"), given=[ASN]),
-        "series_maxima": f"""
+        "series_excluding": f"""
 select country, max(attacks) as max_attacks from ({series_of_countries})
 where country not in {HIDDEN!r} group by country""",
         "series_totals": f"""
 select country, cast(sum(attacks) as bigint) as total from ({series_of_countries}) group by country""",
-        "series_excluding": f"""
+        "series_maxima": f"""
 select max(attacks) as max_attacks from ({series_of_countries}) where country not in {HIDDEN!r}""",
         # volatility
         "volatile_country": volatility("country", "country", "country <> 'Unknown'"),

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siegelog.functions.scale import broadcast_if_bounded, has_at_most, reliable_checkpoint
+from siegelog.functions.scale import broadcast_if_bounded, reliable_checkpoint
 from siegelog.operators.joins import skewed_join
 from siegelog.schema import ENTITY
 
@@ -20,6 +20,9 @@ ASCENDING = ("first_seen", *ENTITY.values())
 # one task; a deeper one is cut from distributed positions.
 HEAD_ROWS = 100_000
 
+# Values of a metric that cut it into ranges.
+CUTS = 256
+
 # Columns of one value of one metric, in rank order.
 VALUE = ("metric", "missing", "number", "name")
 
@@ -124,27 +127,41 @@ def with_position(df: DataFrame, order: list[Column]) -> DataFrame:
 def ranks(df: DataFrame, key: str, metrics: list[str]) -> DataFrame:
     """``key, metric, rank``: competition rank (1, 2, 2, 4) within each metric.
 
-    Rows are counted per distinct value, the values are sorted over all
-    partitions, and running counts give the rank of a value: 1 + rows before
-    it. Frequent values are left to Spark's skew join. A
-    list that is known to be small is ranked by a window instead.
+    Rows are counted per distinct value. ``CUTS`` values of a metric, those with
+    the least hash, cut its values into ranges; the rank of a value is 1 + rows
+    in earlier ranges + rows before it in its own, so a window holds one range.
+    Frequent values are left to Spark's skew join.
     """
     long = _long(df, key, metrics)
-    if has_at_most(df):
-        order = Window.partitionBy("metric").orderBy(*VALUE[1:])
-        return long.select(key, "metric", F.rank().over(order).cast("bigint").alias("rank"))
     counted = long.groupBy(*VALUE).agg(F.count("*").alias("rows"))
-    rows = _numbered(counted, [F.asc(c) for c in VALUE])
-    offsets = _before_partition(rows, F.col("rows"))
-    inside = Window.partitionBy("_part").orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = F.col("_before") + F.coalesce(F.sum("rows").over(inside), F.lit(0).cast("bigint"))
-    placed = rows.join(broadcast_if_bounded(offsets, _partitions(df)), "_part").select(
-        *VALUE, ahead.alias("ahead")
+    value = F.struct(*VALUE[1:])
+    picked = Window.partitionBy("metric").orderBy(F.xxhash64(*VALUE[1:]), *VALUE[1:])
+    cuts = (
+        counted.withColumn("pick", F.row_number().over(picked))
+        .filter(F.col("pick") <= CUTS)
+        .groupBy("metric")
+        .agg(F.sort_array(F.collect_list(value)).alias("cuts"))
+    )
+    ranged = (
+        counted.join(broadcast_if_bounded(cuts, len(metrics)), "metric")
+        .withColumn("range", F.size(F.filter("cuts", lambda cut: cut < value)))
+        .drop("cuts")
+    )
+    none = F.lit(0).cast("bigint")
+    earlier = Window.partitionBy("metric").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (
+        ranged.groupBy("metric", "range")
+        .agg(F.sum("rows").alias("size"))
+        .select("metric", "range", F.coalesce(F.sum("size").over(earlier), none).alias("start"))
     )
-    starts = placed.groupBy("metric").agg(F.min("ahead").alias("start"))
-    ranked = placed.join(broadcast_if_bounded(starts, len(metrics)), "metric").select(
-        *VALUE, (F.col("ahead") - F.col("start") + 1).alias("rank")
+    inside = (
+        Window.partitionBy("metric", "range")
+        .orderBy(*VALUE[1:])
+        .rowsBetween(Window.unboundedPreceding, -1)
     )
+    ahead = F.col("start") + F.coalesce(F.sum("rows").over(inside), none)
+    bounded = broadcast_if_bounded(starts, len(metrics) * (CUTS + 1))
+    ranked = ranged.join(bounded, ["metric", "range"]).select(*VALUE, (ahead + 1).alias("rank"))
     return skewed_join(long, ranked, *VALUE).select(key, "metric", "rank")
 
 
@@ -180,9 +197,8 @@ def average_rank(
     """``df`` with ``rank_<metric>`` of every metric and their mean ``avg_rank``.
 
     Sorted by the mean; equal means by ``total`` descending, then by name. The
-    input is read several times, so it is checkpointed first.
+    input is read several times; its last shuffle is reused.
     """
-    df = reliable_checkpoint(df)
     by_key = (
         ranks(df, key, metrics)
         .groupBy(key)

@@ -87,12 +87,11 @@ def volatility_summary(rollups: Rollups, dim: str) -> DataFrame:
 
 def country_volatility(rollups: Rollups, n: int = 20) -> DataFrame:
     """Mean, spread, count and maximum of the daily changes of the largest countries."""
-    moves = changes(rollups.country, "country")
     top = largest(rollups.country, "country", n)
+    moves = changes(only(rollups.country, top, "country", n), "country")
     size = F.abs("pct_change")
     return (
-        only(moves, top, "country", n)
-        .groupBy("country")
+        moves.groupBy("country")
         .agg(
             F.avg(size).alias("avg_volatility"),
             F.stddev_samp(size).alias("volatility_stddev"),

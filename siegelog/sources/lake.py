@@ -65,6 +65,11 @@ def read_attacks(
     return attacks
 
 
+def read_by_name(spark: SparkSession, *paths: str) -> DataFrame:
+    """Parquet files with differing columns, united by name; a column a file lacks is NULL."""
+    return spark.read.option("mergeSchema", True).parquet(*paths)
+
+
 def attacks_view(attacks: DataFrame, name: str = "attacks") -> None:
     attacks.createOrReplaceTempView(name)
 

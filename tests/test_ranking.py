@@ -33,14 +33,14 @@ def competition_ranks(values, ascending):
     return [1 + sum(other < mine for other in keyed) for mine in keyed]
 
 
-@pytest.fixture(params=["small", "large"])
-def list_size(request, monkeypatch):
-    """Rank as a list that is known to be small, or as any other."""
-    monkeypatch.setattr(K, "has_at_most", lambda df: request.param == "small")
+@pytest.fixture(params=[2, K.CUTS])
+def cuts(request, monkeypatch):
+    """Few ranges of many values, or many of few."""
+    monkeypatch.setattr(K, "CUTS", request.param)
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_average_rank(spark, list_size, seed):
+def test_average_rank(spark, cuts, seed):
     rows = table(seed, 120)
     df = spark.createDataFrame(rows, SCHEMA).repartition(5)
     metrics = ["total_attacks", "max_pct_change", "first_seen", "ip"]
@@ -68,7 +68,7 @@ def test_average_rank(spark, list_size, seed):
     assert [x.final_rank for x in best] == [1, 2, 3, 4, 5]
 
 
-def test_ranks_do_not_depend_on_layout(spark, list_size):
+def test_ranks_do_not_depend_on_layout(spark, cuts):
     rows = table(3, 60)
     one = spark.createDataFrame(rows, SCHEMA).coalesce(1)
     other = spark.createDataFrame(rows[::-1], SCHEMA).repartition(7)
@@ -76,13 +76,11 @@ def test_ranks_do_not_depend_on_layout(spark, list_size):
     assert get(one) == get(other)
 
 
-def test_ranking_has_no_single_task_window_over_the_rows(spark, monkeypatch):
-    monkeypatch.setattr(K, "has_at_most", lambda df: False)
+def test_ranking_has_no_single_task_window_over_the_rows(spark):
     df = spark.createDataFrame(table(4, 60), SCHEMA)
     plan = K.average_rank(df, ["total_attacks"], "ip")._jdf.queryExecution().executedPlan().toString()
-    for block in plan.split("Exchange SinglePartition")[1:]:
-        # Only the per-partition sums go through one task.
-        assert "_part" in block.split("\n")[1]
+    assert "SinglePartition" not in plan
+    assert "WindowGroupLimit" in plan  # the cuts are picked before they are shuffled
 
 
 def test_positions(spark):
