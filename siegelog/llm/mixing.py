@@ -8,9 +8,10 @@ take to the parent's siblings. Each level is a window over siblings: sorted by
 capacity / weight, those before the water level are full.
 
 A leaf then reads its documents in epochs, each in an order seeded by the epoch, up to its
-budget: whole epochs, and of the last one a prefix of tokens. The prefix is found
-by sums over buckets of that order and a window within each bucket, so no leaf is
-sorted in one task.
+budget: whole epochs, and of the last one a prefix of tokens. The key where the prefix
+ends is found on a table of ids and token counts: sums over buckets of the order name
+one bucket of each leaf, and only that one is sorted. Each document is then compared
+with its leaf's key where it lies, so no text is shuffled or sorted.
 """
 
 from __future__ import annotations
@@ -90,15 +91,17 @@ def mixed(
     without tokens, also those without text, are never read. Repeated rows
     are read each. Columns of ``documents`` with the names above are replaced.
     """
+    levels = ["_domain", "_lang", "_source"]
     rows = documents.drop("leaf", "epoch", "tokens", "tokens_taken").select(
         "*",
         F.coalesce(domain.cast("string"), F.lit(_NONE)).alias("_domain"),
         F.coalesce(F.col("lang").cast("string"), F.lit(_NONE)).alias("_lang"),
         F.coalesce(F.col("source").cast("string"), F.lit(_NONE)).alias("_source"),
-        tokens_in(F.col(text_column)).alias("_tokens"),
-    ).filter("_tokens > 0")
-    levels = ["_domain", "_lang", "_source"]
-    held = stored(rows.groupBy(*levels).agg(F.sum("_tokens").alias("held")), "leaves")
+    )
+    tokens = tokens_in(F.col(text_column))
+    counted = rows.select(*levels, F.col(id_column).alias("_id"), tokens.alias("_tokens")).filter("_tokens > 0")
+    counted = stored(counted, "tokens")
+    held = stored(counted.groupBy(*levels).agg(F.sum("_tokens").alias("held")), "leaves")
     plan = budgets(held.withColumn("capacity", F.col("held") * max_epochs), levels, share / max_epochs, weights)
     plan = plan.withColumn("held", F.col("capacity") / max_epochs)
     plan = plan.select(
@@ -107,23 +110,53 @@ def mixed(
         F.floor(F.col("budget") / F.col("held")).cast("int").alias("_whole"),
         F.floor(F.col("budget") - F.floor(F.col("budget") / F.col("held")) * F.col("held")).cast("long").alias("_rest"),
     )
-    # The order is that of the last epoch, which is the only one that may end early.
     few = held.count() <= BROADCAST_LEAVES
-    rows = rows.join(F.broadcast(plan) if few else plan, levels)
-    rows = rows.withColumn("_key", F.md5(F.concat_ws("|", F.lit(seed), F.col("_whole").cast("string"), F.col(id_column).cast("string"))))
-    rows = rows.withColumn("_bucket", F.substring("_key", 1, BUCKET_DIGITS))
-    before = Window.partitionBy("_leaf").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        rows.groupBy("_leaf", "_bucket")
-        .agg(F.sum("_tokens").alias("n"))
-        .select("_leaf", "_bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
+
+    def keyed(part: DataFrame, leaves: DataFrame, id_: str) -> DataFrame:
+        """With the order of the last epoch, which is the only one that may end early."""
+        key = F.md5(F.concat_ws("|", F.lit(seed), F.col("_whole").cast("string"), F.col(id_).cast("string")))
+        return part.join(F.broadcast(leaves) if few else leaves, levels).withColumn("_key", key)
+
+    ends = stored(_ends(keyed(counted, plan, "_id")), "ends")
+    rows = keyed(rows, plan.join(ends, "_leaf", "left"), id_column).withColumn("_tokens", tokens).filter("_tokens > 0")
+    # A leaf without an end reads the last epoch whole.
+    part = (
+        F.when(F.col("_end").isNull() | (F.col("_key") < F.col("_end")), F.col("_tokens"))
+        .when(F.col("_key") == F.col("_end"), F.col("_rest") - F.col("_start"))
+        .otherwise(F.lit(0).cast("long"))
+    )
+    if ends.filter("_rows > 1").isEmpty():
+        rows = rows.withColumn("_part", part)
+    else:  # rows that share the id at which a leaf ends, by length and text
+        tie = F.coalesce(F.col("_key") == F.col("_end"), F.lit(False))
+        order = Window.partitionBy("_leaf").orderBy("_tokens", F.xxhash64(text_column)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        before = F.col("_start") + F.sum("_tokens").over(order) - F.col("_tokens")
+        tied = rows.filter(tie).withColumn("_part", F.least(F.col("_tokens"), F.col("_rest") - before))
+        rows = rows.filter(~tie).withColumn("_part", part).unionByName(tied)
+    epochs = F.transform(
+        F.sequence(F.lit(0), F.col("_whole")), lambda e: F.struct(e.alias("e"), F.when(e < F.col("_whole"), F.col("_tokens")).otherwise(F.col("_part")).alias("n"))
     )
-    inside = Window.partitionBy("_leaf", "_bucket").orderBy("_key", "_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.join(starts, ["_leaf", "_bucket"]).withColumn("_start", F.col("_start") + F.sum("_tokens").over(inside) - F.col("_tokens"))
-    part = F.least(F.col("_tokens"), F.col("_rest") - F.col("_start"))
-    epochs = F.transform(F.sequence(F.lit(0), F.col("_whole")), lambda e: F.struct(e.alias("e"), F.when(e < F.col("_whole"), F.col("_tokens")).otherwise(part).alias("n")))
     return (
         rows.withColumn("_read", F.explode(F.filter(epochs, lambda x: x["n"] > 0)))
         .withColumns({"leaf": F.col("_leaf"), "epoch": F.col("_read.e"), "tokens": F.col("_tokens"), "tokens_taken": F.col("_read.n")})
-        .drop(*levels, "_leaf", "_whole", "_rest", "_tokens", "_key", "_bucket", "_start", "_read")
+        .drop(*levels, "_leaf", "_whole", "_rest", "_end", "_start", "_rows", "_tokens", "_key", "_part", "_read")
+    )
+
+
+def _ends(rows: DataFrame) -> DataFrame:
+    """Of each leaf the key ``_end`` in which its ``_rest`` of tokens ends, the tokens before it and the rows that share it."""
+
+    def first_over(sums: DataFrame, by: str) -> DataFrame:
+        before = Window.partitionBy("_leaf").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+        sums = sums.withColumn("_start", F.col("_from") + F.coalesce(F.sum("n").over(before), F.lit(0)))
+        return sums.filter("_start <= _rest and _rest < _start + n")
+
+    rows = rows.withColumn("_bucket", F.substring("_key", 1, BUCKET_DIGITS))
+    sums = rows.groupBy("_leaf", "_rest", "_bucket").agg(F.sum("_tokens").alias("n")).withColumn("_from", F.lit(0).cast("long"))
+    buckets = first_over(sums, "_bucket").select("_leaf", "_bucket", F.col("_start").alias("_from"))
+    keys = (
+        rows.join(buckets, ["_leaf", "_bucket"])
+        .groupBy("_leaf", "_rest", "_from", F.col("_key").alias("_end"))
+        .agg(F.sum("_tokens").alias("n"), F.count("*").alias("_rows"))
     )
+    return first_over(keys, "_end").select("_leaf", "_end", "_start", "_rows")

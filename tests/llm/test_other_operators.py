@@ -138,6 +138,17 @@ def test_mixing(spark):
     assert mixing.mixed(none(spark), 0.5, {}, domain_of(mixing.F.col("source"))).count() == 0
 
 
+def test_mixing_of_rows_that_share_an_id(spark):
+    texts = ["a b c", "a b", "x y z", "a b c"] * 8
+    df = spark.createDataFrame([(None, t, "en", "src1") for t in texts] + [(7, "t u v w", "en", "src1")] * 9, "doc_id long, text string, lang string, source string")
+    total = sum(len(t.split()) for t in texts) + 36
+    for share, epochs in ((0.5, 1), (0.3, 1), (1.0, 1), (0.9, 4), (0.6, 4)):
+        out = mixing.mixed(df, share, {}, domain_of(mixing.F.col("source")), max_epochs=epochs).collect()
+        assert sum(r.tokens_taken for r in out) == int(total * share / epochs * epochs + 1e-9)
+        assert sum(r.tokens_taken < r.tokens for r in out) <= 1 and all(0 < r.tokens_taken <= r.tokens for r in out)
+
+
+
 def test_secret_forest(spark):
     texts = [f"x password=abc{k:015d}f done" if k % 2 else f"about number 45395787636{k:06d} here" for k in range(200)]
     df = spark.createDataFrame([(k, t, "src0") for k, t in enumerate(texts)] + [(900, None, None), (901, "", "a")], "doc_id long, text string, source string")
