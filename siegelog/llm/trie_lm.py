@@ -5,7 +5,7 @@ absolutely discounted bigram model, interpolated with the add-0.1 unigrams:
 
     p(w | h) = max(c(hw) - D, 0) / c(h) + D * types(h) / c(h) * unigram(w)
 
-with D from the counts of counts of a shard. It is trained on all texts whose
+with D from the counts of counts of all pairs. It is trained on all texts whose
 crc32 of the id is not 0 modulo 10, and grows with them, so it is not sent to every
 executor: contexts are dealt over shards, and each shard is a trie of its own with
 the levels *contexts*, *pointers* and *successors*. All three are monotone and
@@ -18,8 +18,9 @@ Texts are turned into batches of word numbers once (a stored table). A batch ask
 each shard for its distinct words and pairs and gets the answers back in the
 order of its questions, so what is shuffled are a few large rows for each batch and
 shard. A context with over 1 / HOT of all tokens (at most HOT words, hence a
-broadcast list) is dealt over all shards by its successors; its count is exact,
-and its types are those of a shard times the shards.
+broadcast list) is dealt over all shards by its successors. Before the tries are
+built, the counts of counts and the successors of hot contexts are summed over all
+shards, so the model doesn't depend on how many there are (but for the quantisation).
 """
 
 from __future__ import annotations
@@ -175,6 +176,8 @@ def _answer_words(tokens: int):
     return run
 
 
+_ANSWERED = ["batch", "shard", "codes", "weights", "books"]
+_ANSWERED_TYPES = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
 _PAIRS = ["shard", "batch", "contexts", "context_of", "words", "word_of", "counts"]
 
 
@@ -216,24 +219,33 @@ def _quantised(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return codes.astype(np.uint8), book
 
 
+def _successors(contexts: np.ndarray, followers: np.ndarray, counts: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Contexts, words, numbers of the distinct pairs (context times words plus word) and their counts in training texts.
+
+    Hot contexts that are asked for are there without pairs too.
+    """
+    seen = counts > 0
+    h = np.unique(contexts[seen | np.isin(contexts, hot)])
+    w, of_w = np.unique(followers[seen], return_inverse=True)
+    value, of = np.unique(np.searchsorted(h, contexts[seen]) * max(1, len(w)) + of_w, return_inverse=True)
+    return h, w, value, np.bincount(of, counts[seen]).astype(np.int64)
+
+
 class Trie:
     """A shard's contexts and their successors."""
 
-    def __init__(self, contexts: np.ndarray, followers: np.ndarray, counts: np.ndarray, hot: dict[int, int], shards: int) -> None:
-        """Of pairs (hashes), which may repeat, with their counts in training texts."""
-        seen = counts > 0
-        h, of_h = np.unique(contexts[seen], return_inverse=True)
-        w, of_w = np.unique(followers[seen], return_inverse=True)
+    def __init__(self, contexts: np.ndarray, followers: np.ndarray, counts: np.ndarray, hot: dict[int, tuple[int, int]], cut: float) -> None:
+        """Of pairs (hashes), which may repeat, with their counts in training texts.
+
+        ``hot`` has the count and the types of each hot context, ``cut`` is the discount.
+        """
+        h, w, value, count = _successors(contexts, followers, counts, np.array(sorted(hot), np.uint64))
         self.width = max(1, len(w))
-        value, of = np.unique(of_h * self.width + of_w, return_inverse=True)
-        count = np.bincount(of, counts[seen]).astype(np.int64)
         owner = value // self.width
         total, types = np.bincount(owner, count, len(h)), np.bincount(owner, minlength=len(h)).astype(np.float64)
         for k, x in enumerate(h.tolist()):
             if x in hot:
-                total[k], types[k] = hot[x], types[k] * shards
-        once, twice = int((count == 1).sum()), int((count == 2).sum())
-        cut = min(0.95, once / (once + 2 * twice)) if once else 0.5
+                total[k], types[k] = hot[x]
         code, self.book = _quantised((count - cut) / total[owner])
         weight, self.weights = _quantised(np.minimum(1.0, cut * types / total))
         levels = Levels()
@@ -271,20 +283,49 @@ class Trie:
         return out, weight[of]
 
 
-def _answer_pairs(hot: dict[int, int], shards: int):
+def _pairs_of(rows: list[dict]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """Contexts and words of each row, and the counts of all."""
+    followers = [_grown(r["words"], np.uint64)[_grown(r["word_of"], np.int32)] for r in rows]
+    contexts = [_grown(r["contexts"], np.uint64)[_grown(r["context_of"], np.int32)] for r in rows]
+    return contexts, followers, np.concatenate([_grown(r["counts"], np.int32) for r in rows])
+
+
+def _count_pairs(hot: np.ndarray):
+    """Of a shard: how many pairs are there once and twice, and the types of each hot context, in rows of their own."""
+
     def run(table: pa.Table) -> pa.Table:
+        contexts, followers, counts = _pairs_of(table.to_pylist())
+        h, w, value, count = _successors(np.concatenate(contexts), np.concatenate(followers), counts, hot)
+        types = np.bincount(value // max(1, len(w)), minlength=len(h))
+        own = np.flatnonzero(np.isin(h, hot) & (types > 0))
+        columns = [
+            pa.array([None, *h[own].view(np.int64).tolist()], pa.int64()),
+            pa.array([0, *types[own].tolist()], pa.int64()),
+            pa.array([int((count == 1).sum())] + [0] * len(own), pa.int64()),
+            pa.array([int((count == 2).sum())] + [0] * len(own), pa.int64()),
+        ]
+        return pa.table(columns, ["context", "types", "once", "twice"])
+
+    return run
+
+
+def _answer_pairs(hot: dict[int, int]):
+    def run(table: pa.Table, totals: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        followers = [_grown(r["words"], np.uint64)[_grown(r["word_of"], np.int32)] for r in rows]
-        contexts = [_grown(r["contexts"], np.uint64)[_grown(r["context_of"], np.int32)] for r in rows]
-        counts = np.concatenate([_grown(r["counts"], np.int32) for r in rows])
-        trie = Trie(np.concatenate(contexts), np.concatenate(followers), counts, hot, shards)
+        if not rows:
+            return pa.table([pa.array([], t) for t in _ANSWERED_TYPES], _ANSWERED)
+        contexts, followers, counts = _pairs_of(rows)
+        of_all = totals.to_pylist()[0]
+        once, twice = of_all["once"] or 0, of_all["twice"] or 0
+        cut = min(0.95, once / (once + 2 * twice)) if once else 0.5
+        types_of = {x["context"] & (1 << 64) - 1: x["types"] for x in of_all["hot"] if x["context"] is not None}
+        trie = Trie(np.concatenate(contexts), np.concatenate(followers), counts, {k: (hot[k], t) for k, t in types_of.items()}, cut)
         books = np.stack([trie.book, trie.weights]).tobytes()
         out = []
         for r, h, w in zip(rows, contexts, followers, strict=True):
             code, weight = trie.codes(h, w)
             out.append((r["batch"], r["shard"], _shrunk(code), _shrunk(weight), books))
-        types = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["batch", "shard", "codes", "weights", "books"])
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _ANSWERED_TYPES, strict=True)], _ANSWERED)
 
     return run
 
@@ -357,8 +398,17 @@ def score_documents(documents: DataFrame, id_column: str = "doc_id", text_column
     hot_hashes = np.array(sorted(hot), np.uint64)
 
     asked = batches.mapInArrow(_ask_pairs(shards, hot_hashes), "shard int, batch long, contexts binary, context_of binary, words binary, word_of binary, counts binary")
-    paired = asked.groupBy("shard").applyInArrow(
-        _answer_pairs(hot, shards), "batch long, shard int, codes binary, weights binary, books binary"
+    # One row, given to each shard; in the same query, so that the pairs are shuffled once.
+    totals = (
+        asked.groupBy("shard")
+        .applyInArrow(_count_pairs(hot_hashes), "context long, types long, once long, twice long")
+        .groupBy("context")
+        .agg(F.sum("types").alias("types"), F.sum("once").alias("once"), F.sum("twice").alias("twice"))
+        .agg(F.collect_list(F.struct("context", "types")).alias("hot"), F.sum("once").alias("once"), F.sum("twice").alias("twice"))
+    )
+    each = spark.range(shards).select(F.col("id").cast("int").alias("shard")).crossJoin(F.broadcast(totals))
+    paired = asked.groupBy("shard").cogroup(each.groupBy("shard")).applyInArrow(
+        _answer_pairs(hot), "batch long, shard int, codes binary, weights binary, books binary"
     )
     answers = (
         counted.filter("batch is not null")

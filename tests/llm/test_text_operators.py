@@ -162,6 +162,32 @@ def test_language_model(spark, monkeypatch, shard):
     assert trie_lm.score_documents(none(spark)).count() == 0
 
 
+def test_language_model_over_many_shards(spark, monkeypatch):
+    """Contexts with fewer successors than shards, and discounts, are those of all data."""
+    monkeypatch.setattr(trie_lm, "SHARD_TOKENS", 20)
+    data = [(k, f"dear {['sir', 'madam', 'all'][k % 3]} the " + " the ".join(f"w{k * j % 37}" for j in range(2, 12))) for k in range(60)]
+    tokens = [[*t.split(), None] for _, t in data]
+    held = [zlib.crc32(str(k).encode()) % 10 == 0 for k, _ in data]
+    c, pairs, before = Counter(), Counter(), Counter()
+    for t, h in zip(tokens, held, strict=True):
+        if not h:
+            c.update(t)
+            pairs.update(zip([0, *t[:-1]], t, strict=True))
+            before.update([0, *t[:-1]])
+    n, v = sum(c.values()), len(c)
+    types = Counter(h for h, _ in pairs)
+    assert n // 20 > max(types.values())
+    once, twice = (sum(x == k for x in pairs.values()) for k in (1, 2))
+    cut = min(0.95, once / (once + 2 * twice)) if once else 0.5
+    got = {r.doc_id: r for r in trie_lm.score_documents(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    for (k, _), t in zip(data, tokens, strict=True):
+        want = 0.0
+        for x, w in zip([0, *t[:-1]], t, strict=True):
+            p = (c[w] + 0.1) / (n + 0.1 * (v + 1))
+            want += math.log10((max(pairs[x, w] - cut, 0) + cut * types[x] * p) / before[x] if before[x] else p)
+        assert got[k].n_tokens == len(t) and abs(got[k].score - want) < 0.03 * len(t)
+
+
 def test_elias_fano():
     import numpy as np
 
