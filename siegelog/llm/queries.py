@@ -96,11 +96,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Findings in documents of ``labels`` are the labelled ones: a secret if a rule for its kind confirms it."""
+    """Findings in documents of ``labels`` are the labelled ones, where a rule for their kind tells."""
     found = secret_forest.findings(_table(spark, sf_dir, "documents"))
-    confirmed = F.col("candidate").rlike("^AKIA[0-9A-Z]{16}$") | F.col("before").rlike("(?i)(password|token)\\s*=\\s*\"?$")
     known = _table(spark, sf_dir, "labels").select("doc_id").distinct().withColumn("known", F.lit(True))
-    found = found.join(known, "doc_id", "left").withColumn("label", F.when(F.col("known"), confirmed.cast("int"))).drop("known")
+    found = secret_forest.rule_label(found).join(known, "doc_id", "left").withColumn("label", F.when(F.col("known"), F.col("label"))).drop("known")
     return secret_forest.scanned(found).select(
         "doc_id", "place", F.sha2("candidate", 256).alias("candidate_sha256"), F.length("candidate").alias("length"), "label", "probability", "kept"
     )

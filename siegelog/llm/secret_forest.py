@@ -15,6 +15,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siegelog.llm.pseudonyms import digits_of, luhn_sum
+
 TRAIN_ROWS = 4000
 DICTIONARY_WORDS = 200
 TREES, DEPTH, SEED = 20, 6, 7
@@ -23,13 +25,31 @@ THRESHOLD = 0.5
 # A run is entered at its start only and must hold a digit.
 CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{16,}+"
 BEFORE, AFTER = 60, 30
-# Words that name a secret, and parts of paths that hold examples.
-KEYWORDS = r"(?i)\b(pass(word|wd)?|pwd|secret|token|api|key|auth|credential)s?\b"
+# Words that name a secret: the long ones anywhere in a name, the short ones as a part of it (api_key, apiKey).
+_PART = r"(?:(?<![A-Za-z])|(?<=[a-z])(?=[A-Z]))"
+_NAME = rf"(?i:password|passwd|passphrase|pwd|secret|token|credential|api_?key)|{_PART}(?i:pass|api|key|auth|authorization|bearer)(?:(?i:s)?(?![A-Za-z])|(?=[A-Z]))"
+KEYWORDS = rf"(?:{_NAME})"
+# A name with one of them and = or :, in any quotes, up to where its value begins.
+_GIVEN = r"[A-Za-z0-9_.-]{0,20}[\"'`]?\]?\s{0,3}(?:=>|:=|[=:])\s{0,3}(?:(?i:bearer|basic|token)\s{1,3})?"
+ASSIGNED = rf"(?:{KEYWORDS}{_GIVEN}|\b(?i:bearer)\s{{1,3}})[\"'`]?$"
+# Kinds that show by their own form.
+PREFIXES = (
+    r"^(?:(?:AKIA|ASIA)[0-9A-Z]{16}$|gh[pousr]_[A-Za-z0-9]{20,}|github_pat_\w{20,}|glpat-[\w-]{16,}|xox[abeprs]-[\w-]{10,}"
+    r"|[sr]k_(?:live|test)_\w{10,}|sk-[\w-]{20,}|AIza[\w-]{35}|npm_\w{36}|hf_[A-Za-z0-9]{30,}|eyJ[\w-]{5,}\.[\w-]{5,})"
+)
+# What shows that a finding is none: the parts of its path, what stands for a value, what names a digest.
+SAMPLE_PARTS = r"(?i)(?:^|[/._-])(?:tests?|examples?|samples?|fixtures?|docs?|mocks?)(?:[/._-]|$)"
+PLACEHOLDER = (
+    r"(?i)example|placeholder|change_?me|your[_-]|dummy|x{6}|\*{4}|^[<$%{\[]|getenv|environ|process\.env|\(\)"
+    r"|^(?:true|false|none|null|undefined|string|required|optional)\W*$"
+)
+DIGEST = r"(?i)\b(?:sha-?[0-9]+|md5|commit|checksum|digest|integrity)\W{0,4}$"
+SLUG = r"^(?:[A-Z]?[a-z]+|[0-9]{1,4})(?:[/_+-](?:[A-Z]?[a-z]+|[0-9]{1,4}))+$"
 SAMPLES = r"(?i)test|example|sample|fixture|doc|mock"
 
 FEATURES = [
     "length", "kind_changes", "case_changes", "digits", "uppers", "distinct", "vowels", "hexadecimal",
-    "coverage", "slashes", "sample_path", "path_depth", "keyword_before", "keyword_after", "assigned", "quoted",
+    "coverage", "slashes", "sample_path", "path_depth", "keyword_before", "keyword_after", "assigned", "named", "prefix", "quoted",
 ]
 
 
@@ -58,6 +78,27 @@ def findings(documents: DataFrame, id_column: str = "doc_id", text_column: str =
     return cut.select("doc_id", "path", F.explode(each).alias("x")).select("doc_id", "x.place", "x.candidate", "x.before", "x.after", "path")
 
 
+def rule_label(found: DataFrame) -> DataFrame:
+    """``found`` with ``label``: 1 for every kind of secret that is named here, 0 where a rule shows that it is none, else null.
+
+    Kinds: known prefixes, and the value of any of ``KEYWORDS`` (a plain word after a colon
+    may be prose and has no label). None are: findings under a path of examples,
+    placeholders, and, unless a keyword names them, numbers with a Luhn check digit,
+    digests that are called so and words joined by signs.
+    """
+    c, before = F.col("candidate"), F.col("before")
+    named = before.rlike(ASSIGNED)
+    prose = c.rlike(r"^[A-Za-z]+\W?$") & before.rlike(r":\s*$")
+    number = F.when(c.rlike("^[0-9][0-9-]*$") & F.length(digits_of(c)).between(13, 19), luhn_sum(digits_of(c)) % 10 == 0).otherwise(False)
+    return found.withColumn(
+        "label",
+        F.when(F.col("path").rlike(SAMPLE_PARTS) | c.rlike(PLACEHOLDER), 0)
+        .when(c.rlike(PREFIXES), 1)
+        .when(named, F.when(~prose & ~number, 1))
+        .when(number | before.rlike(DIGEST) | c.rlike(SLUG), 0),
+    )
+
+
 def dictionary(found: DataFrame) -> list[str]:
     """The most frequent words of four letters or more around candidates: a list of bounded length."""
     words = found.select(F.explode(F.regexp_extract_all(F.lower(F.concat_ws(" ", "before", "after")), F.lit(r"\b[a-z]{4,}\b"), F.lit(0))).alias("word"))
@@ -92,6 +133,8 @@ def with_features(found: DataFrame, words: list[str]) -> DataFrame:
             "keyword_before": flag(F.col("before").rlike(KEYWORDS)),
             "keyword_after": flag(F.col("after").rlike(KEYWORDS)),
             "assigned": flag(F.col("before").rlike(r"[=:]\s*[\"']?$")),
+            "named": flag(F.col("before").rlike(ASSIGNED)),
+            "prefix": flag(c.rlike(PREFIXES)),
             "quoted": flag(F.col("before").rlike(r"[\"']$")),
         }
     )
