@@ -1,7 +1,8 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest. DataFrame functions and MLlib only.
 
-A candidate is a run of 16 or more characters of which one is a digit. The forest sees its
-length, the transitions between its kinds of characters, how much of it a
+A candidate is the value a name with a keyword is given (six or more printable characters,
+in quotes or up to white space), a token with dots, or a run of 16 or more characters of
+which one is a digit. The forest sees its length, the transitions between its kinds of characters, how much of it a
 dictionary covers, the path it was found under and the neighbouring words. It is trained
 from labelled findings: a column ``label`` of 1 (secret), 0 (none) or null, of which
 a bounded sample is taken, the first ``TRAIN_ROWS`` of each label in the order of a hash.
@@ -22,16 +23,25 @@ DICTIONARY_WORDS = 200
 TREES, DEPTH, SEED = 20, 6, 7
 THRESHOLD = 0.5
 
-# A run is entered at its start only and must hold a digit.
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{16,}+"
 BEFORE, AFTER = 60, 30
 # Words that name a secret: the long ones anywhere in a name, the short ones as a part of it (api_key, apiKey).
 _PART = r"(?:(?<![A-Za-z])|(?<=[a-z])(?=[A-Z]))"
 _NAME = rf"(?i:password|passwd|passphrase|pwd|secret|token|credential|api_?key)|{_PART}(?i:pass|api|key|auth|authorization|bearer)(?:(?i:s)?(?![A-Za-z])|(?=[A-Z]))"
-KEYWORDS = rf"(?:{_NAME})"
+KEYWORDS = rf"(?=[PSTCAKBpstcakb])(?:{_NAME})"
 # A name with one of them and = or :, in any quotes, up to where its value begins.
 _GIVEN = r"[A-Za-z0-9_.-]{0,20}[\"'`]?\]?\s{0,3}(?:=>|:=|[=:])\s{0,3}(?:(?i:bearer|basic|token)\s{1,3})?"
 ASSIGNED = rf"(?:{KEYWORDS}{_GIVEN}|\b(?i:bearer)\s{{1,3}})[\"'`]?$"
+# The value of such a name. Short looks back come first: they rule most places out.
+_VALUE_OF = rf"(?<=[=:>]\s{{0,3}}{{Q}}|(?i:bearer|basic|token)\s{{1,3}}{{Q}})(?<=(?:{KEYWORDS}{_GIVEN}|\b(?i:bearer)\s{{1,3}}){{Q}})"
+_VALUES = [
+    *(_VALUE_OF.replace("{Q}", q) + rf"[^{q}\p{{Cntrl}}]{{6,}}+(?={q})" for q in "\"'`"),
+    _VALUE_OF.replace("{Q}", "[\"'`]?") + r"(?!(?i:bearer|basic|token)\s)[^\s\p{Cntrl}\"'`][^\s\p{Cntrl}]{5,}(?<![,;)\]}\"'`])",
+]
+# A run is entered at its start only and must hold a digit.
+_RUN = r"(?<![A-Za-z0-9+/_-])(?:eyJ[A-Za-z0-9_-]{5,}+(?:\.[A-Za-z0-9_-]{5,}+){1,2}|(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{16,}+)"
+CANDIDATE = rf"(?<=[=:>\s\"'`])(?:{'|'.join(_VALUES)})|{_RUN}"
+# A text without this has no value of a keyword.
+_NAMED = rf"{KEYWORDS}{_GIVEN}|\b(?i:bearer)\s"
 # Kinds that show by their own form.
 PREFIXES = (
     r"^(?:(?:AKIA|ASIA)[0-9A-Z]{16}$|gh[pousr]_[A-Za-z0-9]{20,}|github_pat_\w{20,}|glpat-[\w-]{16,}|xox[abeprs]-[\w-]{10,}"
@@ -49,7 +59,7 @@ SAMPLES = r"(?i)test|example|sample|fixture|doc|mock"
 
 FEATURES = [
     "length", "kind_changes", "case_changes", "digits", "uppers", "distinct", "vowels", "hexadecimal",
-    "coverage", "slashes", "sample_path", "path_depth", "keyword_before", "keyword_after", "assigned", "named", "prefix", "quoted",
+    "coverage", "slashes", "signs", "blanks", "sample_path", "path_depth", "keyword_before", "keyword_after", "assigned", "named", "prefix", "quoted",
 ]
 
 
@@ -59,13 +69,17 @@ def findings(documents: DataFrame, id_column: str = "doc_id", text_column: str =
     A null text has none; ``place`` counts a document's candidates from 0.
     """
     text = F.col(text_column)
+    named = text.rlike(r"[=:]|(?i:bearer)\s") & text.rlike(_NAMED)
     found = documents.select(
         F.col(id_column).alias("doc_id"),
         F.coalesce(F.col(path_column).cast("string"), F.lit("")).alias("path"),
-        F.when(text.rlike("[0-9]"), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))).alias("found"),
+        F.when(named, F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)))
+        .when(text.rlike("[0-9]|eyJ"), F.regexp_extract_all(text, F.lit(_RUN), F.lit(0)))
+        .alias("found"),
+        named.alias("named"),
         text.alias("text"),
     ).filter(F.size("found") > 0)
-    cut = found.withColumn("rest", F.split("text", CANDIDATE, -1))
+    cut = found.withColumn("rest", F.when(F.col("named"), F.split("text", CANDIDATE, -1)).otherwise(F.split("text", _RUN, -1)))
     each = F.transform(
         "found",
         lambda c, i: F.struct(
@@ -128,6 +142,8 @@ def with_features(found: DataFrame, words: list[str]) -> DataFrame:
             "hexadecimal": flag(c.rlike("^[0-9a-f]+$")),
             "coverage": F.least(F.lit(1.0), covered / n),
             "slashes": share("/"),
+            "signs": share("[^A-Za-z0-9]"),
+            "blanks": share(r"\s"),
             "sample_path": flag(F.col("path").rlike(SAMPLES)),
             "path_depth": F.regexp_count("path", F.lit("/")).cast("double"),
             "keyword_before": flag(F.col("before").rlike(KEYWORDS)),

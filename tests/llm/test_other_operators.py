@@ -160,6 +160,18 @@ def test_secret_forest(spark):
     assert secret_forest.scanned(held.limit(0)).count() == 0
 
 
+def test_secret_candidates(spark):
+    jwt = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0In0.dozjgNryP4J3jVmNHl0w"
+    want = {
+        'password = "Xy9abcd12!q"': "Xy9abcd12!q", 'password="Tr0ub4dor3&horse"': "Tr0ub4dor3&horse", 'password = "correcthorsebatterystaple"': "correcthorsebatterystaple",
+        "db_password: hunter2, user: bob": "hunter2", "secret='two words 1'": "two words 1", f"Authorization: Bearer {jwt}": jwt, f"see {jwt}.": jwt, "PWD=a#$%^&*": "a#$%^&*",
+        '{"api_key": "abcdefgh"}': "abcdefgh", 'token = "abc!defg': "abc!defg", "auth=абвгдежз": "абвгдежз", "plain words: nothing here = there": None, "monkey = banana-split": None,
+    }
+    df = spark.createDataFrame([(k, t, "src0") for k, t in enumerate(want)], "doc_id long, text string, source string")
+    got = {r.doc_id: r.candidate for r in secret_forest.findings(df).collect()}
+    assert [got.get(k) for k in range(len(want))] == list(want.values())
+
+
 def test_secret_labels(spark):
     value = "h7Gk2mQ9xT4vB8nZ1cR5"
     one = [
