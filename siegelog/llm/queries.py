@@ -11,10 +11,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siegelog.llm import (
+    collocations,
+    conversation_trie,
     embeddings,
     hash_tree,
     mixing,
     ngram_join,
+    oracles,
     packing,
     pseudonyms,
     quality,
@@ -123,6 +126,14 @@ def op10_trie_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie_lm.score_documents(_table(spark, sf_dir, "documents"))
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.prefix_trie(_table(spark, sf_dir, "conversations")).drop("node", "parent_node")
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -136,6 +147,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_url_lists,
         op9_mixing,
         op10_trie_lm,
+        op12_conversation_trie,
+        op13_collocations,
     )
 }
 
@@ -307,3 +320,6 @@ def _fill(source: str, target: str) -> str:
 
 for _k in (1, 2, 3):
     SQL["op9_mixing"] = SQL["op9_mixing"].replace(f"{{FILL{_k}}}", _fill(f"c{_k}", f"f{_k}"))
+
+SQL["op12_conversation_trie"] = oracles.CONVERSATION_TRIE
+SQL["op13_collocations"] = oracles.PHRASES
