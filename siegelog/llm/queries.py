@@ -15,6 +15,7 @@ from siegelog.llm import (
     conversation_trie,
     embeddings,
     hash_tree,
+    html_pages,
     mixing,
     ngram_join,
     oracles,
@@ -126,6 +127,10 @@ def op10_trie_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie_lm.score_documents(_table(spark, sf_dir, "documents"))
 
 
+def op11_html_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_pages.main_texts(_table(spark, sf_dir, "pages"))
+
+
 def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie.prefix_trie(_table(spark, sf_dir, "conversations")).drop("node", "parent_node")
 
@@ -147,6 +152,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_url_lists,
         op9_mixing,
         op10_trie_lm,
+        op11_html_pages,
         op12_conversation_trie,
         op13_collocations,
     )
