@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,20 +18,25 @@ from demo.settings import (
     END,
     HIDDEN,
     IP,
+    NEXT_DAY,
     RANK_METRICS,
+    SEARCHES,
     START,
     USERNAME,
     WIDE_END,
     WIDE_START,
+    WHOLE_LOG,
 )
 from siegelog.functions import expressions as X
 from siegelog.operators import ranking, rollups, sets
 from siegelog.operators.joins import skewed_join
 from siegelog.operators.rollups import DAILY, Rollups
+from siegelog.plans import blocks as B
 from siegelog.plans import quality, reports
 from siegelog.plans import series as S
 from siegelog.plans import summary, volatility
 from siegelog.plans.filters import Filters
+from siegelog.schema import ENTITY
 from siegelog.sources import lake, logs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -236,9 +242,74 @@ def wide_queries() -> dict[str, Query]:
     }
 
 
+def union_of(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _unique_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return union_of(
+        [
+            mapping.entity_sets(spark, sf_dir, dim)
+            .unique(spark, START, END)
+            .select(F.lit(dim).alias("dimension"), "entities")
+            for dim in ENTITY
+        ]
+    )
+
+
+def _name_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses and usernames that contain each of the texts."""
+    found = []
+    for dim in ("ip", "username"):
+        index = mapping.name_index(spark, sf_dir, dim)
+        found += [
+            index.search(spark, text).select(F.lit(text).alias("text"), F.col(ENTITY[dim]).alias("name"))
+            for text in SEARCHES
+        ]
+    return union_of(found)
+
+
+def stored_queries() -> dict[str, Query]:
+    """Answers from stored sets, posting lists and blocks of days."""
+
+    def of_blocks(dim: str) -> Query:
+        return lambda spark, sf_dir: B.block_summary(spark, mapping.blocks(spark, sf_dir, dim), dim, START, END)
+
+    def of_wide_blocks(dim: str) -> Query:
+        return lambda spark, sf_dir: B.block_summary(
+            spark, mapping.wide_blocks(spark, sf_dir, dim), dim, WIDE_START, WIDE_END
+        )
+
+    return {
+        "unique_entities": _unique_entities,
+        "unique_ips_by_week": lambda spark, sf_dir: mapping.entity_sets(spark, sf_dir, "ip")
+        .unique_by(spark, F.trunc("date", "week"))
+        .withColumn("period", X.day_text("period")),
+        "unique_ips_by_country": lambda spark, sf_dir: mapping.entity_sets(spark, sf_dir, "ip", "country").unique(
+            spark, START, END
+        ),
+        "returning_ips": lambda spark, sf_dir: mapping.entity_sets(spark, sf_dir, "ip", "country").returning(
+            spark, (START, DAY), (NEXT_DAY, END)
+        ),
+        "name_search": _name_search,
+        **{f"blocks_{dim}_summary": of_blocks(dim) for dim in ENTITY},
+        "blocks_volatile_ip": lambda spark, sf_dir: B.block_volatility(
+            spark, mapping.refreshed_blocks(spark, sf_dir, "ip"), *WHOLE_LOG
+        ),
+        "blocks_volatile_country_range": lambda spark, sf_dir: B.block_volatility(
+            spark, mapping.blocks(spark, sf_dir, "country"), START, END
+        ),
+        "blocks_country_volatility": lambda spark, sf_dir: B.block_spread(
+            spark, mapping.refreshed_blocks(spark, sf_dir, "country"), *WHOLE_LOG
+        ).withColumns({name: X.round_half_up(name, 6) for name in ("avg_volatility", "volatility_stddev")}),
+        "wide_blocks_country_summary": of_wide_blocks("country"),
+        "wide_blocks_ip_summary": of_wide_blocks("ip"),
+    }
+
+
 def queries() -> dict[str, Query]:
     wide = {f"wide_{key}": query for key, query in wide_queries().items()}
-    return {**log_queries(), **wide}
+    return {**log_queries(), **wide, **stored_queries()}
 
 
 def log_queries() -> dict[str, Query]:

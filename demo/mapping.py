@@ -7,12 +7,19 @@ addresses are missing from the lookup; many addresses have days without rows.
 
 from __future__ import annotations
 
+import datetime as dt
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siegelog.functions.scale import scratch_path
+from siegelog.operators.bitmaps import EntitySets
+from siegelog.operators.name_index import NameIndex
 from siegelog.operators.rollups import Rollups, base_from_log
+from siegelog.operators.spans import DayBlocks
+from siegelog.plans.blocks import build_blocks, entity_days
+from siegelog.schema import ENTITY
 from siegelog.sources import lake
 from siegelog.sources.logs import enrich
 
@@ -156,3 +163,45 @@ def wide_rollups(spark: SparkSession, sf_dir: str) -> Rollups:
         )
     )
     return Rollups.of_base(base_from_log(log, suppliers, lookup_bound(spark, sf_dir)))
+
+
+# Tables that are stored once, in the folder the cluster shares, and read by several queries.
+
+
+@lru_cache(maxsize=None)
+def entity_sets(spark: SparkSession, sf_dir: str, dim: str, *groups: str) -> EntitySets:
+    """Daily bitmaps of the entities of a dimension."""
+    sets = EntitySets(scratch_path(spark, f"sets-{dim}"), ENTITY[dim], groups)
+    return sets.build(getattr(rollups(spark, sf_dir), dim))
+
+
+@lru_cache(maxsize=None)
+def name_index(spark: SparkSession, sf_dir: str, dim: str) -> NameIndex:
+    index = NameIndex(scratch_path(spark, f"names-{dim}"), ENTITY[dim])
+    return index.build(getattr(rollups(spark, sf_dir), dim))
+
+
+@lru_cache(maxsize=None)
+def blocks(spark: SparkSession, sf_dir: str, dim: str) -> DayBlocks:
+    return build_blocks(rollups(spark, sf_dir), dim, scratch_path(spark, f"blocks-{dim}"), days=64)
+
+
+@lru_cache(maxsize=None)
+def wide_blocks(spark: SparkSession, sf_dir: str, dim: str) -> DayBlocks:
+    return build_blocks(wide_rollups(spark, sf_dir), dim, scratch_path(spark, f"wide-{dim}"), days=2048)
+
+
+# Days that arrive late: at both ends of the log and inside it.
+LATE = ("2024-01-01", "2024-01-02", "2024-01-10", "2024-01-11", "2024-01-30")
+
+
+@lru_cache(maxsize=None)
+def refreshed_blocks(spark: SparkSession, sf_dir: str, dim: str) -> DayBlocks:
+    """Blocks of a log in which the days of ``LATE`` were wrong or missing at first."""
+    days = entity_days(rollups(spark, sf_dir), dim)
+    late = F.col("date").isin([dt.date.fromisoformat(d) for d in LATE])
+    wrong = days.filter(~late | (F.col("date") == LATE[2])).withColumn(
+        "attacks", F.when(late, F.col("attacks") * 50).otherwise(F.col("attacks"))
+    )
+    stored = DayBlocks(scratch_path(spark, f"late-{dim}"), ENTITY[dim], 6).build(wrong)
+    return stored.refresh(days, [dt.date.fromisoformat(d) for d in LATE])

@@ -15,6 +15,8 @@ from demo.settings import (
     END,
     HIDDEN,
     IP,
+    NEXT_DAY,
+    SEARCHES,
     START,
     USERNAME,
     WIDE_END,
@@ -334,6 +336,49 @@ PROFILE_COLUMNS = {"ip": "string", "node": "string", "port": "bigint", "username
                    "tag": "string"}
 
 
+TEN = """total_attacks, avg_daily, first_seen, last_seen, max_daily, max_absolute_change, max_pct_change,
+       persistence_pct, recent_attacks, active_days"""
+
+
+def ten(numbers: str, entity: str) -> str:
+    """The metrics that blocks of days give, out of a whole summary."""
+    return f"select {entity}, {TEN} from ({numbers})"
+
+
+def stored_answers(answers: dict[str, str]) -> dict[str, str]:
+    """SQL of the queries on stored sets, posting lists and blocks of days."""
+    first, second = (f"date between date '{a}' and date '{b}'" for a, b in ((START, DAY), (NEXT_DAY, END)))
+    texts = ", ".join(f"'{text}'" for text in SEARCHES)
+    days = change_ctes("country", "country", f"country <> 'Unknown' and {RANGE}")
+    return {
+        "unique_entities": answers["entity_counts"],
+        "unique_ips_by_week": q("""
+select cast(cast(date_trunc('week', date) as date) as varchar) as period, count(distinct ip) as entities
+from daily_ip group by 1"""),
+        "unique_ips_by_country": q(f"""
+select country, count(distinct ip) as entities from daily_ip where {RANGE} group by country"""),
+        "returning_ips": q("""
+select country, count(*) filter (in_a and in_b) as both, count(*) filter (in_a and not in_b) as only_first,
+       count(*) filter (in_b and not in_a) as only_second from seen group by country""", f"""
+seen as (select country, ip, bool_or({first}) as in_a, bool_or({second}) as in_b from daily_ip
+  where {RANGE} group by country, ip)"""),
+        "name_search": q(f"""
+select text, name from (select unnest([{texts}]) as text) join names on contains(lower(name), lower(text))""", """
+names as (select distinct ip as name from daily_ip union all select distinct username from daily_username)"""),
+        **{
+            f"blocks_{dim}_summary": ten(answers[f"{dim}_summary"], entity)
+            for dim, entity in (("country", "country"), ("asn", "asn_name"), ("ip", "ip"), ("username", "username"))
+        },
+        "blocks_volatile_ip": answers["volatile_ip"],
+        "blocks_volatile_country_range": answers["volatile_country"].replace(
+            change_ctes("country", "country", "country <> 'Unknown'")[0], days[0]
+        ),
+        "blocks_country_volatility": answers["country_volatility"],
+        "wide_blocks_country_summary": ten(answers["wide_country_summary"], "country"),
+        "wide_blocks_ip_summary": ten(answers["wide_ip_summary"], "ip"),
+    }
+
+
 WIDE_KEYS = (
     "daily_stats",
     "daily_ip",
@@ -690,4 +735,4 @@ chosen as (select country from changes group by country order by max(abs(pct)) d
     }
     for key in WIDE_KEYS:
         answers[f"wide_{key}"] = wide(answers[key])
-    return answers
+    return answers | stored_answers(answers)

@@ -15,3 +15,10 @@ RANK_METRICS = ["total_attacks", "max_pct_change", "first_seen"]
 # Period of the long log, about 2,500 days of shipments.
 WIDE_START = "1996-03-01"
 WIDE_END = "1999-12-20"
+
+# The day after DAY, and a period that holds the whole log.
+NEXT_DAY = "2024-01-11"
+WHOLE_LOG = ("2023-12-01", "2024-03-31")
+
+# Texts of every length a search tells apart.
+SEARCHES = ("1", "0.", "0.1", "CK_", "click", "10.0.0.2", "no such name", "")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,19 +32,28 @@ def has_at_most(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return df.count() <= rows
 
 
-def reliable_checkpoint(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the folder shared by the cluster.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the whole cluster shares: the session's ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only a local session
-    without one (tests) gets a temporary folder.
+    Only a local session without one (tests) gets a temporary folder.
     """
-    spark: SparkSession = df.sparkSession
     context = spark.sparkContext
+    folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="siegelog-checkpoint-")
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="siegelog-checkpoint-")
         context.setCheckpointDir(folder)
+    return folder
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path for a table in the shared folder."""
+    return f"{shared_folder(spark)}/siegelog/{name}-{uuid.uuid4().hex}"
+
+
+def reliable_checkpoint(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the folder shared by the cluster."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
