@@ -27,6 +27,8 @@ from siegelog.llm.wordhash import _LOWER, batches, mix
 
 SHARDS = 4
 BITS = 28
+# Bytes of text in a batch; each takes some 60 bytes of arrays. A longer text is a batch of its own.
+BATCH = 1 << 20
 
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 # Spreads the shards over the bitmap.
@@ -51,17 +53,17 @@ class Tokens:
         self.piece = np.cumsum(_BREAK[data], dtype=np.int64)[starts]
         begin = np.zeros(len(rows) + 1, np.int64)
         np.cumsum([len(r[3]) + 1 for r in rows], out=begin[1:])
-        row = np.repeat(np.arange(len(rows)), np.diff(np.searchsorted(starts, begin)))
+        row = np.repeat(np.arange(len(rows), dtype=np.int32), np.diff(np.searchsorted(starts, begin)))
         offsets = np.zeros(len(starts) + 1, np.int64)
         np.cumsum(ends - starts, out=offsets[1:])
         buffers = [None, pa.py_buffer(offsets), pa.py_buffer(data[inside])]
         coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), buffers).dictionary_encode()
         self.texts = coded.dictionary
-        self.code = coded.indices.to_numpy().astype(np.int64)
+        self.code = coded.indices.to_numpy()
         self.langs = sorted({r[0] for r in rows})
         place = {x: k for k, x in enumerate(self.langs)}
-        self.lang = np.array([place[r[0]] for r in rows], np.int64)[row]
-        self.shard = np.array([r[1] for r in rows], np.int64)[row]
+        self.lang = np.array([place[r[0]] for r in rows], np.int32)[row]
+        self.shard = np.array([r[1] for r in rows], np.int32)[row]
         self.need = np.array([r[2] for r in rows], np.int64)[row]
         own = np.fromiter((xxhash.xxh3_64_intdigest(x) for x in self.texts.to_pylist()), np.uint64, len(self.texts))
         of_lang = np.array([xxhash.xxh3_64_intdigest(x.encode()) for x in self.langs], np.uint64)
@@ -92,7 +94,7 @@ class Tokens:
 def _place(keys: np.ndarray, shard: np.ndarray | None) -> np.ndarray:
     if shard is None:
         return (keys & np.uint64(_MASK)).astype(np.int64)
-    return (((keys >> np.uint64(20)).astype(np.int64)) ^ (shard * _SHARD)) & _MASK
+    return (((keys >> np.uint64(20)).astype(np.int64)) ^ (shard.astype(np.int64) * _SHARD)) & _MASK
 
 
 def _place_of(key: str, shard: str | None) -> Column:
@@ -123,7 +125,7 @@ def _batches(arrow_batches) -> Iterator[Tokens]:
             for lang, shard, need, body in zip(langs, shards, needs, batch.column("text"), strict=True):
                 yield (lang, shard, need, body.as_py()), body.as_py()
 
-    for held in batches(rows()):
+    for held in batches(rows(), BATCH):
         yield Tokens([r[0] for r in held])
 
 
@@ -132,11 +134,11 @@ def _words(arrow_batches) -> Iterator[pa.RecordBatch]:
     for t in _batches(arrow_batches):
         if not len(t.code):
             continue
-        cell = (t.shard * len(t.langs) + t.lang) * len(t.texts) + t.code
+        cell = (t.shard.astype(np.int64) * len(t.langs) + t.lang) * len(t.texts) + t.code
         cells, at, n = np.unique(cell, return_index=True, return_counts=True)
-        langs = pa.DictionaryArray.from_arrays(pa.array(t.lang[at], pa.int32()), pa.array(t.langs)).cast(pa.string())
+        langs = pa.DictionaryArray.from_arrays(pa.array(t.lang[at]), pa.array(t.langs)).cast(pa.string())
         words = t.texts.take(pa.array(t.code[at])).cast(pa.large_string()).cast(pa.string())
-        columns = [pa.array(t.shard[at]), langs, words, pa.array(t.grams[0][at].view(np.int64)), pa.array(n)]
+        columns = [pa.array(t.shard[at], pa.int64()), langs, words, pa.array(t.grams[0][at].view(np.int64)), pa.array(n)]
         yield pa.RecordBatch.from_arrays(columns, ["shard", "lang", "word", "key", "n"])
 
 
@@ -157,7 +159,7 @@ def _miner(lower, size_below: int, sizes: tuple[int, ...]):
                     found, first, n = np.unique(keys[own], return_index=True, return_counts=True)
                     needs = t.need[at][own][first]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(n), shard)), pa.array(needs), pa.array(found.view(np.int64)), pa.array(n)],
+                        [pa.array(np.full(len(n), shard), pa.int64()), pa.array(needs), pa.array(found.view(np.int64)), pa.array(n)],
                         ["shard", "need", "key", "n"],
                     )
 
@@ -175,7 +177,7 @@ def _counter(candidates, longest: int):
                     break
                 at = np.flatnonzero(t.whole(size))
                 at = at[_has(candidates, _place(t.hashes(size)[at], None))]
-                same = t.lang[at]
+                same = t.lang[at].astype(np.int64)
                 for k in range(size):  # numbers of equal beginnings, exact
                     same = np.unique(same * len(texts) + t.code[at + k], return_inverse=True)[1].astype(np.int64)
                 _, first, n = np.unique(same, return_index=True, return_counts=True)
