@@ -8,7 +8,8 @@ that a trainer draws batches of equal lengths.
 Tokens are those that the tokenizer gives for the whole text. The tokenizer's rules
 never reach across white space, so a text is cut into units there, and, for plain
 Latin words, between letters, digits and other signs as its pattern does; each
-distinct unit is encoded once by a Python worker. ``tests/llm/test_packing.py`` compares with whole texts.
+distinct unit, told apart by its bytes, is encoded once by a Python worker.
+``tests/llm/test_text_operators.py`` compares with whole texts.
 """
 
 from __future__ import annotations
@@ -22,10 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siegelog.llm.storage import ship
-from siegelog.llm.wordhash import _LOWER, _SPACE, hash_spans, text_batches, words
+from siegelog.llm.wordhash import _LOWER, _SPACE, text_batches, words
 
 END = 2
-# Encoded units that a Python worker keeps (some 40 bytes each); then it starts anew.
+# Encoded units that a Python worker keeps (some 150 bytes each); then it starts anew.
 KEPT_UNITS = 4_000_000
 # Documents whose tokens are put together at a time.
 GROUP = 256
@@ -73,10 +74,9 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.hashes = np.zeros(0, np.uint64)  # of known units, in order
-        self.numbers = np.zeros(0, np.int64)
+        self.known: dict[bytes, int] = {}
         self.ids = np.zeros(0, np.int32)
-        self.begin = np.zeros(1, np.int64)  # in ids, by number
+        self.begin = np.zeros(1, np.int64)  # in ids, by number of the unit
 
     def _unit(self, unit: bytes, plain: bool) -> list[int]:
         """``plain``: one piece of the tokenizer's pattern, for which only case matters."""
@@ -88,11 +88,10 @@ class Encoder:
         return [t.id for t in self.tokenizer.model.tokenize(piece)]
 
     def _units(self, texts: list[bytes]):
-        """Bytes, where units begin and end, whether they are plain, their hashes, and the first unit of each text."""
+        """Distinct units, whether they are plain, the code of each unit, and the first unit of each text."""
         w = words(texts)
         if not len(w.starts):
-            none = np.zeros(0, np.int64)
-            return w.data, none, none, none, np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
+            return [], np.zeros(0, bool), np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
         kind = _classes(w.data)
         whole = np.logical_or.reduceat(kind == _WHOLE, w.starts)  # up to the next word: white space adds nothing
         cover = np.zeros(len(kind) + 1, np.int8)
@@ -107,30 +106,31 @@ class Encoder:
         of = np.searchsorted(w.starts, starts, "right") - 1
         ends = np.minimum(np.append(starts[1:], len(kind)), w.ends[of])
         data = np.where(inside, w.data, _LOWER[w.data])  # case may matter in a unit that is encoded as a whole
-        return w.data, starts, ends, ~whole[of], hash_spans(data, starts, ends), np.searchsorted(starts, w.begin)
-
-    def _learn(self, data: bytes, starts, ends, plain, hashes) -> None:
-        units = [self._unit(data[a:b], p) for a, b, p in zip(starts.tolist(), ends.tolist(), plain.tolist(), strict=True)]
-        lengths = np.fromiter(map(len, units), np.int64, len(units))
-        known = len(self.numbers)
-        self.ids = np.concatenate([self.ids, np.fromiter((i for x in units for i in x), np.int32, int(lengths.sum()))])
-        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(lengths)])
-        at = np.searchsorted(self.hashes, hashes)
-        self.hashes = np.insert(self.hashes, at, hashes)
-        self.numbers = np.insert(self.numbers, at, np.arange(known, known + len(units)))
+        offsets = np.zeros(len(starts) + 1, np.int64)
+        np.cumsum(ends - starts, out=offsets[1:])
+        buffers = [None, pa.py_buffer(offsets), pa.py_buffer(data[kind != _BLANK])]
+        coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), buffers).dictionary_encode()
+        code = coded.indices.to_numpy()
+        plain = np.zeros(len(coded.dictionary), bool)
+        plain[code] = ~whole[of]
+        return coded.dictionary.to_pylist(), plain, code, np.searchsorted(starts, w.begin)
+
+    def _learn(self, new: list[tuple[bytes, bool]]) -> None:
+        units = [self._unit(unit, plain) for unit, plain in new]
+        known = len(self.known)
+        self.ids = np.concatenate([self.ids, np.fromiter((i for x in units for i in x), np.int32)])
+        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum([len(x) for x in units], dtype=np.int64)])
+        self.known.update((unit, known + k) for k, (unit, _) in enumerate(new))
 
     def encode(self, texts: list[bytes]) -> Iterator[np.ndarray]:
         """Ids of each text, END last."""
-        if len(self.numbers) > KEPT_UNITS:
+        if len(self.known) > KEPT_UNITS:
             self.clear()
-        data, starts, ends, plain, hashes, first = self._units(texts)
-        distinct, one, of = np.unique(hashes, return_index=True, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.hashes, distinct), max(0, len(self.hashes) - 1))
-        new = self.hashes[at] != distinct if len(self.hashes) else np.ones(len(distinct), bool)
-        if new.any():
-            pick = one[new]
-            self._learn(data.tobytes(), starts[pick], ends[pick], plain[pick], distinct[new])
-        unit = self.numbers[np.searchsorted(self.hashes, distinct)][of]
+        units, plain, code, first = self._units(texts)
+        new = [(u, p) for u, p in zip(units, plain.tolist(), strict=True) if u not in self.known]
+        if new:
+            self._learn(new)
+        unit = np.array([self.known[u] for u in units], np.int64)[code]
         for g in range(0, len(texts), GROUP):
             bounds = first[g : g + GROUP + 1]
             own = unit[bounds[0] : bounds[-1]]
