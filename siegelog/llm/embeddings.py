@@ -101,12 +101,18 @@ def _candidates(u: np.ndarray, v: np.ndarray, threshold: float) -> tuple[np.ndar
     return i, j
 
 
+def _scaled(rows: np.ndarray) -> np.ndarray:
+    """Rows times powers of two, largest components from 0.5 to 1: squares neither overflow nor vanish, cosines stay exactly."""
+    _, exponent = np.frexp(np.abs(rows).max(axis=1, initial=0.0))
+    return np.ldexp(rows, -exponent[:, None])
+
+
 def _compared(axes, threshold: float):
     def run(table: pa.Table) -> pa.Table:
         low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
         tile = table.column("tile").to_numpy()
         rep, copies = table.column("rep").to_numpy(), table.column("copies").to_numpy()
-        given = _matrix(table.column("body"))
+        given = _scaled(_matrix(table.column("body")))
         turned = _unit(given) @ axes.value
         norm = np.sqrt(np.einsum("ij,ij->i", given, given))
         left, right = np.flatnonzero(tile == low), np.flatnonzero(tile == high)

@@ -92,15 +92,17 @@ def mixed(
     are read each. Columns of ``documents`` with the names above are replaced.
     """
     levels = ["_domain", "_lang", "_source"]
-    rows = documents.drop("leaf", "epoch", "tokens", "tokens_taken").select(
-        "*",
+    columns = [c for c in documents.columns if c.lower() not in ("leaf", "epoch", "tokens", "tokens_taken")]
+    rows = documents.select(
+        F.struct("*").alias("_row"),
         F.coalesce(domain.cast("string"), F.lit(_NONE)).alias("_domain"),
         F.coalesce(F.col("lang").cast("string"), F.lit(_NONE)).alias("_lang"),
         F.coalesce(F.col("source").cast("string"), F.lit(_NONE)).alias("_source"),
-    )
-    tokens = tokens_in(F.col(text_column))
-    counted = rows.select(*levels, F.col(id_column).alias("_id"), tokens.alias("_tokens")).filter("_tokens > 0")
-    counted = stored(counted, "tokens")
+        F.col(id_column).alias("_id"),
+        tokens_in(F.col(text_column)).alias("_tokens"),
+        F.xxhash64(text_column).alias("_text"),
+    ).filter("_tokens > 0")
+    counted = stored(rows.select(*levels, "_id", "_tokens"), "tokens")
     held = stored(counted.groupBy(*levels).agg(F.sum("_tokens").alias("held")), "leaves")
     plan = budgets(held.withColumn("capacity", F.col("held") * max_epochs), levels, share / max_epochs, weights)
     plan = plan.withColumn("held", F.col("capacity") / max_epochs)
@@ -112,13 +114,13 @@ def mixed(
     )
     few = held.count() <= BROADCAST_LEAVES
 
-    def keyed(part: DataFrame, leaves: DataFrame, id_: str) -> DataFrame:
+    def keyed(part: DataFrame, leaves: DataFrame) -> DataFrame:
         """With the order of the last epoch, which is the only one that may end early."""
-        key = F.md5(F.concat_ws("|", F.lit(seed), F.col("_whole").cast("string"), F.col(id_).cast("string")))
+        key = F.md5(F.concat_ws("|", F.lit(seed), F.col("_whole").cast("string"), F.col("_id").cast("string")))
         return part.join(F.broadcast(leaves) if few else leaves, levels).withColumn("_key", key)
 
-    ends = stored(_ends(keyed(counted, plan, "_id")), "ends")
-    rows = keyed(rows, plan.join(ends, "_leaf", "left"), id_column).withColumn("_tokens", tokens).filter("_tokens > 0")
+    ends = stored(_ends(keyed(counted, plan)), "ends")
+    rows = keyed(rows, plan.join(ends, "_leaf", "left"))
     # A leaf without an end reads the last epoch whole.
     part = (
         F.when(F.col("_end").isNull() | (F.col("_key") < F.col("_end")), F.col("_tokens"))
@@ -129,17 +131,20 @@ def mixed(
         rows = rows.withColumn("_part", part)
     else:  # rows that share the id at which a leaf ends, by length and text
         tie = F.coalesce(F.col("_key") == F.col("_end"), F.lit(False))
-        order = Window.partitionBy("_leaf").orderBy("_tokens", F.xxhash64(text_column)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        order = Window.partitionBy("_leaf").orderBy("_tokens", "_text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         before = F.col("_start") + F.sum("_tokens").over(order) - F.col("_tokens")
         tied = rows.filter(tie).withColumn("_part", F.least(F.col("_tokens"), F.col("_rest") - before))
         rows = rows.filter(~tie).withColumn("_part", part).unionByName(tied)
     epochs = F.transform(
         F.sequence(F.lit(0), F.col("_whole")), lambda e: F.struct(e.alias("e"), F.when(e < F.col("_whole"), F.col("_tokens")).otherwise(F.col("_part")).alias("n"))
     )
-    return (
-        rows.withColumn("_read", F.explode(F.filter(epochs, lambda x: x["n"] > 0)))
-        .withColumns({"leaf": F.col("_leaf"), "epoch": F.col("_read.e"), "tokens": F.col("_tokens"), "tokens_taken": F.col("_read.n")})
-        .drop(*levels, "_leaf", "_whole", "_rest", "_end", "_start", "_rows", "_tokens", "_key", "_part", "_read")
+    rows = rows.withColumn("_read", F.explode(F.filter(epochs, lambda x: x["n"] > 0)))
+    return rows.select(
+        *[F.col("_row")[c].alias(c) for c in columns],
+        F.col("_leaf").alias("leaf"),
+        F.col("_read.e").alias("epoch"),
+        F.col("_tokens").alias("tokens"),
+        F.col("_read.n").alias("tokens_taken"),
     )
 
 

@@ -225,14 +225,17 @@ def _replaced(documents: DataFrame, text_column: str, pattern: str, worth: Colum
     """Replaces what ``pattern`` finds in texts that are ``worth`` a search, and adds to ``n_replaced``."""
     text = F.col(text_column)
     found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.struct(m.alias("old"), new(m).alias("new")))
-    some = documents.withColumn("_found", F.when(worth, found))
+    name = "_found"
+    while name in {c.lower() for c in documents.columns}:
+        name += "_"
+    some = documents.withColumn(name, F.when(worth, found))
     rest = F.split(text, pattern, -1)
-    between = F.concat(F.transform("_found", lambda p: p["new"]), F.array(F.lit("")))
+    between = F.concat(F.transform(name, lambda p: p["new"]), F.array(F.lit("")))
     joined = F.array_join(F.zip_with(rest, between, lambda a, b: F.concat(a, b)), "")
-    changed = F.size(F.filter("_found", lambda p: p["old"] != p["new"]))
-    any_ = F.size("_found") > 0  # null without a search
+    changed = F.size(F.filter(name, lambda p: p["old"] != p["new"]))
+    any_ = F.size(name) > 0  # null without a search
     return (
         some.withColumn("n_replaced", F.col("n_replaced") + F.when(any_, changed).otherwise(0))
         .withColumn(text_column, F.when(any_, joined).otherwise(text))
-        .drop("_found")
+        .drop(name)
     )

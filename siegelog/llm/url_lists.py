@@ -63,11 +63,12 @@ def evaluated(captures: DataFrame, changes: DataFrame, url_column: str = "url",
     A capture without URL, host or time meets no entry: 0 and an empty text. Repeated
     rows are evaluated each. Columns of ``captures`` with those names are replaced.
     """
-    own = captures.drop("n_active", "categories")
-    asked = own.select(F.col(url_column).alias("_url"), F.col(time_column).alias("_at")).distinct()
+    columns = [c for c in captures.columns if c.lower() not in ("n_active", "categories")]
+    own = captures.select(F.struct("*").alias("_row"), F.col(url_column).alias("_of_url"), F.col(time_column).alias("_of_time"))
+    asked = own.select(F.col("_of_url").alias("_url"), F.col("_of_time").alias("_at")).distinct()
     keys = asked.withColumn("pattern", F.explode(patterns_of(F.col("_url")))).withColumn("_span", _span(F.col("_at")))
     # Open intervals reach up to the last capture, and none begins before the first.
-    range_ = captures.agg(F.min(time_column).alias("_first"), F.max(time_column).alias("_last"))
+    range_ = own.agg(F.min("_of_time").alias("_first"), F.max("_of_time").alias("_last"))
     listed = (
         intervals(changes)
         .join(F.broadcast(range_), F.col("since") <= F.col("_last"))  # one row
@@ -81,9 +82,9 @@ def evaluated(captures: DataFrame, changes: DataFrame, url_column: str = "url",
     found = met.groupBy("_url", "_at").agg(
         F.count("*").alias("n_active"), F.array_join(F.array_sort(F.collect_set("category")), ",").alias("categories")
     )
-    same = (F.col(url_column) == F.col("_url")) & (F.col(time_column) == F.col("_at"))
-    return (
-        own.join(found, same, "left")
-        .withColumns({"n_active": F.coalesce("n_active", F.lit(0)).cast("long"), "categories": F.coalesce("categories", F.lit(""))})
-        .drop("_url", "_at")
+    same = (F.col("_of_url") == F.col("_url")) & (F.col("_of_time") == F.col("_at"))
+    return own.join(found, same, "left").select(
+        *[F.col("_row")[c].alias(c) for c in columns],
+        F.coalesce("n_active", F.lit(0)).cast("long").alias("n_active"),
+        F.coalesce("categories", F.lit("")).alias("categories"),
     )
