@@ -1,7 +1,7 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest. DataFrame functions and MLlib only.
 
 A candidate is the value a name with a keyword is given (six or more printable characters,
-in quotes or up to white space), a token with dots, or a run of 16 or more characters of
+in quotes or up to white space), the password in a URL, a token with dots, or a run of 16 or more characters of
 which one is a digit. The forest sees its length, the transitions between its kinds of characters, how much of it a
 dictionary covers, the path it was found under and the neighbouring words. It is trained
 from labelled findings: a column ``label`` of 1 (secret), 0 (none) or null, of which
@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siegelog.llm.pseudonyms import digits_of, luhn_sum
+from siegelog.llm.storage import stored
 
 TRAIN_ROWS = 4000
 DICTIONARY_WORDS = 200
@@ -30,18 +31,21 @@ _NAME = rf"(?i:password|passwd|passphrase|pwd|secret|token|credential|api_?key)|
 KEYWORDS = rf"(?=[PSTCAKBpstcakb])(?:{_NAME})"
 # A name with one of them and = or :, in any quotes, up to where its value begins.
 _GIVEN = r"[A-Za-z0-9_.-]{0,20}[\"'`]?\]?\s{0,3}(?:=>|:=|[=:])\s{0,3}(?:(?i:bearer|basic|token)\s{1,3})?"
-ASSIGNED = rf"(?:{KEYWORDS}{_GIVEN}|\b(?i:bearer)\s{{1,3}})[\"'`]?$"
+# The user in a URL, up to where the password begins.
+_LOGIN = r"://[^\s/:@]{0,40}:"
+ASSIGNED = rf"(?:{KEYWORDS}{_GIVEN}|\b(?i:bearer)\s{{1,3}})[\"'`]?$|{_LOGIN}$"
 # The value of such a name. Short looks back come first: they rule most places out.
 _VALUE_OF = rf"(?<=[=:>]\s{{0,3}}{{Q}}|(?i:bearer|basic|token)\s{{1,3}}{{Q}})(?<=(?:{KEYWORDS}{_GIVEN}|\b(?i:bearer)\s{{1,3}}){{Q}})"
 _VALUES = [
     *(_VALUE_OF.replace("{Q}", q) + rf"[^{q}\p{{Cntrl}}]{{6,}}+(?={q})" for q in "\"'`"),
+    rf"(?<=:)(?<={_LOGIN})[^\s/@]{{3,}}+(?=@)",
     _VALUE_OF.replace("{Q}", "[\"'`]?") + r"(?!(?i:bearer|basic|token)\s)[^\s\p{Cntrl}\"'`][^\s\p{Cntrl}]{5,}(?<![,;)\]}\"'`])",
 ]
 # A run is entered at its start only and must hold a digit.
 _RUN = r"(?<![A-Za-z0-9+/_-])(?:eyJ[A-Za-z0-9_-]{5,}+(?:\.[A-Za-z0-9_-]{5,}+){1,2}|(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{16,}+)"
 CANDIDATE = rf"(?<=[=:>\s\"'`])(?:{'|'.join(_VALUES)})|{_RUN}"
 # A text without this has no value of a keyword.
-_NAMED = rf"{KEYWORDS}{_GIVEN}|\b(?i:bearer)\s"
+_NAMED = rf"{KEYWORDS}{_GIVEN}|\b(?i:bearer)\s|{_LOGIN}[^\s/@]"
 # Kinds that show by their own form.
 PREFIXES = (
     r"^(?:(?:AKIA|ASIA)[0-9A-Z]{16}$|gh[pousr]_[A-Za-z0-9]{20,}|github_pat_\w{20,}|glpat-[\w-]{16,}|xox[abeprs]-[\w-]{10,}"
@@ -174,8 +178,10 @@ def scanned(found: DataFrame) -> DataFrame:
     """``found`` (with ``label``) with ``probability`` of being a secret and ``kept``.
 
     Without labels of both kinds nothing can be told apart: the probability is null and
-    all findings are kept.
+    all findings are kept. Findings are stored once, as dictionary, samples and scores
+    each read them; equal rows are scored each.
     """
+    found = stored(found, "findings")
     rows = with_features(found, dictionary(found))
     model = trained(rows)
     if model is None:
