@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siegelog.llm.storage import ship
+from siegelog.llm.storage import ship, stored
 from siegelog.llm.url_lists import host_of
 
 # A path wins on a host from this part of its votes on.
@@ -351,10 +351,12 @@ def winning_paths(pages: DataFrame, share: float = SHARE) -> DataFrame:
     """
     ship(pages.sparkSession)
     votes = _with_host(pages).select("host", "html").filter("host is not null").mapInArrow(_votes, "host string, path string")
-    votes = votes.filter("path is not null").groupBy("host", "path").agg(F.count("*").alias("n"))
+    votes = stored(votes.filter("path is not null").groupBy("host", "path").agg(F.count("*").alias("n")), "path-votes")
     totals = votes.groupBy("host").agg(F.sum("n").alias("all"))
     won = votes.join(totals, "host").withColumn("share", F.col("n") / F.col("all")).filter(F.col("share") >= share)
-    return won.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("path", "share"))).alias("winners"))
+    won = won.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("path", "share"))).alias("winners"))
+    # stored, so that the planner knows its size before it decides whether pages have to move
+    return stored(won, "winning-paths")
 
 
 def main_texts(pages: DataFrame, share: float = SHARE) -> DataFrame:
