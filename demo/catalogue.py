@@ -28,16 +28,19 @@ from demo.settings import (
     WHOLE_LOG,
 )
 from siegelog.functions import expressions as X
+from siegelog.functions.scale import scratch_path
 from siegelog.operators import ranking, rollups, sets
+from siegelog.operators.heavy import largest_values
 from siegelog.operators.joins import skewed_join
 from siegelog.operators.rollups import DAILY, Rollups
 from siegelog.plans import blocks as B
 from siegelog.plans import quality, reports
 from siegelog.plans import series as S
 from siegelog.plans import summary, volatility
+from siegelog.plans.digests import differing_rows
 from siegelog.plans.filters import Filters
 from siegelog.schema import ENTITY
-from siegelog.sources import lake, logs
+from siegelog.sources import drift, lake, logs
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -269,12 +272,63 @@ def _name_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return union_of(found)
 
 
+def _overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses of two ranges of days by country, from sketches."""
+    first, second = F.col("date").between(START, DAY), F.col("date").between(NEXT_DAY, END)
+    found = mapping.theta_store(spark, sf_dir).overlap(spark, first, second, ("country",))
+    return found.select("country", "both", "only_first", "only_second")
+
+
+def _overlap_of_countries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses of a list of countries in one week and of all countries in the next."""
+    first = F.col("country").isin(*COUNTRIES) & F.col("date").between(START, DAY)
+    return mapping.theta_store(spark, sf_dir).overlap(spark, first, F.col("date").between(NEXT_DAY, END)).drop("error")
+
+
+def _drifting_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types of each column, the one chosen, and how many values it holds in all files."""
+    files = mapping.drifting_files(spark, sf_dir)
+    rows, schema = drift.read_drifting(spark, *files)
+    names = schema.fieldNames()
+    counts = rows.agg(*[F.count(n).alias(n) for n in names]).select(
+        F.inline(F.array(*[F.struct(F.lit(n).alias("column"), F.col(n).alias("filled")) for n in names]))
+    )
+    return drift.chosen_types(spark, *files).join(counts, "column")
+
+
+def _ingest_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows by month as written, and the counts that came with the write."""
+    written = lake.write_checked(logs.normalise(mapping.raw_text(spark, sf_dir)), scratch_path(spark, "ingest"))
+    months = lake.partition_counts(lake.read_attacks(spark, written.accepted))
+    return months.select(
+        F.date_format(F.make_date("year", "month", F.lit(1)), "yyyy-MM").alias("part"), "rows"
+    ).unionByName(
+        spark.createDataFrame(
+            [
+                ("all", written.rows),
+                ("undated", written.undated_rows),
+                ("rejected", spark.read.parquet(written.rejected).count()),
+                (f"first {written.first}", 1),
+                (f"last {written.last}", 1),
+            ],
+            "part string, rows long",
+        )
+    )
+
+
 def stored_queries() -> dict[str, Query]:
     """Answers from stored sets, posting lists and blocks of days."""
 
     def of_blocks(dim: str) -> Query:
         return lambda spark, sf_dir: B.block_summary(spark, mapping.blocks(spark, sf_dir, dim), dim, START, END)
 
+    def heavy_range(column: str) -> Query:
+        def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+            rows = mapping.raw_log(spark, sf_dir).withColumn("date", F.to_date("datetime"))
+            return mapping.log_sketches(spark, sf_dir).largest(rows, column, START, END, 10)[0]
+
+        return query
+
     def of_wide_blocks(dim: str) -> Query:
         return lambda spark, sf_dir: B.block_summary(
             spark, mapping.wide_blocks(spark, sf_dir, dim), dim, WIDE_START, WIDE_END
@@ -292,6 +346,23 @@ def stored_queries() -> dict[str, Query]:
             spark, (START, DAY), (NEXT_DAY, END)
         ),
         "name_search": _name_search,
+        "heavy_ips": lambda spark, sf_dir: largest_values(mapping.raw_log(spark, sf_dir), "ip", 20)[0],
+        "heavy_ips_range": heavy_range("ip"),
+        "heavy_usernames_range": heavy_range("username"),
+        "overlap_estimate": _overlap,
+        "overlap_of_countries": _overlap_of_countries,
+        "differing_rows": lambda spark, sf_dir: dated(
+            differing_rows(
+                mapping.rollups(spark, sf_dir).ip, mapping.altered_ip_rollup(spark, sf_dir), ["date", "ip", "country"], ["attacks"]
+            )
+        ),
+        "threshold_top_ips": lambda spark, sf_dir: mapping.size_classes(spark, sf_dir, "ip").largest(spark, START, END, 10)[0],
+        "wide_threshold_top_ips": lambda spark, sf_dir: mapping.size_classes(spark, sf_dir, "ip", True).largest(
+            spark, WIDE_START, WIDE_END, 10
+        )[0],
+        "union_of_drifting_types": lambda spark, sf_dir: drift.read_drifting(spark, *mapping.drifting_files(spark, sf_dir))[0],
+        "drifting_types": _drifting_types,
+        "ingest_report": _ingest_report,
         **{f"blocks_{dim}_summary": of_blocks(dim) for dim in ENTITY},
         "blocks_volatile_ip": lambda spark, sf_dir: B.block_volatility(
             spark, mapping.refreshed_blocks(spark, sf_dir, "ip"), *WHOLE_LOG

@@ -13,11 +13,15 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from demo.settings import DAY, IP
 from siegelog.functions.scale import scratch_path
 from siegelog.operators.bitmaps import EntitySets
+from siegelog.operators.heavy import DailySketches
 from siegelog.operators.name_index import NameIndex
 from siegelog.operators.rollups import Rollups, base_from_log
+from siegelog.operators.sketch_sets import SketchStore
 from siegelog.operators.spans import DayBlocks
+from siegelog.operators.threshold import SizeClasses
 from siegelog.plans.blocks import build_blocks, entity_days
 from siegelog.schema import ENTITY
 from siegelog.sources import lake
@@ -205,3 +209,48 @@ def refreshed_blocks(spark: SparkSession, sf_dir: str, dim: str) -> DayBlocks:
     )
     stored = DayBlocks(scratch_path(spark, f"late-{dim}"), ENTITY[dim], 6).build(wrong)
     return stored.refresh(days, [dt.date.fromisoformat(d) for d in LATE])
+
+
+@lru_cache(maxsize=None)
+def log_sketches(spark: SparkSession, sf_dir: str) -> DailySketches:
+    """Bucket counts of addresses and usernames by day, straight from the log."""
+    rows = raw_log(spark, sf_dir).withColumn("date", F.to_date("datetime"))
+    return DailySketches(scratch_path(spark, "heavy"), ("ip", "username")).build(rows)
+
+
+@lru_cache(maxsize=None)
+def theta_store(spark: SparkSession, sf_dir: str) -> SketchStore:
+    store = SketchStore(scratch_path(spark, "theta"), "ip", ("country",))
+    return store.build(rollups(spark, sf_dir).ip)
+
+
+@lru_cache(maxsize=None)
+def size_classes(spark: SparkSession, sf_dir: str, dim: str, wide: bool = False) -> SizeClasses:
+    tables = wide_rollups(spark, sf_dir) if wide else rollups(spark, sf_dir)
+    return SizeClasses(scratch_path(spark, f"classes-{dim}"), ENTITY[dim]).build(getattr(tables, dim))
+
+
+@lru_cache(maxsize=None)
+def drifting_files(spark: SparkSession, sf_dir: str) -> tuple[str, ...]:
+    """The events of four groups of users as files with differing columns and types."""
+    events, path = table(spark, sf_dir, "events"), scratch_path(spark, "drift")
+    user, number = F.col("user_id"), F.col("event_id")
+    parts = [
+        events.filter(user % 4 == 0).select(number.cast("int").alias("event_id"), user.alias("user_id"), F.to_date("ts").alias("ts")),
+        events.filter(user % 4 == 1).select((number + F.lit(0.5)).alias("event_id"), user.cast("short").alias("USER_ID"), F.col("ts").cast("timestamp_ntz").alias("ts")),
+        events.filter(user % 4 == 2).select(number.alias("event_id"), F.concat(F.lit("u"), user.cast("string")).alias("user_id"), F.to_date("ts").alias("ts"), "event_type"),
+        events.filter(user % 4 == 3).select(number.alias("event_id"), user.cast("double").alias("user_id"), F.lit(None).cast("date").alias("ts"), (number % 2 == 0).alias("event_type")),
+    ]
+    for k, part in enumerate(parts):
+        part.write.parquet(f"{path}/{k}")
+    return tuple(f"{path}/{k}" for k in range(len(parts)))
+
+
+def altered_ip_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The daily address rollup with a few rows changed, one dropped and one added."""
+    rollup = rollups(spark, sf_dir).ip.select("date", "ip", "country", "attacks")
+    changed = (F.col("ip") == IP) & F.dayofmonth("date").isin(5, 17)
+    dropped = (F.col("ip") == "10.0.0.7") & (F.col("date") == F.lit(DAY).cast("date"))
+    added = rollup.filter((F.col("ip") == IP) & (F.col("date") == F.lit(DAY).cast("date"))).withColumn("ip", F.lit("planted"))
+    kept = rollup.filter(~dropped).withColumn("attacks", F.when(changed, F.col("attacks") + 3).otherwise(F.col("attacks")))
+    return kept.unionByName(added)

@@ -360,11 +360,56 @@ select country, count(distinct ip) as entities from daily_ip where {RANGE} group
         "returning_ips": q("""
 select country, count(*) filter (in_a and in_b) as both, count(*) filter (in_a and not in_b) as only_first,
        count(*) filter (in_b and not in_a) as only_second from seen group by country""", f"""
+seen as (select country, ip, bool_or({first}) as in_a, bool_or({second}) as in_b from daily_ip
+  where {RANGE} group by country, ip)"""),
+        "overlap_estimate": q("""
+select country, count(*) filter (in_a and in_b) as both, count(*) filter (in_a and not in_b) as only_first,
+       count(*) filter (in_b and not in_a) as only_second from seen group by country""", f"""
 seen as (select country, ip, bool_or({first}) as in_a, bool_or({second}) as in_b from daily_ip
   where {RANGE} group by country, ip)"""),
         "name_search": q(f"""
 select text, name from (select unnest([{texts}]) as text) join names on contains(lower(name), lower(text))""", """
 names as (select distinct ip as name from daily_ip union all select distinct username from daily_username)"""),
+        "heavy_ips": q("""
+select ip, count(*) as attacks from raw_log group by ip order by attacks desc, ip limit 20"""),
+        **{
+            f"heavy_{name}_range": q(f"""
+select {column}, count(*) as attacks from raw_log where {RANGE} group by {column}
+order by attacks desc, {column} limit 10""")
+            for name, column in (("ips", "ip"), ("usernames", "username"))
+        },
+        "overlap_of_countries": q(f"""
+select count(*) filter (in_a and in_b) as both, count(*) filter (in_a and not in_b) as only_first,
+       count(*) filter (in_b and not in_a) as only_second, count(*) filter (in_a or in_b) as either
+from (select ip, bool_or({first} and country in {COUNTRIES!r}) as in_a, bool_or({second}) as in_b
+      from daily_ip where {RANGE} group by ip)"""),
+        "differing_rows": q(f"""
+select cast(date as varchar) as date, ip, country, attacks, 'only_first' as side from daily_ip
+  where ip = '{IP}' and day(date) in (5, 17) or ip = '10.0.0.7' and date = date '{DAY}'
+union all select cast(date as varchar), ip, country, attacks + 3, 'only_second' from daily_ip
+  where ip = '{IP}' and day(date) in (5, 17)
+union all select cast(date as varchar), 'planted', country, attacks, 'only_second' from daily_ip
+  where ip = '{IP}' and date = date '{DAY}'"""),
+        "threshold_top_ips": answers["top_ips_range"],
+        "wide_threshold_top_ips": wide(answers["top_ips_range"]),
+        "union_of_drifting_types": """
+select case when user_id % 4 = 1 then event_id + 0.5e0 else event_id::double end as event_id,
+       case when user_id % 4 = 2 then 'u' else '' end || user_id::varchar as user_id,
+       case user_id % 4 when 1 then ts::timestamp when 3 then null else date_trunc('day', ts)::timestamp end as ts,
+       case user_id % 4 when 2 then event_type when 3 then (event_id % 2 = 0)::varchar end as event_type
+from events""",
+        "drifting_types": """
+select 'event_id' as "column", 'bigint,double,int' as types, 'double' as chosen, count(event_id) as filled from events
+union all select 'user_id', 'bigint,double,smallint,string', 'string', count(user_id) from events
+union all select 'ts', 'date,timestamp_ntz', 'timestamp_ntz', count(ts) filter (user_id % 4 < 3) from events
+union all select 'event_type', 'boolean,string', 'string', count(event_type) filter (user_id % 4 >= 2) from events""",
+        "ingest_report": "with " + RAW_TEXT + """
+select strftime(day, '%Y-%m') as part, count(*) as rows from raw_text where day is not null group by 1
+union all select 'all', count(*) from raw_text
+union all select 'undated', count(*) - count(day) from raw_text
+union all select 'rejected', count(*) - count(day) from raw_text
+union all select concat('first ', min(day), ' 00:00:00'), 1 from raw_text
+union all select concat('last ', max(day), ' 00:00:00'), 1 from raw_text""",
         **{
             f"blocks_{dim}_summary": ten(answers[f"{dim}_summary"], entity)
             for dim, entity in (("country", "country"), ("asn", "asn_name"), ("ip", "ip"), ("username", "username"))

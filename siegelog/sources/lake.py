@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 PARTITION = ("year", "month")
@@ -29,6 +31,44 @@ def write_attacks(
     )
 
 
+@dataclass(frozen=True)
+class Written:
+    """What ``write_checked`` wrote: the folders of kept and rejected rows, and counts taken on the way."""
+
+    accepted: str
+    rejected: str
+    rows: int
+    undated_rows: int
+    first: object
+    last: object
+
+
+def write_checked(attacks: DataFrame, path: str, mode: str = "overwrite") -> Written:
+    """Write the fact and its rejects in one pass: counts come with the write, not from another scan.
+
+    ``path/accepted=true`` is the lake by year and month; rows without a date go to
+    ``path/accepted=false`` as they are. Rows by partition are in the footers of the
+    written files (``partition_counts`` of ``read_attacks(spark, written.accepted)``).
+    """
+    seen = Observation("written")
+    undated_row = F.col("datetime").isNull()
+    counted = attacks.observe(
+        seen,
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(undated_row).alias("undated_rows"),
+        F.min("datetime").alias("first"),
+        F.max("datetime").alias("last"),
+    )
+    (
+        counted.withColumn("accepted", ~undated_row)
+        .write.mode(mode)
+        .option("compression", "snappy")
+        .partitionBy("accepted", *PARTITION)
+        .parquet(path)
+    )
+    return Written(f"{path}/accepted=true", f"{path}/accepted=false", **seen.get)
+
+
 def undated(attacks: DataFrame) -> DataFrame:
     """Number of rows that ``write_attacks`` leaves out, one row."""
     return attacks.agg(
