@@ -34,7 +34,7 @@ from siegelog.operators.heavy import largest_values
 from siegelog.operators.joins import skewed_join
 from siegelog.operators.rollups import DAILY, Rollups
 from siegelog.plans import blocks as B
-from siegelog.plans import quality, reports
+from siegelog.plans import quality, reports, tables
 from siegelog.plans import series as S
 from siegelog.plans import summary, volatility
 from siegelog.plans.digests import differing_rows
@@ -296,6 +296,22 @@ def _drifting_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.chosen_types(spark, *files).join(counts, "column")
 
 
+def _stored_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and sums of everything that one pass over the log stores."""
+    path = scratch_path(spark, "tables")
+    tables.build(mapping.attacks(spark, sf_dir), path)
+    measure = {
+        "country_stats": "total_attacks", "top_ips": "unique_usernames", "username_stats": "unique_ips", "hourly_patterns": "unique_ips",
+        "daily_country": "attacks", "daily_ip_username": "attacks", "volatile_ip_summary": "attacks_on_max",
+    }
+    return union_of(
+        [
+            spark.read.parquet(f"{path}/{name}").agg(F.count("*").alias("rows"), F.sum(column).alias("total")).withColumn("name", F.lit(name))
+            for name, column in measure.items()
+        ]
+    )
+
+
 def _ingest_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows by month as written, and the counts that came with the write."""
     written = lake.write_checked(logs.normalise(mapping.raw_text(spark, sf_dir)), scratch_path(spark, "ingest"))
@@ -363,6 +379,16 @@ def stored_queries() -> dict[str, Query]:
         "union_of_drifting_types": lambda spark, sf_dir: drift.read_drifting(spark, *mapping.drifting_files(spark, sf_dir))[0],
         "drifting_types": _drifting_types,
         "ingest_report": _ingest_report,
+        "ingest_csv": lambda spark, sf_dir: _normalised(logs.read_logs(spark, mapping.csv_logs(spark, sf_dir))),
+        "lookup_json": lambda spark, sf_dir: logs.read_lookup(spark, mapping.json_lookups(spark, sf_dir)[0]),
+        "lookup_json_lines": lambda spark, sf_dir: logs.read_lookup_lines(spark, mapping.json_lookups(spark, sf_dir)[1]),
+        "lake_range": lambda spark, sf_dir: lake.read_attacks(
+            spark, mapping.stored_lake(spark, sf_dir), START, END
+        ).select(F.col("PID").alias("pid"), "datetime", "year", "month"),
+        "lake_files": lambda spark, sf_dir: lake.conversion_statistics(
+            lake.read_attacks(spark, mapping.stored_lake(spark, sf_dir))
+        ).select("year", "month", "files", "rows"),
+        "stored_tables": _stored_tables,
         **{f"blocks_{dim}_summary": of_blocks(dim) for dim in ENTITY},
         "blocks_volatile_ip": lambda spark, sf_dir: B.block_volatility(
             spark, mapping.refreshed_blocks(spark, sf_dir, "ip"), *WHOLE_LOG

@@ -25,7 +25,7 @@ from siegelog.operators.threshold import SizeClasses
 from siegelog.plans.blocks import build_blocks, entity_days
 from siegelog.schema import ENTITY
 from siegelog.sources import lake
-from siegelog.sources.logs import enrich
+from siegelog.sources.logs import enrich, normalise
 
 
 # The functions below are cached per session and folder: a plan is made once, as
@@ -101,13 +101,14 @@ def lookup_bound(spark: SparkSession, sf_dir: str) -> int:
 
 @lru_cache(maxsize=None)
 def attacks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return enrich(raw_log(spark, sf_dir), lookup(spark, sf_dir), lookup_bound(spark, sf_dir))
+    # s_suppkey is the key of its table
+    return enrich(raw_log(spark, sf_dir), lookup(spark, sf_dir), lookup_bound(spark, sf_dir), unique=True)
 
 
 @lru_cache(maxsize=None)
 def rollups(spark: SparkSession, sf_dir: str) -> Rollups:
     log, known = raw_log(spark, sf_dir), lookup(spark, sf_dir)
-    return Rollups.of_base(base_from_log(log, known, lookup_bound(spark, sf_dir)))
+    return Rollups.of_base(base_from_log(log, known, lookup_bound(spark, sf_dir), unique=True))
 
 
 @lru_cache(maxsize=None)
@@ -166,7 +167,7 @@ def wide_rollups(spark: SparkSession, sf_dir: str) -> Rollups:
             F.concat(F.lit("NET_"), network).alias("asn_name"),
         )
     )
-    return Rollups.of_base(base_from_log(log, suppliers, lookup_bound(spark, sf_dir)))
+    return Rollups.of_base(base_from_log(log, suppliers, lookup_bound(spark, sf_dir), unique=True))
 
 
 # Tables that are stored once, in the folder the cluster shares, and read by several queries.
@@ -254,3 +255,52 @@ def altered_ip_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     added = rollup.filter((F.col("ip") == IP) & (F.col("date") == F.lit(DAY).cast("date"))).withColumn("ip", F.lit("planted"))
     kept = rollup.filter(~dropped).withColumn("attacks", F.when(changed, F.col("attacks") + 3).otherwise(F.col("attacks")))
     return kept.unionByName(added)
+
+
+# The raw files a user starts from, made of the given tables.
+
+
+@lru_cache(maxsize=None)
+def csv_logs(spark: SparkSession, sf_dir: str) -> str:
+    """The text log as CSV files with a header, in a folder for each sensor."""
+    path = scratch_path(spark, "csv")
+    names = ["Date", "Time", "IP", "Node", "Port", "PID", "Username", "Tag", "Message"]
+    log = raw_text(spark, sf_dir).select(*names, F.col("Node").alias("sensor"))
+    log.write.partitionBy("sensor").option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    return path
+
+
+@lru_cache(maxsize=None)
+def json_lookups(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """The lookup as JSON objects keyed by address, one for each network in a file of its own, and as lines."""
+    known = lookup(spark, sf_dir)
+    text = lambda c: F.col(c).cast("string")
+    owner = F.struct(
+        F.col("asn"), F.col("asn_name").alias("name"), F.col("asn_domain").alias("domain"), F.col("asn_type").alias("type")
+    ).alias("asn")
+    entry = F.struct(
+        F.col("continent").alias("cntn"),
+        F.col("country_code").alias("cc"),
+        F.col("country").alias("cn"),
+        F.when(F.col("asn") == "AS3", F.lit("unknown")).otherwise(text("latitude")).alias("lat"),
+        text("longitude").alias("lng"),
+        owner,
+    )
+    objects, lines = scratch_path(spark, "lookup"), scratch_path(spark, "lookup-lines")
+    each = known.select("asn_name", "ip", entry.alias("entry"))
+    whole = each.groupBy("asn_name").agg(F.map_from_entries(F.collect_list(F.struct("ip", "entry"))).alias("entries"))
+    whole.select(F.to_json("entries").alias("value")).write.option("maxRecordsPerFile", 1).text(objects)
+    each.select(F.to_json(F.struct("ip", "entry")).alias("value")).write.text(lines)
+    return objects, lines
+
+
+@lru_cache(maxsize=None)
+def stored_lake(spark: SparkSession, sf_dir: str) -> str:
+    """The normalised log written in two appends, and compacted to fewer files."""
+    path = scratch_path(spark, "lake")
+    log = normalise(raw_text(spark, sf_dir))
+    number = F.col("PID").cast("bigint")
+    for half in (0, 1):
+        lake.write_attacks(log.filter(number % 2 == half).repartition(3), path)
+    lake.compact(spark, path, scratch_path(spark, "staging"))
+    return path

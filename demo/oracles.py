@@ -403,6 +403,27 @@ select 'event_id' as "column", 'bigint,double,int' as types, 'double' as chosen,
 union all select 'user_id', 'bigint,double,smallint,string', 'string', count(user_id) from events
 union all select 'ts', 'date,timestamp_ntz', 'timestamp_ntz', count(ts) filter (user_id % 4 < 3) from events
 union all select 'event_type', 'boolean,string', 'string', count(event_type) filter (user_id % 4 >= 2) from events""",
+        "ingest_csv": answers["ingest_normalise"],
+        **dict.fromkeys(("lookup_json", "lookup_json_lines"), q("""
+select * replace (case when asn = 'AS3' then null else latitude end as latitude) from ip_lookup""")),
+        "lake_range": "with " + RAW_TEXT + f"""
+select pid, cast(day as timestamp) as datetime, cast(year(day) as int) as year, cast(month(day) as int) as month
+from raw_text where day between date '{START}' and date '{END}'""",
+        "lake_files": "with " + RAW_TEXT + """
+select cast(year(day) as int) as year, cast(month(day) as int) as month, 1::bigint as files, count(*) as rows
+from raw_text where day is not null group by 1, 2""",
+        "stored_tables": " union all ".join(
+            f"select '{name}' as name, count(*) as rows, cast(sum({column}) as bigint) as total from ({answers[key]})"
+            for name, key, column in (
+                ("country_stats", "country_stats", "total_attacks"),
+                ("top_ips", "top_ips", "unique_usernames"),
+                ("username_stats", "username_stats", "unique_ips"),
+                ("hourly_patterns", "hourly_patterns", "unique_ips"),
+                ("daily_country", "daily_country", "attacks"),
+                ("daily_ip_username", "daily_ip_username", "attacks"),
+                ("volatile_ip_summary", "volatile_ip", "attacks_on_max"),
+            )
+        ),
         "ingest_report": "with " + RAW_TEXT + """
 select strftime(day, '%Y-%m') as part, count(*) as rows from raw_text where day is not null group by 1
 union all select 'all', count(*) from raw_text

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
+from operator import add
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# A side is broadcast only when it is known to have at most this many rows.
+# A side is broadcast only when it is known to have at most this many rows, and as measured bytes.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 
 
 def broadcast_if_bounded(df: DataFrame, rows: int | None) -> DataFrame:
@@ -23,13 +27,17 @@ def broadcast_if_bounded(df: DataFrame, rows: int | None) -> DataFrame:
     return df
 
 
-def has_at_most(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``rows`` rows.
+def has_at_most(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` has at most ``rows`` rows of ``size`` bytes in all.
 
-    A plain count: partial counts move no rows, and for Parquet the file
-    footers are enough.
+    One aggregation without a shuffle of rows: the lengths of texts, 16 bytes for
+    each other value.
     """
-    return df.count() <= rows
+    plain = 16 * len(df.columns)
+    texts = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema.fields if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    width = reduce(add, texts, F.lit(plain)).cast("long")
+    found = df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(width), F.lit(0)).alias("bytes")).first()
+    return found["rows"] <= rows and found["bytes"] <= size
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -35,7 +35,7 @@ def number_entities(entities: DataFrame, key: str, known: DataFrame | None = Non
 def bitmaps(rows: DataFrame, numbers: DataFrame, key: str, groups: list[str]) -> DataFrame:
     """``groups, bucket, bits``: the entities of every group; rows without an entity are left out."""
     pairs = rows.filter(F.col(key).isNotNull()).select(*groups, key).distinct()
-    placed = lookup_join(pairs, numbers, key).filter(F.col("number").isNotNull())
+    placed = lookup_join(pairs, numbers, key, unique=True).filter(F.col("number").isNotNull())
     return placed.groupBy(*groups, F.bitmap_bucket_number("number").alias("bucket")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("bits")
     )

@@ -2,24 +2,33 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siegelog.functions.scale import BROADCAST_ROWS, has_at_most
 
+
 def lookup_join(
     left: DataFrame,
     right: DataFrame,
     *keys: str,
     right_rows: int | None = None,
     max_rows: int = BROADCAST_ROWS,
+    unique: bool = False,
 ) -> DataFrame:
     """Left join on a ``right`` side that has one row per key.
 
     A right side of at most ``max_rows`` rows is broadcast, so the left side is
     not shuffled. ``right_rows`` is a known upper bound of its size; without
-    one the size is checked. A larger right side takes ``skewed_join``.
+    one rows and bytes are measured. A larger right side takes ``skewed_join``.
+    Unless the caller knows that keys are ``unique``, the job fails when one comes
+    twice, as left rows would be multiplied.
     """
+    if not unique:
+        right = one_per_key(right, *keys)
     small = right_rows <= max_rows if right_rows is not None else has_at_most(right, max_rows)
     if not small:
         return skewed_join(left, right, *keys)
@@ -37,10 +46,12 @@ def skewed_join(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
 
 
 def one_per_key(right: DataFrame, *keys: str) -> DataFrame:
-    """``right``; its job fails if a key comes twice."""
+    """``right``; its job fails if a key comes twice (but for NULL, which joins with nothing)."""
     times = F.count("*").over(Window.partitionBy(*keys))
     repeated = F.raise_error(F.concat_ws(" ", F.lit("key comes twice:"), *[F.col(k).cast("string") for k in keys]))
-    return right.withColumn("_times", times).filter(F.when(F.col("_times") > 1, repeated.cast("boolean")).otherwise(True)).drop("_times")
+    known = reduce(and_, [F.col(k).isNotNull() for k in keys])
+    checked = right.filter(known).withColumn("_times", times)
+    return checked.filter(F.when(F.col("_times") > 1, repeated.cast("boolean")).otherwise(True)).drop("_times")
 
 
 def _left_columns_first(joined: DataFrame, left: DataFrame) -> DataFrame:

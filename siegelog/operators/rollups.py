@@ -74,7 +74,9 @@ def daily_from_base(base: DataFrame, table: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.sum("attacks").alias("attacks"))
 
 
-def base_from_log(log: DataFrame, lookup: DataFrame, lookup_rows: int | None = None) -> DataFrame:
+def base_from_log(
+    log: DataFrame, lookup: DataFrame, lookup_rows: int | None = None, unique: bool = False
+) -> DataFrame:
     """The base grain from the raw log, counted before it is enriched.
 
     The lookup depends on the address alone, so joining it to the counts gives
@@ -83,7 +85,8 @@ def base_from_log(log: DataFrame, lookup: DataFrame, lookup_rows: int | None = N
     """
     counts = daily_rollup(log, ("date", "ip", "username"))
     labels = lookup.select("ip", "country", "asn", "asn_name")
-    return lookup_join(counts, labels, "ip", right_rows=lookup_rows).select(*BASE_KEYS, "attacks")
+    joined = lookup_join(counts, labels, "ip", right_rows=lookup_rows, unique=unique)
+    return joined.select(*BASE_KEYS, "attacks")
 
 
 def daily_stats(attacks: DataFrame) -> DataFrame:
@@ -119,70 +122,124 @@ def country_stats(attacks: DataFrame) -> DataFrame:
     The log is first counted by all text columns: the least of a text is not
     hash-aggregated by Spark, so labels are chosen among few rows only.
     """
-    counted = (
-        attacks.filter(X.present("country"))
-        .groupBy(*[_key(c) for c in ("country", "country_code", "continent", "ip", "username")])
-        .agg(
-            F.count("*").alias("attacks"),
-            *_seen(),
-            *[
-                how(c).alias(f"{name}_{c}")
-                for c in ("latitude", "longitude")
-                for name, how in (("sum", F.sum), ("count", F.count))
-            ],
-        )
+    keys = [_key(c) for c in ("country", "country_code", "continent", "ip", "username")]
+    return country_stats_of(attacks.filter(X.present("country")).groupBy(*keys).agg(*_partial()))
+
+
+def _partial() -> list[Column]:
+    """Measures of a partial of the overall statistics."""
+    return [
+        F.count("*").alias("attacks"),
+        *_seen(),
+        *[
+            how(c).alias(f"{name}_{c}")
+            for c in ("latitude", "longitude")
+            for name, how in (("sum", F.sum), ("count", F.count))
+        ],
+    ]
+
+
+def country_stats_of(partials: DataFrame) -> DataFrame:
+    """``country_stats`` from partial counts by at least country, its labels, address and username.
+
+    Labels and measures are added up by hash first, so that the least label is picked
+    among a country's labels and not among its addresses.
+    """
+    counted = partials.filter(X.present("country"))
+    sums = [F.sum(f"{name}_{c}").alias(f"{name}_{c}") for c in ("latitude", "longitude") for name in ("sum", "count")]
+    labels = counted.groupBy("country", "country_code", "continent").agg(
+        F.sum("attacks").alias("attacks"), *_merged_seen(), *sums
+    )
+    distinct = counted.groupBy("country").agg(
+        F.count_distinct("ip").alias("unique_ips"), F.count_distinct("username").alias("unique_usernames")
     )
 
     def mean(c: str) -> Column:
         count = F.sum(f"count_{c}")
         return F.when(count > 0, F.sum(f"sum_{c}") / count).alias(f"avg_{c}")
 
-    return counted.groupBy("country").agg(
+    totals = labels.groupBy("country").agg(
         F.min("country_code").alias("country_code"),
         F.min("continent").alias("continent"),
         F.sum("attacks").alias("total_attacks"),
-        F.count_distinct("ip").alias("unique_ips"),
-        F.count_distinct("username").alias("unique_usernames"),
         *_merged_seen(),
         mean("latitude"),
         mean("longitude"),
     )
+    columns = ["country", "country_code", "continent", "total_attacks", "unique_ips", "unique_usernames"]
+    return totals.join(distinct, "country").select(
+        *columns, "first_seen", "last_seen", "avg_latitude", "avg_longitude"
+    )
 
 
 def top_ips(attacks: DataFrame, limit: int | None) -> DataFrame:
     """Totals per address; counted by all text columns first, as ``country_stats``."""
-    counted = attacks.groupBy(
-        *[_key(c) for c in ("ip", "country", "asn", "asn_name", "username")]
-    ).agg(F.count("*").alias("attacks"), *_seen())
+    keys = [_key(c) for c in ("ip", "country", "asn", "asn_name", "username")]
+    return top_ips_of(attacks.groupBy(*keys).agg(F.count("*").alias("attacks"), *_seen()), limit)
+
+
+def top_ips_of(partials: DataFrame, limit: int | None) -> DataFrame:
+    """``top_ips`` from partial counts by at least address, its labels and username.
+
+    Counts are added up by labels first, by hash; then the least label is picked among
+    an address's few.
+    """
 
     def label(name: str) -> Column:
         return F.min(F.coalesce(F.col(name), F.lit("Unknown"))).alias(name)
 
-    totals = counted.groupBy("ip").agg(
-        label("country"),
-        label("asn"),
-        label("asn_name"),
-        F.sum("attacks").alias("attack_count"),
-        F.count_distinct("username").alias("unique_usernames"),
-        *_merged_seen(),
+    named = partials.groupBy("ip", "country", "asn", "asn_name").agg(F.sum("attacks").alias("attacks"), *_merged_seen())
+    totals = named.groupBy("ip").agg(
+        label("country"), label("asn"), label("asn_name"), F.sum("attacks").alias("attack_count"), *_merged_seen()
+    )
+    distinct = partials.groupBy(F.col("ip").alias("of")).agg(F.count_distinct("username").alias("unique_usernames"))
+    joined = _largest(totals, "attack_count", "ip", limit).join(distinct, F.col("ip").eqNullSafe(F.col("of")))
+    return _largest(joined, "attack_count", "ip", limit).select(
+        "ip", "country", "asn", "asn_name", "attack_count", "unique_usernames", "first_seen", "last_seen"
     )
-    return _largest(totals, "attack_count", "ip", limit)
 
 
 def username_stats(attacks: DataFrame, limit: int | None) -> DataFrame:
-    totals = attacks.groupBy(_key("username")).agg(
-        F.count("*").alias("attempt_count"),
+    keys = [_key(c) for c in ("username", "ip", "country")]
+    return username_stats_of(attacks.groupBy(*keys).agg(F.count("*").alias("attacks"), *_seen()), limit)
+
+
+def username_stats_of(partials: DataFrame, limit: int | None) -> DataFrame:
+    """``username_stats`` from partial counts by at least username, address and country."""
+    totals = partials.groupBy("username").agg(
+        F.sum("attacks").alias("attempt_count"),
         F.count_distinct("ip").alias("unique_ips"),
         F.count_distinct("country").alias("unique_countries"),
-        *_seen(),
+        *_merged_seen(),
     )
     return _largest(totals, "attempt_count", "username", limit)
 
 
 def hourly_patterns(attacks: DataFrame) -> DataFrame:
-    return attacks.groupBy(F.hour("datetime").cast("bigint").alias("hour")).agg(
-        F.count("*").alias("attack_count"), F.count_distinct("ip").alias("unique_ips")
+    hour = F.hour("datetime").cast("bigint").alias("hour")
+    return hourly_patterns_of(attacks.groupBy(hour, "ip").agg(F.count("*").alias("attacks")))
+
+
+def hourly_patterns_of(partials: DataFrame) -> DataFrame:
+    """``hourly_patterns`` from partial counts by at least hour and address."""
+    return partials.groupBy("hour").agg(
+        F.sum("attacks").alias("attack_count"), F.count_distinct("ip").alias("unique_ips")
+    )
+
+
+# Keys of the two kinds of partials that one pass over the fact gives.
+OVERALL_KEYS = ("hour", "ip", "username", "country", "asn", "asn_name", "country_code", "continent")
+
+
+def fact_partials(attacks: DataFrame) -> DataFrame:
+    """The base grain (``kind`` 'daily') and the partials of the overall statistics ('overall') in one pass."""
+    rows = attacks.select(
+        _day(), F.hour("datetime").cast("bigint").alias("hour"), *OVERALL_KEYS[1:], "datetime", "latitude", "longitude"
     )
+    every = ["date", *OVERALL_KEYS]
+    grouped = rows.groupingSets([list(BASE_KEYS), list(OVERALL_KEYS)], *every)
+    kind = F.when(F.grouping("hour") == 1, "daily").otherwise("overall")
+    return grouped.agg(kind.alias("kind"), *_partial())
 
 
 def _largest(df: DataFrame, metric: str, key: str, limit: int | None) -> DataFrame:
@@ -313,9 +370,10 @@ class Rollups:
         """
         spark = attacks.sparkSession
         base_path = f"{path}/daily_base"
-        rebuild_days(daily_rollup(attacks, BASE_KEYS), base_path, ("ip", "username"))
-        # One value per rebuilt day.
-        days = [r["date"] for r in attacks.select(_day()).distinct().collect() if r["date"]]
+        # The fact is read once; its days come from what was counted.
+        fresh = reliable_checkpoint(daily_rollup(attacks, BASE_KEYS))
+        rebuild_days(fresh, base_path, ("ip", "username"))
+        days = [r["date"] for r in fresh.select("date").distinct().collect() if r["date"]]
         base = spark.read.parquet(base_path).filter(F.col("date").isin(days))
         for table, order in PARTITIONED.items():
             rebuild_days(daily_from_base(base, table), f"{path}/daily_{table}", order)

@@ -24,21 +24,30 @@ DAILY_NAMES = {
 # Rows of the two stored top lists, by definition.
 STORED_TOP = 10_000
 
+# Overall statistics, from the partials of ``fact_partials``.
 OVERALL = {
-    "country_stats": R.country_stats,
-    "top_ips": partial(R.top_ips, limit=STORED_TOP),
-    "username_stats": partial(R.username_stats, limit=STORED_TOP),
-    "hourly_patterns": R.hourly_patterns,
+    "country_stats": R.country_stats_of,
+    "top_ips": partial(R.top_ips_of, limit=STORED_TOP),
+    "username_stats": partial(R.username_stats_of, limit=STORED_TOP),
+    "hourly_patterns": R.hourly_patterns_of,
 }
 
 VOLATILE_NAMES = {dim: f"volatile_{dim}_summary" for dim in ENTITY}
 
 
 def build(attacks: DataFrame, path: str) -> Rollups:
-    """Write the daily rollups, the overall statistics and the volatility tables."""
-    rollups = Rollups.build(attacks, path)
+    """Write the daily rollups, the overall statistics and the volatility tables.
+
+    The fact is scanned once, for the partials of both kinds, which are stored.
+    """
+    spark = attacks.sparkSession
+    R.fact_partials(attacks).write.mode("overwrite").partitionBy("kind").parquet(f"{path}/partials")
+    partials = spark.read.parquet(f"{path}/partials")
+    daily = partials.filter("kind = 'daily'").select(*R.BASE_KEYS, "attacks")
+    rollups = Rollups.build_from_base(daily, path)
+    overall = partials.filter("kind = 'overall'")
     for name, statistic in OVERALL.items():
-        _write(statistic(attacks), f"{path}/{name}")
+        _write(statistic(overall), f"{path}/{name}")
     for dim, name in VOLATILE_NAMES.items():
         _write(volatility_summary(rollups, dim), f"{path}/{name}")
     _write(country_volatility(rollups), f"{path}/country_volatility")

@@ -66,9 +66,30 @@ def read_lookup(spark: SparkSession, path: str) -> DataFrame:
         .text(path)
         .select(F.col("_metadata.file_path").alias("file"), entries.alias("entries"))
         .select("file", F.posexplode("entries").alias("position", "ip", "entry"))
-        .groupBy("ip")
-        .agg(F.max_by("entry", F.struct("file", "position")).alias("entry"))
     )
+    return _last_entries(rows)
+
+
+def read_lookup_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The address lookup with one entry a line: ``{"ip": ..., "entry": {...}}``.
+
+    Such files are split, so one large file is parsed by many tasks. A line that cannot
+    be read is left out; a repeated IP keeps its last entry, by file name and then by
+    the place of the line.
+    """
+    line = T.StructType([T.StructField("ip", T.StringType()), T.StructField("entry", schema.LOOKUP_ENTRY)])
+    rows = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        # ids grow within a file and with the position of the file's splits
+        F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("position"),
+        F.from_json("value", line).alias("line"),
+    )
+    return _last_entries(rows.select("file", "position", "line.ip", "line.entry").filter("ip is not null"))
+
+
+def _last_entries(rows: DataFrame) -> DataFrame:
+    """One row per IP, from ``file, position, ip, entry``."""
+    rows = rows.groupBy("ip").agg(F.max_by("entry", F.struct("file", "position")).alias("entry"))
     return rows.select(
         "ip",
         F.col("entry.cntn").alias("continent"),
@@ -103,13 +124,16 @@ def normalise(log: DataFrame, missing_text: str | None = "nan") -> DataFrame:
     ).drop("Date")
 
 
-def enrich(log: DataFrame, lookup: DataFrame, lookup_rows: int | None = None) -> DataFrame:
+def enrich(
+    log: DataFrame, lookup: DataFrame, lookup_rows: int | None = None, unique: bool = False
+) -> DataFrame:
     """Left join of the lookup on the address; unknown addresses get NULLs.
 
-    ``lookup`` has one row per ``ip``. ``lookup_rows``, an upper bound of its
-    row count, saves the check of its size (see ``lookup_join``).
+    ``lookup`` has one row per ``ip``; the job fails if it has not, unless the caller
+    vouches for it (``unique``, as for ``read_lookup``). ``lookup_rows``, an upper bound of
+    its row count, saves the check of its size (see ``lookup_join``).
     """
-    return lookup_join(log, lookup, "ip", right_rows=lookup_rows)
+    return lookup_join(log, lookup, "ip", right_rows=lookup_rows, unique=unique)
 
 
 def to_attacks(enriched: DataFrame) -> DataFrame:

@@ -60,3 +60,23 @@ def test_several_keys(spark):
     right = spark.createDataFrame([("x", 1, "p"), ("y", 1, "q")], "a string, b int, v string")
     expected = [(1, "x", 1, "p"), (2, "x", 2, None), (3, None, 1, None), (4, "y", None, None)]
     assert sorted(tuples(joins.skewed_join(left, right, "a", "b"))) == expected
+
+
+def test_lookup_refuses_repeated_keys_unless_known_unique(spark):
+    left, right, expected = sides(spark)
+    twice = right.union(right.filter("k = 'a'"))
+    for rows in (None, 6, 10**9):
+        with pytest.raises(Exception, match="key comes twice: a"):
+            joins.lookup_join(left, twice, "k", right_rows=rows).collect()
+        assert len(joins.lookup_join(left, right, "k", right_rows=rows, unique=True).collect()) == len(expected)
+    nulls = right.union(spark.createDataFrame([(None, 1), (None, 2)], "k string, v int"))
+    assert sorted(tuples(joins.lookup_join(left, nulls, "k")), key=lambda r: r[0]) == expected
+
+
+def test_size_counts_bytes(spark):
+    from siegelog.functions.scale import has_at_most
+
+    wide = spark.range(10).selectExpr("id", "repeat('x', 1000) as text", "cast(null as string) as none")
+    assert has_at_most(wide, 10) and not has_at_most(wide, 9)
+    assert has_at_most(wide, 10, 10 * (1000 + 48)) and not has_at_most(wide, 10, 10 * (1000 + 48) - 1)
+    assert has_at_most(wide.limit(0), 0, 0)

@@ -3,6 +3,7 @@ from __future__ import annotations
 import datetime as dt
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from siegelog.operators.rollups import Rollups
@@ -74,3 +75,18 @@ def test_every_endpoint_answers(fact):
     assert [x.ip for x in answer(r, "ip_summary", {"limit": "1", "offset": "1"}).collect()] == ["2"]
     networks = answer(r, "asn_attacks", {"countries": "A|||B", "end": "2022-11-01"})
     assert sorted(tuples(networks)) == [("2022-11-01", "N1", "A", 3), ("2022-11-01", "N2", "B", 2)]
+
+
+def test_build_reads_the_fact_once(spark, tmp_path):
+    rows = [Row(datetime=dt.datetime(2024, 1, 1 + k % 3, k % 24), ip=f"i{k % 7}", username=f"u{k % 5}", country="C", country_code="c", continent="X", latitude=1.0, longitude=2.0, asn="A", asn_name="N") for k in range(120)]
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(row):
+        seen.add(1)
+        return row
+
+    fact = spark.createDataFrame(spark.sparkContext.parallelize(rows, 3).map(counted), spark.createDataFrame(rows[:1]).schema)
+    tables.build(fact, str(tmp_path))
+    assert seen.value == 120
+    assert spark.read.parquet(f"{tmp_path}/country_stats").first().unique_ips == 7
+    assert spark.read.parquet(f"{tmp_path}/hourly_patterns").count() == 24
