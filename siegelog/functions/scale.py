@@ -61,6 +61,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/siegelog/{name}-{uuid.uuid4().hex}"
 
 
+def stored_copy(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written in the shared folder and read back: evaluated once, and of a size the planner knows."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def reliable_checkpoint(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the folder shared by the cluster."""
     shared_folder(df.sparkSession)

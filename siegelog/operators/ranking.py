@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siegelog.functions.scale import broadcast_if_bounded, reliable_checkpoint
+from siegelog.functions.scale import broadcast_if_bounded, reliable_checkpoint, stored_copy
 from siegelog.operators.joins import skewed_join
 from siegelog.schema import ENTITY
 
@@ -144,7 +144,7 @@ def ranks(df: DataFrame, key: str, metrics: list[str]) -> DataFrame:
     )
     ranged = (
         counted.join(broadcast_if_bounded(cuts, len(metrics)), "metric")
-        .withColumn("range", F.size(F.filter("cuts", lambda cut: cut < value)))
+        .withColumn("range", _below("cuts", value))
         .drop("cuts")
     )
     none = F.lit(0).cast("bigint")
@@ -165,6 +165,18 @@ def ranks(df: DataFrame, key: str, metrics: list[str]) -> DataFrame:
     return skewed_join(long, ranked, *VALUE).select(key, "metric", "rank")
 
 
+def _below(cuts: str, value: Column) -> Column:
+    """How many of the sorted cuts (``CUTS`` at most) are less than a value, by binary search."""
+    steps = [1 << k for k in range(CUTS.bit_length() - 1, -1, -1)]
+    size = F.size(cuts)
+
+    def further(found: Column, step: Column) -> Column:
+        at = found + step
+        return F.when((at <= size) & (F.get(cuts, F.least(at, size) - 1) < value), at).otherwise(found)
+
+    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), further)
+
+
 def _long(df: DataFrame, key: str, metrics: list[str]) -> DataFrame:
     """One row per entity and metric, its value signed so that less is better.
 
@@ -197,8 +209,9 @@ def average_rank(
     """``df`` with ``rank_<metric>`` of every metric and their mean ``avg_rank``.
 
     Sorted by the mean; equal means by ``total`` descending, then by name. The
-    input is read several times; its last shuffle is reused.
+    input is evaluated once and stored, as the ranks read it several times.
     """
+    df = stored_copy(df, "ranked")
     by_key = (
         ranks(df, key, metrics)
         .groupBy(key)
