@@ -96,7 +96,7 @@ def op4_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality_rules(_table(spark, sf_dir, "documents")).drop("model")
+    return quality.quality_rules(_table(spark, sf_dir, "documents"))
 
 
 def op6_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
