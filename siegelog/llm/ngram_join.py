@@ -21,8 +21,9 @@ compared shingle by shingle.
 Equal sets are one class from the start. Sets that meet, directly or through others,
 form a family; families are small but for groups of near copies. A family is
 compared in blocks of bounded size, two blocks to a task, by a product of incidence
-matrices. A task returns a spanning forest of the links it found, so no plan node
-makes a row for each pair, and no family is gathered in one place.
+matrices. A task returns a spanning forest of the links it found and the number of
+links of each class, so no plan node makes a row for each pair, and no family is
+gathered in one place.
 """
 
 from __future__ import annotations
@@ -33,10 +34,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siegelog.llm.components import components
+from siegelog.llm.key_filter import key_bitmap, with_flag
 from siegelog.llm.storage import ship, stored
 from siegelog.llm.wordhash import mix, text_batches, windows, words
 
@@ -151,15 +153,19 @@ def _fingerprints(sets: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.n
 
 def _profiles(size: int):
     def run(batches) -> Iterator[pa.RecordBatch]:
-        for ids, texts in text_batches(batches, "id", "text"):
+        for rows, texts in text_batches(batches, "row", "text"):
             sets, first = shingle_sets(texts, size)
             n = np.diff(first)
             a, b = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
             a[n > 0], b[n > 0] = _fingerprints(sets, first)
             bands = [band_of(int(x)) if x else None for x in n]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(a), pa.array(b), pa.array(bands, pa.int32())],
-                ["id", "n", "fp", "fp2", "band"],
+                [
+                    pa.array([r["id"] for r in rows], pa.int64()),
+                    pa.array([r["text_key"] for r in rows], pa.int64()),
+                    *(pa.array(n, pa.int64()), pa.array(a), pa.array(b), pa.array(bands, pa.int32())),
+                ],
+                ["id", "text_key", "n", "fp", "fp2", "band"],
             )
 
     return run
@@ -266,7 +272,7 @@ def _sets(size: int):
             n = np.diff(first)
             fp = np.zeros(len(n), np.int64)
             fp[n > 0] = _fingerprints(sets, first)[0]
-            mine = [d for d, key in enumerate(keys) if key["fp"] == fp[d]]  # an id may have other texts too
+            mine = [d for d, key in enumerate(keys) if key["fp"] == fp[d]]
             bodies = [sets[first[d] : first[d + 1]].tobytes() for d in mine]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([keys[d]["class"] for d in mine], pa.int64()), pa.array(bodies, pa.binary())], ["class", "shingles"]
@@ -275,8 +281,8 @@ def _sets(size: int):
     return run
 
 
-def forest(sets: list[np.ndarray], like: Similarity) -> list[tuple[int, int]]:
-    """Links between sets as a spanning forest of their components."""
+def linked_sets(sets: list[np.ndarray], like: Similarity) -> np.ndarray:
+    """Which of the sets link, as a matrix with a false diagonal."""
     size = np.array([len(x) for x in sets])
     owner = np.repeat(np.arange(len(sets)), size)
     distinct, of, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -292,8 +298,14 @@ def forest(sets: list[np.ndarray], like: Similarity) -> list[tuple[int, int]]:
         part[owner[a:b], column[a:b] - low] = 1
         both += part @ part.T
     linked = like.whole * both.astype(np.int64) >= like.part * (size[:, None] + size[None, :] - both.astype(np.int64))
-    out, left = [], np.ones(len(sets), bool)
-    for start in range(len(sets)):
+    np.fill_diagonal(linked, False)
+    return linked
+
+
+def forest(linked: np.ndarray) -> list[tuple[int, int]]:
+    """The links of a spanning forest."""
+    out, left = [], np.ones(len(linked), bool)
+    for start in range(len(linked)):
         if not left[start]:
             continue
         left[start] = False
@@ -308,11 +320,19 @@ def forest(sets: list[np.ndarray], like: Similarity) -> list[tuple[int, int]]:
 
 
 def _compared(like: Similarity):
+    """A forest of the links (a, b) in two blocks, and how many documents each class (a) links with there."""
+
     def run(table: pa.Table) -> pa.Table:
-        classes = table.column("class").to_pylist()
-        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles")]
-        links = forest(sets, like)
-        return pa.table({"a": pa.array([classes[x] for x, _ in links], pa.int64()), "b": pa.array([classes[y] for _, y in links], pa.int64())})
+        classes, at = np.unique(table.column("class").to_numpy(), return_index=True)  # a text may come twice
+        table = table.take(pa.array(at))
+        linked = linked_sets([np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles")], like)
+        copies, block = table.column("copies").to_numpy(), table.column("block").to_numpy()
+        pairs = linked if table.column("low")[0] == table.column("high")[0] else linked & (block[:, None] != block[None, :])
+        edges = forest(linked)
+        a = [*classes[[x for x, _ in edges]], *classes] if edges else list(classes)
+        b = [*classes[[y for _, y in edges]], *([None] * len(classes))] if edges else [None] * len(classes)
+        n = [None] * len(edges) + (pairs @ copies).tolist()
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n_links": pa.array(n, pa.int64())})
 
     return run
 
@@ -320,23 +340,45 @@ def _compared(like: Similarity):
 def similar_documents(
     documents: DataFrame, size: int = 5, like: Similarity = Similarity(), id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
-    """``id_column``, ``n_shingles``, ``component_id`` for each row of ``documents``.
+    """``id_column``, ``n_shingles``, ``component_id``, ``n_links`` for each row of ``documents``.
 
     Words are lower-cased (A-Z) runs of other than white space; a set holds the
     distinct windows of ``size`` words, or the whole sequence if it is shorter. Rows
     link if the Jaccard similarity is at least ``like``; a component is named by
-    the smallest id in it. Texts that are null or have no words have no shingles and
-    are a component of their own. Rows that share an id are rows of their own; a row
-    without id links with nothing and has no component. Other columns don't matter.
+    the smallest id in it, and ``n_links`` counts the other rows a row links with.
+    Texts that are null or have no words have no shingles and are a component of their
+    own. Rows that share an id are rows of their own; a row without id links with nothing
+    and has no component. Other columns don't matter.
+    """
+    return grouped_rows(documents, size, like, id_column, text_column).select(
+        F.col("id").alias(id_column), F.col("n").alias("n_shingles"), "component_id", "n_links"
+    )
+
+
+def text_key(text: Column | str) -> Column:
+    """Tells texts under one id apart."""
+    return F.xxhash64(text)
+
+
+def grouped_rows(
+    documents: DataFrame, size: int = 5, like: Similarity = Similarity(), id_column: str = "doc_id", text_column: str = "text"
+) -> DataFrame:
+    """``id, text_key, n, component, component_id, n_links`` of each row.
+
+    ``component`` numbers the components: rows that share an id may be of two components
+    whose smallest id is the same. It is null for rows without id or shingles.
     """
     spark = documents.sparkSession
     ship(spark)
     texts = documents.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("binary").alias("text"))
-    profiles = stored(texts.mapInArrow(_profiles(size), "id long, n long, fp long, fp2 long, band int"), "profiles")
+    texts = texts.withColumn("text_key", text_key("text"))
+    profiled = texts.select(F.struct("id", "text_key").alias("row"), "text")
+    profiles = stored(profiled.mapInArrow(_profiles(size), "id long, text_key long, n long, fp long, fp2 long, band int"), "profiles")
     classes = (
         profiles.filter("n > 0 and id is not null")
         .groupBy("fp", "fp2", "n", "band")
-        .agg(F.min("id").alias("first"))
+        .agg(F.min(F.struct("id", "text_key")).alias("first"), F.count("*").alias("copies"))
+        .select("fp", "fp2", "n", "band", "copies", F.col("first.id").alias("first"), F.col("first.text_key").alias("first_text"))
         .withColumn("class", F.monotonically_increasing_id())
         .withColumn("twins", F.count("*").over(Window.partitionBy("fp")))
     )
@@ -344,7 +386,7 @@ def similar_documents(
 
     counts = {r["band"]: r["count"] for r in classes.groupBy("band").count().collect()}  # tens of bands
     if not counts:
-        return _answer(profiles, classes, None, id_column)
+        return _answer(profiles, classes, None)
     limits = band_limits(band_limits(1)[0][1])
     while len(limits) <= max(counts):
         limits = band_limits(limits[-1][1] + 1)
@@ -388,39 +430,54 @@ def similar_documents(
     alike = twins.join(twins.groupBy("fp").agg(F.min("class").alias("a")), "fp").select("a", "class")
     meetings = live.join(hubs, "sig").select("a", "class").union(alike).toDF("a", "b")
     families = components(meetings)
-    members = families.toDF("class", "family").join(classes.select("class", "n"), "class")
+    members = families.toDF("class", "family").join(classes.select("class", "n", "copies"), "class")
     blocks = F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_SETS)).alias("blocks")
     members = stored(members.join(members.groupBy("family").agg(blocks), "family"), "members")
     placed = (
         members.withColumn("block", F.pmod(F.xxhash64("class"), "blocks"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("class", "family", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+        .select("class", "copies", "family", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
     )
     links = (
         placed.join(_class_sets(texts, classes, members.select("class"), size), "class")
         .groupBy("family", "low", "high")
-        .applyInArrow(_compared(like), "a long, b long")
+        .applyInArrow(_compared(like), "a long, b long, n_links long")
     )
-    return _answer(profiles, classes, components(links), id_column)
+    return _answer(profiles, classes, stored(links, "links"))
 
 
 def _class_sets(texts: DataFrame, classes: DataFrame, needed: DataFrame, size: int) -> DataFrame:
-    """The shingles of each needed class, from the text of its first document."""
-    wanted = classes.join(needed, "class", "left_semi").select(F.col("first").alias("id"), F.struct("class", "fp").alias("of"))
-    return texts.join(wanted, "id").select("of", "text").mapInArrow(_sets(size), "class long, shingles binary")
-
+    """The shingles of each needed class, from the text of its first document.
 
-def _answer(profiles: DataFrame, classes: DataFrame, groups: DataFrame | None, id_column: str) -> DataFrame:
-    if groups is not None:
-        named = classes.join(groups.withColumnRenamed("node", "class"), "class", "left")
-        named = named.withColumn("group", F.coalesce("component", "class"))
-        smallest = named.groupBy("group").agg(F.min("first").alias("component_id"))
-        named = named.join(smallest, "group").select("fp", "fp2", "component_id")
+    Texts that a bitmap of the wanted keys rules out stay where they are.
+    """
+    wanted = classes.join(needed, "class", "left_semi")
+    wanted = wanted.select(F.col("first").alias("id"), F.col("first_text").alias("text_key"), F.struct("class", "fp").alias("of"))
+    wanted = stored(wanted, "wanted")
+    near = with_flag(texts, key_bitmap(wanted, "id", "text_key"), "wanted", "id", "text_key").filter("wanted")
+    return near.join(wanted, ["id", "text_key"]).select("of", "text").mapInArrow(_sets(size), "class long, shingles binary")
+
+
+def _answer(profiles: DataFrame, classes: DataFrame, links: DataFrame | None) -> DataFrame:
+    own = classes.select("fp", "fp2", "class", "first", "copies")
+    if links is not None:
+        groups = components(links.filter("b is not null").select("a", "b"))
+        more = links.filter("b is null").groupBy(F.col("a").alias("class")).agg(F.sum("n_links").alias("n_links"))
+        named = own.join(groups.toDF("class", "group"), "class", "left").join(more, "class", "left")
+        named = named.withColumn("component", F.coalesce("group", "class"))
+        smallest = named.groupBy("component").agg(F.min("first").alias("component_id"))
+        named = named.join(smallest, "component")
     else:
-        named = classes.select("fp", "fp2", F.col("first").alias("component_id"))
+        named = own.withColumns({"component": F.col("class"), "component_id": F.col("first"), "n_links": F.lit(0).cast("long")})
+    linked = F.col("copies") - 1 + F.coalesce("n_links", F.lit(0))
+    named = named.select("fp", "fp2", "component", "component_id", linked.cast("long").alias("n_links"))
     found = profiles.join(named, ["fp", "fp2"], "left")
+    in_one = F.col("id").isNotNull() & (F.col("n") > 0)
     return found.select(
-        F.col("id").alias(id_column),
-        F.col("n").alias("n_shingles"),
+        "id",
+        "text_key",
+        "n",
+        F.when(in_one, F.col("component")).alias("component"),
         F.when(F.col("id").isNull(), None).when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"),
+        F.when(in_one, F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links"),
     )
