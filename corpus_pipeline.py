@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siegelog.llm import mixing, ngram_join, packing, pseudonyms, quality
+from siegelog.llm.key_filter import key_bitmap, with_flag
 from siegelog.llm.queries import KEY, MIX_WEIGHTS, domain_of, tokenizer_path
 from siegelog.llm.storage import stored
 
@@ -22,22 +23,30 @@ ORACLE_SQL = None
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules. Rows that share an id stay or go together; without id they go by the rules, too."""
-    judged = quality.quality_rules(docs).select("doc_id", "kept")
-    rejected = judged.groupBy("doc_id").agg(F.max("kept").alias("any")).filter("not any").select("doc_id")
-    same = docs["doc_id"].eqNullSafe(rejected["doc_id"])
-    return docs.join(rejected, same, "left_anti")
+    """Documents that pass the quality rules. Each row is judged by itself, and no text is moved."""
+    return quality.kept_rows(docs)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id; documents without id stay."""
-    found = stored(ngram_join.similar_documents(docs).filter("doc_id is not null"), "groups")
-    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    if found.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return kept
-    alone = kept.filter("doc_id is null")
-    return kept.filter("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(alone)
+    """Of each group of near duplicates one document: that with the smallest id, then the smallest key of its text.
+
+    Of equal rows one stays. Documents without id, and those without words, stay. Rows that a
+    bitmap of the rows to drop rules out are kept where they lie; only the others are joined.
+    """
+    found = stored(ngram_join.grouped_rows(docs).filter("component is not null"), "groups")
+    rows = found.groupBy("component", "id", "text_key").agg(F.count("*").alias("n"))
+    first = F.min(F.struct("id", "text_key"))
+    best = found.groupBy("component").agg(first.alias("best"))
+    rows = rows.join(best, "component").withColumn("stays", F.struct("id", "text_key") == F.col("best"))
+    gone = stored(rows.filter("not stays or n > 1").select("id", "text_key", F.col("stays").alias("once")), "gone")
+
+    keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), ngram_join.text_key(F.col("text").cast("binary")).alias("text_key"))
+    flagged = with_flag(keyed, key_bitmap(gone, "id", "text_key"), "doubtful", "id", "text_key")
+    clear = flagged.filter("not doubtful").select("row.*")
+    near = flagged.filter("doubtful").join(gone, ["id", "text_key"], "left")
+    alone = near.filter("once is null").select("row.*")
+    once = near.filter("once").dropDuplicates(["id", "text_key"]).select("row.*")
+    return clear.unionByName(alone).unionByName(once)
 
 
 def pseudonym_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +58,8 @@ def pseudonym_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the mix to target weights reads, whole."""
-    return mixing.mixed(docs, MIX_SHARE, MIX_WEIGHTS, domain_of(F.col("source")), max_epochs=1).select(docs.columns)
+    rows = docs.select("doc_id", "text", "lang", "source", F.struct("*").alias("row"))
+    return mixing.mixed(rows, MIX_SHARE, MIX_WEIGHTS, domain_of(F.col("source")), max_epochs=1).select("row.*")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
