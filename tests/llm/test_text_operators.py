@@ -27,7 +27,7 @@ def shingles(text):
 
 def brute_join(data):
     sets = [shingles(t) for _, t, *_ in data]
-    root = list(range(len(data)))
+    root, links = list(range(len(data))), Counter()
 
     def find(x):
         while root[x] != x:
@@ -39,11 +39,14 @@ def brute_join(data):
             both = len(sets[a] & sets[b])
             if None not in (data[a][0], data[b][0]) and both and 100 * both >= 80 * len(sets[a] | sets[b]):
                 root[find(a)] = find(b)
+                links.update((a, b))
     least = defaultdict(list)
     for k, r in enumerate(data):
         if r[0] is not None:
             least[find(k)].append(r[0])
-    return sorted((r[0] if r[0] is not None else -1, len(sets[k]), min(least[find(k)]) if r[0] is not None else -1) for k, r in enumerate(data))
+    return sorted(
+        (r[0] if r[0] is not None else -1, len(sets[k]), min(least[find(k)]) if r[0] is not None else -1, links[k]) for k, r in enumerate(data)
+    )
 
 
 def test_join(spark):
@@ -90,16 +93,146 @@ def test_quality(spark):
     assert quality.quality_rules(none(spark)).count() == 0
 
 
+def symbol(character):
+    import numpy as np
+
+    from siegelog.llm.wordhash import mix
+
+    point = ord(character)
+    if 9 <= point < 14:
+        return 32
+    return point if point < 128 else 128 + int(mix(np.array([point], np.uint64))[0] % np.uint64(128))
+
+
+def brute_log_perplexities(texts):
+    """log10 perplexities of texts by a modified Kneser-Ney model of their own trigrams of symbols, from its definition."""
+    lines = [[32, 32, *map(symbol, t)] for t in texts]
+    grams = {3: Counter(tuple(s[k - 2 : k + 1]) for s in lines for k in range(2, len(s)))}
+    for order in (2, 1):
+        grams[order] = Counter(g[1:] for g in grams[order + 1])
+    discount = {}
+    for order, counts in grams.items():
+        n = [sum(c == k for c in counts.values()) for k in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1]) if n[0] and n[1] else 0.5
+        discount[order] = [0.0] + [min(max(k - (k + 1) * y * (n[k] / n[k - 1] if n[k - 1] else 0.5), 0.05), k - 0.05) for k in (1, 2, 3)]
+    total, cut = Counter(), Counter()
+    for order, counts in grams.items():
+        for g, c in counts.items():
+            total[g[:-1]] += c
+            cut[g[:-1]] += discount[order][min(c, 3)]
+
+    def p(g):
+        if not g:
+            return 1 / 256
+        shorter, context = p(g[1:]), g[:-1]
+        if not total[context]:
+            return shorter
+        c = grams[len(g)][g]
+        return (c - discount[len(g)][min(c, 3)]) / total[context] + cut[context] / total[context] * shorter
+
+    out = []
+    for s in lines:
+        costs = [-math.log10(p(tuple(s[k - 2 : k + 1]))) for k in range(2, len(s))]
+        parts = max(1, len(costs) // 64)
+        edges = [k * len(costs) // parts for k in range(parts + 1)]
+        means = sorted(sum(costs[a:b]) / (b - a) for a, b in zip(edges, edges[1:], strict=False))
+        out.append((means[(parts - 1) // 2] + means[parts // 2]) / 2)
+    return out
+
+
+def verdicts(data, width=6.0):
+    """(id, log perplexity, kept) of rows (id, text, lang) by brute force."""
+    scores, failed = {}, []
+    for k, (_, text, _) in enumerate(data):
+        n, *_, repeats = base(text)
+        failed.append(n < 50 or 100 * repeats > 50 * n)
+    for lang in {r[2] for r in data}:
+        own = [k for k, r in enumerate(data) if r[2] == lang and r[1]]
+        for k, score in zip(own, brute_log_perplexities([data[k][1] for k in own]), strict=True):
+            scores[k] = score if WORD.search(data[k][1]) else None
+    lower = lambda values: sorted(values)[(len(values) - 1) // 2]
+    band = {}
+    for lang in {r[2] for r in data}:
+        own = [scores[k] for k, r in enumerate(data) if r[2] == lang and not failed[k]]
+        if own:
+            band[lang] = (middle := lower(own)), lower([abs(x - middle) for x in own]), len(own)
+    pooled = sum(s * n for _, s, n in band.values()) / max(1, sum(n for *_, n in band.values()))
+    out = []
+    for k, (i, _, lang) in enumerate(data):
+        inside = lang in band and scores.get(k) is not None
+        if inside:
+            middle, spread, n = band[lang]
+            inside = abs(scores[k] - middle) <= width * (spread + 3 * pooled / math.sqrt(n))
+        out.append((i, scores.get(k), not failed[k] and inside))
+    return out
+
+
+def quality_rows():
+    import random
+
+    pick = random.Random(4)
+    words = {"en": "the of and house river walks slowly green under stone".split(), "ru": "и в не дом река идёт медленно зелёный под камень".split(), "zh": list("的一是不了人我在有他")}
+    data = []
+    for lang, own in words.items():
+        for _ in range(25):
+            data.append((len(data), " ".join(pick.choice(own).title() if pick.random() < 0.1 else pick.choice(own) for _ in range(pick.randint(60, 160))), lang))
+    english = data[0][1]
+    data += [(900, english, "ru"), (901, data[30][1], "en"), (902, data[30][1].upper(), "ru"), (903, " ".join("%x#q" + str(k) for k in range(99)), "en")]
+    data += [(910, english + "\n" + " ".join(data[26][1].split()[:12]), "en"), (911, None, "en"), (912, "", "zh"), (913, "one two", "rare"), (914, english, "rare"), (None, data[1][1], "en")]
+    return data + [data[3], data[3]]
+
+
+def test_quality_verdicts(spark, monkeypatch):
+    """Perplexities and verdicts are those of each language's own model, whatever the number of packs."""
+    data = quality_rows()
+    frame = spark.createDataFrame([(*r, "clash", 1) for r in data], "doc_id long, text string, lang string, row string, n_words int").repartition(4)
+    key = lambda r: (r[0] is None, r[0] or 0)
+    want = sorted(verdicts(data), key=key)
+    for size in (quality.PACK_BYTES, 1):
+        monkeypatch.setattr(quality, "PACK_BYTES", size)
+        got = sorted(((r.doc_id, r.log_perplexity, r.kept) for r in quality.quality_rules(frame).collect()), key=key)
+        for a, b in zip(got, want, strict=True):
+            assert (a[0], a[2]) == (b[0], b[2])
+            assert (a[1] is None) == (b[1] is None) and (a[1] is None or a[1] == pytest.approx(b[1], abs=1e-5))
+    kept = {i for i, _, k in want if k}
+    assert not kept & {901, 903, 911, 912, 913} and {*range(75), 910, 914, None} <= kept
+    rows_ = quality.kept_rows(frame)
+    assert rows_.columns == frame.columns
+    assert sorted((r.doc_id or -1) for r in rows_.collect()) == sorted((i or -1) for i, _, k in want if k)
+
+
 def test_kneser_ney_is_a_distribution():
     import numpy as np
+    import pandas as pd
 
-    text = b"the cat sat on the mat, the dog sat on the log. " * 3
-    grams, counts = np.unique(quality._codes(quality.symbols_of(text), quality.ORDER), return_counts=True)
-    model = quality._hash_arrays(quality.kneser_ney(grams, counts))
+    grams, counts = np.unique(quality.grams_of(b"the cat sat on the mat, the dog sat on the log. " * 3), return_counts=True)
+    fitted = quality._model(pd.DataFrame({"lang": "en", "gram": grams.astype(np.int64), "count": counts}))
+    model = quality.Scorer({"en": fitted["arrays"][0]}).models["en"]
     for context in (grams[:5] // quality.SYMBOLS, np.array([12_345])):
-        for c in context:
+        for c in context.astype(np.int64):
             p = 10 ** quality.gram_log10(c * quality.SYMBOLS + np.arange(quality.SYMBOLS), model)
-            assert abs(p.sum() - 1) < 1e-9
+            assert abs(p.sum() - 1) < 1e-5
+
+
+def thue_morse(n, flip):
+    return "".join("ab"[(bin(k).count("1") + flip) % 2] for k in range(n))
+
+
+def test_words_that_collide_under_polynomial_hashes(spark):
+    """Two long words of the same multiset and structure are told apart by all operators on hashed words."""
+    from tokenizers import Tokenizer
+
+    one, two = thue_morse(1024, 0), thue_morse(1024, 1)
+    frame = spark.createDataFrame([(1, one), (2, two), (3, f"{one} {two}"), (4, one)], "doc_id long, text string").coalesce(1)
+    assert sorted((r.doc_id, r.component_id, r.n_links) for r in ngram_join.similar_documents(frame).collect()) == [(1, 1, 1), (2, 2, 0), (3, 3, 0), (4, 1, 1)]
+    tokenizer = Tokenizer.from_file(tokenizer_path())
+    pieces = defaultdict(list)
+    for r in packing.pack_documents(frame, tokenizer_path()).orderBy("doc_id", "start").collect():
+        pieces[r.doc_id] += list(memoryview(bytes(r.ids)).cast("I"))
+    assert pieces == {k: [*tokenizer.encode(t, add_special_tokens=False).ids, 2] for k, t in ((1, one), (2, two), (3, f"{one} {two}"), (4, one))}
+    known = {r.doc_id: r.n_known for r in trie_lm.score_documents(spark.createDataFrame([(1, one), (2, two), (6, "x")], "doc_id long, text string")).collect()}
+    held = {k for k in (1, 2, 6) if zlib.crc32(str(k).encode()) % 10 == 0}
+    assert known == {k: (1 if k in held else 2) for k in (1, 2, 6)}
 
 
 def test_packing(spark):
