@@ -190,8 +190,9 @@ SQL: dict[str, str] = {
             union
             select r.a, l.b from reach r join both_ways l on r.b = l.a
         )
-        select d.doc_id, coalesce(n, 0)::bigint as n_shingles, min(r.b) as component_id
+        select d.doc_id, coalesce(n, 0)::bigint as n_shingles, min(r.b) as component_id, coalesce(any_value(l.k), 0)::bigint as n_links
         from documents d left join sizes using (doc_id) join reach r on r.a = d.doc_id
+        left join (select a, count(*) as k from both_ways group by a) l on l.a = d.doc_id
         group by d.doc_id, n
     """,
     "op7_embeddings": """
