@@ -65,7 +65,9 @@ def page(df: DataFrame, order: list[Column], number: int, size: int) -> DataFram
     ``order`` must be a total order.
     """
     skipped = (number - 1) * size
-    # At most ``size`` rows reach this window.
+    if skipped + size > HEAD_ROWS:
+        return with_position(df, order).filter(F.col("position").between(skipped + 1, skipped + size))
+    # At most ``HEAD_ROWS`` rows reach this window.
     place = F.row_number().over(Window.orderBy(*order)).cast("bigint")
     return rows_from(df, order, skipped, size).withColumn("position", place + F.lit(skipped))
 
