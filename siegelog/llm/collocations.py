@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,7 +26,8 @@ from pyspark.sql import functions as F
 from siegelog.llm.storage import ship, stored
 from siegelog.llm.wordhash import _LOWER, batches, mix
 
-SHARDS = 4
+# Few, as the local support must stay well above 1.
+SHARDS = 2
 BITS = 28
 # Bytes of text in a batch; each takes some 60 bytes of arrays. A longer text is a batch of its own.
 BATCH = 1 << 20
@@ -67,8 +69,13 @@ class Tokens:
         self.need = np.array([r[2] for r in rows], np.int64)[row]
         own = np.fromiter((xxhash.xxh3_64_intdigest(x) for x in self.texts.to_pylist()), np.uint64, len(self.texts))
         of_lang = np.array([xxhash.xxh3_64_intdigest(x.encode()) for x in self.langs], np.uint64)
+        self.own, self.of_lang = own, of_lang
         self.word = own[self.code]
-        self.grams = [mix((of_lang[self.lang] if len(row) else self.word) * _FACTOR + self.word)]
+        self.grams = [self.first(self.lang, self.code)]
+
+    def first(self, lang: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """Hashes of words of a language, from their codes."""
+        return mix(self.of_lang[lang] * _FACTOR + self.own[code])
 
     def hashes(self, size: int) -> np.ndarray:
         """Of the phrases of ``size`` words that begin at each word, language included."""
@@ -134,11 +141,12 @@ def _words(arrow_batches) -> Iterator[pa.RecordBatch]:
     for t in _batches(arrow_batches):
         if not len(t.code):
             continue
-        cell = (t.shard.astype(np.int64) * len(t.langs) + t.lang) * len(t.texts) + t.code
-        cells, at, n = np.unique(cell, return_index=True, return_counts=True)
-        langs = pa.DictionaryArray.from_arrays(pa.array(t.lang[at]), pa.array(t.langs)).cast(pa.string())
-        words = t.texts.take(pa.array(t.code[at])).cast(pa.large_string()).cast(pa.string())
-        columns = [pa.array(t.shard[at], pa.int64()), langs, words, pa.array(t.grams[0][at].view(np.int64)), pa.array(n)]
+        counts = np.bincount((t.shard.astype(np.int64) * len(t.langs) + t.lang) * len(t.texts) + t.code)
+        cells = np.flatnonzero(counts)
+        (shard, lang), code = np.divmod(cells // len(t.texts), len(t.langs)), cells % len(t.texts)
+        langs = pa.DictionaryArray.from_arrays(pa.array(lang, pa.int32()), pa.array(t.langs)).cast(pa.string())
+        words = t.texts.take(pa.array(code)).cast(pa.large_string()).cast(pa.string())
+        columns = [pa.array(shard), langs, words, pa.array(t.first(lang, code).view(np.int64)), pa.array(counts[cells])]
         yield pa.RecordBatch.from_arrays(columns, ["shard", "lang", "word", "key", "n"])
 
 
@@ -153,38 +161,61 @@ def _miner(lower, size_below: int, sizes: tuple[int, ...]):
             fits = _has(lower, _place(below, t.shard[: len(below)])) & t.whole(size_below)
             for size in sizes:
                 at = np.flatnonzero(t.whole(size) & t.all_of(fits, size - size_below + 1)[: max(0, len(t.code) - size + 1)])
-                keys = t.hashes(size)[at] if len(at) else np.zeros(0, np.uint64)
-                for shard in np.unique(t.shard[at]):
-                    own = t.shard[at] == shard
-                    found, first, n = np.unique(keys[own], return_index=True, return_counts=True)
-                    needs = t.need[at][own][first]
+                if not len(at):
+                    continue
+                keys, cell = t.hashes(size)[at], t.shard[at] * len(t.langs) + t.lang[at]
+                for k in np.flatnonzero(np.bincount(cell)):  # of one shard and language, so of one local support
+                    own = cell == k
+                    found, n = np.unique(keys[own], return_counts=True)
+                    shard, need = k // len(t.langs), t.need[at[np.argmax(own)]]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(n), shard), pa.int64()), pa.array(needs), pa.array(found.view(np.int64)), pa.array(n)],
+                        [pa.array(np.full(len(n), shard)), pa.array(np.full(len(n), need)), pa.array(found.view(np.int64)), pa.array(n)],
                         ["shard", "need", "key", "n"],
                     )
 
     return run
 
 
+def _equal_runs(t: Tokens, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """One place of each distinct phrase (with its language) among those that begin at ``at``, and how often it is there.
+
+    Phrases are sorted by hash; then codes decide, so that the counts are exact.
+    """
+    keys = t.hashes(size)[at]
+    at = at[np.argsort(keys)]
+    new = np.ones(len(at), bool)
+    keys = t.hashes(size)[at]
+    new[1:] = keys[1:] != keys[:-1]
+    run = np.cumsum(new) - 1
+    first = at[new]
+    same = t.lang[at] == t.lang[first][run]
+    for k in range(size):
+        same &= t.code[at + k] == t.code[first + k][run]
+    if same.all():
+        return first, np.bincount(run, minlength=len(first))
+    parts = np.stack([t.lang[at], *(t.code[at + k] for k in range(size))], axis=1)  # two phrases with one hash
+    _, where, n = np.unique(parts, axis=0, return_index=True, return_counts=True)
+    return at[where], n
+
+
 def _counter(candidates, longest: int):
     """Exact counts of the phrases, as texts, whose hash is a candidate's."""
 
     def run(arrow_batches) -> Iterator[pa.RecordBatch]:
         for t in _batches(arrow_batches):
-            texts = t.texts.cast(pa.large_string()).to_pylist()
+            texts = t.texts.cast(pa.large_string())
             for size in range(2, longest + 1):
                 if len(t.code) < size:
                     break
                 at = np.flatnonzero(t.whole(size))
                 at = at[_has(candidates, _place(t.hashes(size)[at], None))]
-                same = t.lang[at].astype(np.int64)
-                for k in range(size):  # numbers of equal beginnings, exact
-                    same = np.unique(same * len(texts) + t.code[at + k], return_inverse=True)[1].astype(np.int64)
-                _, first, n = np.unique(same, return_index=True, return_counts=True)
-                codes = [t.code[at[first] + k].tolist() for k in range(size)]
-                phrases = [" ".join([texts[c] for c in x]) for x in zip(*codes, strict=True)]
-                langs = [t.langs[k] for k in t.lang[at[first]].tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(phrases, pa.string()), pa.array(n)], ["lang", "phrase", "n"])
+                if not len(at):
+                    continue
+                first, n = _equal_runs(t, at, size)
+                words = [texts.take(pa.array(t.code[first + k])) for k in range(size)]
+                phrases = pc.binary_join_element_wise(*words, pa.scalar(" ", pa.large_string())).cast(pa.string())
+                langs = pa.DictionaryArray.from_arrays(pa.array(t.lang[first]), pa.array(t.langs)).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([langs, phrases, pa.array(n)], ["lang", "phrase", "n"])
 
     return run
 
