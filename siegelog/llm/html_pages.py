@@ -69,14 +69,16 @@ DROP_ROLES = frozenset(
     "navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar status toolbar tooltip".split()
 )
 DROP_WORDS = frozenset(
-    """ad ads adv advert adverts advertisement advertisements advertising adsense adslot sponsor sponsored sponsors promo promos promotion
+    """ad ads adsbygoogle adv advert adverts advertisement advertisements advertising adsense adslot sponsor sponsored sponsors promo promos promotion
     banner banners nav navbar navi navigation menu menus breadcrumb breadcrumbs sidebar sidebars aside footer footers masthead
     comment comments commentlist disqus respond replies reply cookie cookies consent gdpr notice notices notification notifications
     alert popup modal overlay newsletter subscribe subscription signup paywall social share sharing shares related recommended
     recommendations pagination pager widget widgets toolbar login search skip outbrain taboola""".split()
 )
 # Words of classes that only speak of another part of the page.
-ABOUT = frozenset("has no with without hide show is not category tag type format status".split())
+ABOUT = frozenset("has no with without hide show is not".split())
+# First words of classes that list what an article is about.
+LISTED = frozenset("category tag type format status".split())
 GOOD_WORDS = frozenset("article articlebody body content entry main page post story text".split())
 PRIOR = {"article": 2.0, "main": 1.8, "": 0.6, "td": 0.9, "th": 0.5}
 
@@ -97,7 +99,13 @@ def _words(name: str) -> list[str]:
 
 
 def _marked(words: list[str]) -> bool:
-    return bool(words) and words[0] not in ABOUT and not DROP_WORDS.isdisjoint(words)
+    """Whether a name has a word of ``DROP_WORDS``, and none before it that only speaks of another part."""
+    if words and words[0] in LISTED:
+        return False
+    for word in words:
+        if word in ABOUT or word in DROP_WORDS:
+            return word in DROP_WORDS
+    return False
 
 
 def _step(tag: str, classes: list[str]) -> str:
@@ -264,7 +272,7 @@ class Page:
                             role = value.strip().lower()
                 if role in DROP_ROLES or (tag != "main" and any(_marked(m) for m in marks)):
                     drops = True
-                elif tag == "header" or any("header" in m and m[0] not in ABOUT for m in marks):
+                elif tag == "header" or any("header" in m and ABOUT.isdisjoint(m) for m in marks):
                     if self.priors[container] < 1.5:
                         drops = True
                     elif not kind:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import datetime as dt
 import re
-from collections import defaultdict
+import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -108,6 +109,9 @@ def test_hash_tree(spark):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and len(slots) == 16
     assert all(len(x) == 1 for x in by_id.values())
     assert max(map(len, slots.values())) < 1.15 * min(map(len, slots.values()))
+    body = lambda t: b"" if t is None else t.encode()
+    given = [(r[0], r[1]) for r in rows()] + [(k, str(k)) for k in range(5000, 25000)]
+    assert Counter((r.doc_id, r.size, r.text_crc32, r.law) for r in got) == Counter((i, len(body(t)) + 1, zlib.crc32(body(t)), "key") for i, t in given)
     moved = sum(r.grown_shard == 16 for r in got)
     assert 0.8 < 17 * moved / len(got) < 1.2
     heavy = hash_tree.Tree((((1.0, 3.0),),))

@@ -189,3 +189,9 @@ def test_equal_hashes_do_not_add_up(monkeypatch):
     first, n = collocations._equal_runs(t, at, 3)
     found = {(t.langs[t.lang[k]], tuple(t.texts[int(c)].as_py() for c in t.code[k : k + 3])): int(x) for k, x in zip(first, n, strict=True)}
     assert found[("en", (b"a", b"b", b"c"))] == 2 and found[("de", (b"a", b"b", b"c"))] == 1 and sum(found.values()) == 8
+
+
+def test_names_that_speak_of_other_parts():
+    marked = lambda name: html_pages._marked(html_pages._words(name))
+    assert all(map(marked, ["sidebar", "left-sidebar", "adSlot-3", "post-comments", "cookieBanner", "content-sidebar", "site_footer"]))
+    assert not any(map(marked, ["content-with-sidebar", "no-ads", "has-comments", "tag-cookie", "category-social", "download", "commentary", "", "x1"]))
