@@ -29,6 +29,8 @@ from siegelog.llm.storage import ship, stored
 
 # Representatives in a tile, about.
 TILE = 4096
+# Bytes of vectors (as given and turned) that a task holds, or two tiles.
+TASK_BYTES = 128 << 20
 # Rows of a tile that are multiplied at a time.
 ROWS = 512
 # Leading dimensions are added in steps of this many.
@@ -107,7 +109,9 @@ def _scaled(rows: np.ndarray) -> np.ndarray:
     return np.ldexp(rows, -exponent[:, None])
 
 
-def _compared(axes, threshold: float):
+def _compared(axes, threshold: float, side: int):
+    """Links between the tiles of two squares (``low`` and ``high``), each pair of tiles once."""
+
     def run(table: pa.Table) -> pa.Table:
         low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
         tile = table.column("tile").to_numpy()
@@ -115,22 +119,30 @@ def _compared(axes, threshold: float):
         given = _scaled(_matrix(table.column("body")))
         turned = _unit(given) @ axes.value
         norm = np.sqrt(np.einsum("ij,ij->i", given, given))
-        left, right = np.flatnonzero(tile == low), np.flatnonzero(tile == high)
         links = np.zeros(len(rep), np.int64)
         pairs = []
-        for k in range(0, len(left), ROWS):
-            rows = left[k : k + ROWS]
-            i, j = _candidates(turned[rows], turned[right], threshold)
-            a, b = rows[i], right[j]
-            if low == high:
-                a, b = a[a < b], b[a < b]
-            for s in range(0, len(a), 1 << 16):
-                x, y = a[s : s + (1 << 16)], b[s : s + (1 << 16)]
-                cosine = np.einsum("ij,ij->i", given[x], given[y]) / (norm[x] * norm[y])
-                x, y = x[cosine >= threshold], y[cosine >= threshold]
-                np.add.at(links, x, copies[y])
-                np.add.at(links, y, copies[x])
-                pairs.append((x, y))
+        members = {t: np.flatnonzero(tile == t) for t in np.unique(tile).tolist()}
+        reach = math.sqrt(2 - 2 * threshold) + MARGIN
+        for one, left in members.items():
+            for two, right in members.items():
+                if one > two or (one // side, two // side) != (low, high):
+                    continue
+                x, y = turned[left, 0], turned[right, 0]
+                if max(y.min() - x.max(), x.min() - y.max()) > reach:
+                    continue
+                for k in range(0, len(left), ROWS):
+                    rows = left[k : k + ROWS]
+                    i, j = _candidates(turned[rows], turned[right], threshold)
+                    a, b = rows[i], right[j]
+                    if one == two:
+                        a, b = a[a < b], b[a < b]
+                    for s in range(0, len(a), 1 << 16):
+                        x, y = a[s : s + (1 << 16)], b[s : s + (1 << 16)]
+                        cosine = np.einsum("ij,ij->i", given[x], given[y]) / (norm[x] * norm[y])
+                        x, y = x[cosine >= threshold], y[cosine >= threshold]
+                        np.add.at(links, x, copies[y])
+                        np.add.at(links, y, copies[x])
+                        pairs.append((x, y))
         a, b = (np.concatenate(p) for p in zip(*pairs, strict=True)) if pairs else (np.zeros(0, int), np.zeros(0, int))
         tree = _forest(a, b, len(rep))
         some = np.flatnonzero(links)
@@ -246,15 +258,21 @@ def _one_length(classes: DataFrame, threshold: float) -> DataFrame:
     until = [int(np.searchsorted(limits, x + reach, "right")) for x in limits] + [len(limits)]
     reached = spark.createDataFrame(list(enumerate(until)), "part int, until int")
     last = parts.select(F.col("part").alias("until"), (F.col("start") + F.col("pieces") - 1).alias("last"))
+    # A task compares two runs of `side` tiles, so a vector is sent tiles / side times; what it holds is bounded.
+    side = max(1, min(math.ceil(math.sqrt(tiles)), TASK_BYTES // (2 * 2 * 8 * TILE * dims)))
+    square = lambda tile: F.floor(tile / side).cast("long")
     pairs = (
         parts.join(reached, "part")
         .join(last, "until")
-        .select(F.explode(F.sequence("start", F.col("start") + F.col("pieces") - 1)).alias("low"), "last")
+        .select(F.explode(F.sequence(square(F.col("start")), square(F.col("start") + F.col("pieces") - 1))).alias("low"), square(F.col("last")).alias("last"))
+        .groupBy("low")
+        .agg(F.max("last").alias("last"))
         .select("low", F.explode(F.sequence("low", "last")).alias("high"))
     )
-    work = dealt.join(pairs.withColumn("tile", F.explode(F.array_distinct(F.array("low", "high")))), "tile")
+    own = pairs.withColumn("square", F.explode(F.array_distinct(F.array("low", "high"))))
+    work = dealt.withColumn("square", square(F.col("tile"))).join(own, "square")
     return work.select("low", "high", "tile", "rep", "copies", "body").groupBy("low", "high").applyInArrow(
-        _compared(axes, threshold), "a long, b long, links long, edge boolean"
+        _compared(axes, threshold, side), "a long, b long, links long, edge boolean"
     )
 
 
