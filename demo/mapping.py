@@ -233,13 +233,22 @@ def size_classes(spark: SparkSession, sf_dir: str, dim: str, wide: bool = False)
 
 @lru_cache(maxsize=None)
 def drifting_files(spark: SparkSession, sf_dir: str) -> tuple[str, ...]:
-    """The events of four groups of users as files with differing columns and types."""
+    """The events of four groups of users as files with differing columns and types.
+
+    Numbers that a narrow type does not hold are in files of their own, as BIGINT.
+    """
     events, path = table(spark, sf_dir, "events"), scratch_path(spark, "drift")
     user, number = F.col("user_id"), F.col("event_id")
+    fits = {"int": number.between(-(2**31), 2**31 - 1), "short": user.between(-(2**15), 2**15 - 1)}
+    half = (number + F.lit(0.5)).alias("event_id")
+    first, second = events.filter(user % 4 == 0), events.filter(user % 4 == 1)
+    day, moment = F.to_date("ts").alias("ts"), F.col("ts").cast("timestamp_ntz").alias("ts")
     parts = [
-        events.filter(user % 4 == 0).select(number.cast("int").alias("event_id"), user.alias("user_id"), F.to_date("ts").alias("ts")),
-        events.filter(user % 4 == 1).select((number + F.lit(0.5)).alias("event_id"), user.cast("short").alias("USER_ID"), F.col("ts").cast("timestamp_ntz").alias("ts")),
-        events.filter(user % 4 == 2).select(number.alias("event_id"), F.concat(F.lit("u"), user.cast("string")).alias("user_id"), F.to_date("ts").alias("ts"), "event_type"),
+        first.filter(fits["int"] | number.isNull()).select(number.cast("int").alias("event_id"), user.alias("user_id"), day),
+        first.filter(~fits["int"]).select(number.alias("event_id"), user.alias("user_id"), day),
+        second.filter(fits["short"]).select(half, user.cast("short").alias("USER_ID"), moment),
+        second.filter(~fits["short"]).select(half, user.alias("USER_ID"), moment),
+        events.filter(user % 4 == 2).select(number.alias("event_id"), F.concat(F.lit("u"), user.cast("string")).alias("user_id"), day, "event_type"),
         events.filter(user % 4 == 3).select(number.alias("event_id"), user.cast("double").alias("user_id"), F.lit(None).cast("date").alias("ts"), (number % 2 == 0).alias("event_type")),
     ]
     for k, part in enumerate(parts):

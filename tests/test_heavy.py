@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from demo import catalogue
 from siegelog.operators.heavy import BUCKETS, DailySketches, bucket_counts, largest_values, merged
 from siegelog.operators.sketch_sets import SketchStore
 from siegelog.operators.threshold import SizeClasses
@@ -162,3 +163,17 @@ def test_write_checked_scans_once(spark, tmp_path):
     assert sorted(r.k for r in spark.read.parquet(written.rejected).collect()) == list(range(7))
     none = lake.write_checked(frame.filter("k < 0"), str(tmp_path / "none"))
     assert none.rows == 0 and none.undated_rows == 0
+
+
+def test_drifting_files_hold_large_numbers(spark, tmp_path):
+    """Users and events beyond a narrow type keep their numbers and the types of the files."""
+    ids = [(k, 4 * 20_000 + k % 4) for k in range(8)] + [(2**31 + k, k) for k in range(8)] + [(None, 4)]
+    rows = [(i, dt.datetime(2024, 1, 2, 3, 4), u, "click") for i, u in ids]
+    schema = T.StructType.fromDDL("event_id long, ts timestamp_ntz, user_id long, event_type string")
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "events.parquet"))
+    got = catalogue.queries()["union_of_drifting_types"](spark, str(tmp_path)).collect()
+    number = lambda i, u: None if i is None else i + (0.5 if u % 4 == 1 else 0.0)
+    want = Counter((number(i, u), ("u" if u % 4 == 2 else "") + str(u)) for i, u in ids)
+    assert Counter((r.event_id, r.user_id) for r in got) == want
+    chosen = {r.column: (r.types, r.chosen, r.filled) for r in catalogue.queries()["drifting_types"](spark, str(tmp_path)).collect()}
+    assert chosen["event_id"] == ("bigint,double,int", "double", 16) and chosen["user_id"] == ("bigint,double,smallint,string", "string", 17)
