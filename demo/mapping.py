@@ -150,7 +150,8 @@ def given(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
 @lru_cache(maxsize=None)
 def wide_rollups(spark: SparkSession, sf_dir: str) -> Rollups:
     """A log of many years: ``lineitem`` by ship date, ``supplier`` as its lookup."""
-    log = table(spark, sf_dir, "lineitem").select(
+    lines = table(spark, sf_dir, "lineitem")
+    log = lines.select(
         F.col("l_shipdate").alias("datetime"),
         _supplier_address(F.col("l_suppkey")).alias("ip"),
         F.concat("l_returnflag", "l_linestatus").alias("username"),
@@ -167,7 +168,8 @@ def wide_rollups(spark: SparkSession, sf_dir: str) -> Rollups:
             F.concat(F.lit("NET_"), network).alias("asn_name"),
         )
     )
-    return Rollups.of_base(base_from_log(log, suppliers, lookup_bound(spark, sf_dir), unique=True))
+    # lines are counted from file footers
+    return Rollups.of_log(log, suppliers, lines.count(), lookup_bound(spark, sf_dir), unique=True)
 
 
 # Tables that are stored once, in the folder the cluster shares, and read by several queries.

@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 # A side is broadcast only when it is known to have at most this many rows, and as measured bytes.
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 << 20
+# Rows that a task groups or sorts at a time, where their number is known.
+TASK_ROWS = 250_000
 
 
 def broadcast_if_bounded(df: DataFrame, rows: int | None) -> DataFrame:
@@ -27,6 +29,11 @@ def broadcast_if_bounded(df: DataFrame, rows: int | None) -> DataFrame:
     return df
 
 
+def tasks_for(rows: int) -> int:
+    """Tasks of about ``TASK_ROWS`` rows each."""
+    return max(1, -(-rows // TASK_ROWS))
+
+
 def has_at_most(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
     """Whether ``df`` has at most ``rows`` rows of ``size`` bytes in all.
 

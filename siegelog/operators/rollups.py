@@ -8,14 +8,14 @@ derived on the fly, or written once and read back.
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, fields
+from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siegelog.functions import expressions as X
-from siegelog.functions.scale import reliable_checkpoint
-from siegelog.operators.joins import lookup_join
+from siegelog.functions.scale import reliable_checkpoint, tasks_for
+from siegelog.operators.joins import lookup_join, one_per_key
 
 # Finest daily grain. Every other daily rollup is an exact re-aggregation of it.
 BASE_KEYS = ("date", "ip", "username", "country", "asn", "asn_name")
@@ -89,6 +89,25 @@ def base_from_log(
     return joined.select(*BASE_KEYS, "attacks")
 
 
+def daily_ip_from_log(
+    log: DataFrame, lookup: DataFrame, log_rows: int, lookup_rows: int | None = None, unique: bool = False
+) -> DataFrame:
+    """The daily address rollup from the raw log of at most ``log_rows`` rows, grouped once.
+
+    Rows are dealt by day and address to tasks of a bounded number of rows, so a task's
+    memory does not follow the size of the log, and a hot address is spread over its days.
+    Counts by day and address have one row for each label of the address, so they need not
+    be grouped again: equal labels come as one with the number of their copies.
+    """
+    rows = log.select(_day(), "ip").repartition(tasks_for(log_rows), "date", "ip")
+    counts = rows.groupBy("date", "ip").agg(F.count("*").alias("counted"))
+    known = lookup if unique else one_per_key(lookup, "ip")
+    labels = known.groupBy("ip", "country", "asn_name").agg(F.count("*").alias("copies"))
+    joined = lookup_join(counts, labels, "ip", right_rows=lookup_rows, unique=True)
+    attacks = F.col("counted") * F.coalesce("copies", F.lit(1).cast("bigint"))
+    return joined.select(*DAILY["ip"][0], attacks.alias("attacks"))
+
+
 def daily_stats(attacks: DataFrame) -> DataFrame:
     """Attacks and exact distinct addresses, countries and usernames per day."""
     return attacks.groupBy(_day()).agg(
@@ -324,6 +343,14 @@ class Rollups:
         """As ``of``, from the base grain: with ``base_from_log`` the log is counted before it is enriched."""
         return cls(stats=daily_stats_from_base(base), **{t: daily_from_base(base, t) for t in DAILY})
 
+    @classmethod
+    def of_log(
+        cls, log: DataFrame, lookup: DataFrame, log_rows: int, lookup_rows: int | None = None, unique: bool = False
+    ) -> Rollups:
+        """As ``of_base``, from the raw log of at most ``log_rows`` rows; the address rollup without usernames in between."""
+        tables = cls.of_base(base_from_log(log, lookup, lookup_rows, unique))
+        return replace(tables, ip=daily_ip_from_log(log, lookup, log_rows, lookup_rows, unique))
+
     @classmethod
     def read(cls, spark: SparkSession, path: str) -> Rollups:
         return cls(**{f.name: spark.read.parquet(f"{path}/daily_{f.name}") for f in fields(cls)})

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import datetime as dt
 from dataclasses import fields
 
 import pytest
@@ -185,3 +186,23 @@ def test_labels_are_chosen_after_hash_aggregation(fact):
         plan = df._jdf.queryExecution().sparkPlan().toString()
         scan_side = [line for line in plan.splitlines() if "Aggregate" in line][-1]
         assert "HashAggregate" in scan_side and "SortAggregate" not in scan_side
+
+
+def test_daily_addresses_from_the_log_are_grouped_once(spark):
+    """Repeated, null and unknown addresses as by way of the base grain, in tasks of a bounded number of rows."""
+    day = lambda n: None if n is None else dt.datetime(2024, 1, n, 5)
+    log = [(day(n), ip, u) for n in (1, 2, None) for ip in ("a", "b", "c", None) for u in ("x", "x", "y", None)]
+    labels = [("a", "C1", "AS1", "N1"), ("a", "C1", "AS2", "N1"), ("a", "C1", "AS2", None), ("b", None, None, None), (None, "C9", "AS9", "N9"), ("d", "C4", "AS4", "N4")]
+    logged = spark.createDataFrame(log, "datetime timestamp_ntz, ip string, username string")
+    known = spark.createDataFrame(labels, "ip string, country string, asn string, asn_name string")
+    base = R.base_from_log(logged, known, len(labels), unique=True)
+    want = sorted(map(repr, map(tuple, R.daily_from_base(base, "ip").collect())))
+    direct = R.Rollups.of_log(logged, known, 10**8, len(labels), unique=True).ip
+    assert sorted(map(repr, map(tuple, direct.collect()))) == want
+    plan = direct._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(date" in plan and ", 400)" in plan
+    assert not any("username" in line for line in plan.splitlines() if "Aggregate" in line)
+    once = known.filter("ip = 'b'")
+    assert R.daily_ip_from_log(logged, once, len(log)).count() == 12
+    with pytest.raises(Exception, match="key comes twice"):
+        R.daily_ip_from_log(logged, known, len(log)).collect()
