@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siegelog.functions import expressions as X
-from siegelog.functions.scale import reliable_checkpoint
+from siegelog.functions.scale import reliable_checkpoint, tasks_for
 
 # Days of a stored partition, as a power of two; longer blocks have a partition each.
 ERA = 6
@@ -44,8 +44,8 @@ STATE = {
 }
 
 
-def day_states(days: DataFrame, entity: str) -> DataFrame:
-    """States of single days, from ``entity, date, attacks`` with a row for each."""
+def day_states(days: DataFrame, entity: str, *others: str) -> DataFrame:
+    """States of single days, from ``entity, date, attacks`` with a row for each; ``others`` are kept."""
     none, number = F.lit(None).cast("bigint"), F.lit(None).cast("double")
     attacks = F.col("attacks")
     return days.select(
@@ -65,14 +65,14 @@ def day_states(days: DataFrame, entity: str) -> DataFrame:
         F.lit(0).cast("bigint").alias("moves"),
         F.lit(0.0).alias("sum_size"),
         F.lit(0.0).alias("sum_square"),
+        *others,
     )
 
 
-def _seam() -> dict[str, Column]:
-    """The change from the last day of the span before to the first day of this one."""
-    a, p, day = F.col("first_attacks"), F.col("before_attacks"), F.col("first_day")
-    zero, known = F.lit(0).cast("bigint"), F.col("before_day").isNotNull()
-    gap = F.datediff(day, "before_day")
+def _seam(a: Column, day: Column, p: Column, before: Column) -> dict[str, Column]:
+    """The change from the last day of the span before (``p`` attacks) to the first day of this one (``a``)."""
+    zero, known = F.lit(0).cast("bigint"), before.isNotNull()
+    gap = F.datediff(day, before)
     idle = F.when(gap >= 3, X.change_pct_from_one(zero, zero))
     move = X.change_pct_or_zero(a, p)
     size = F.when(known, F.abs(move))
@@ -105,7 +105,7 @@ def combined(states: DataFrame, *keys: str) -> DataFrame:
     order = Window.partitionBy(*keys).orderBy("first_day")
     placed = states.withColumns(
         {"before_day": F.lag("last_day").over(order), "before_attacks": F.lag("last_attacks").over(order)}
-    ).withColumns(_seam())
+    ).withColumns(_seam(*map(F.col, ("first_attacks", "first_day", "before_attacks", "before_day"))))
 
     def greatest(own: str, seam: str) -> Column:
         return F.max(F.greatest(own, seam)).alias(own)
@@ -129,6 +129,44 @@ def combined(states: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+def paired(states: DataFrame, *keys: str) -> DataFrame:
+    """As ``combined`` for keys of one or two spans: without an aggregation, and in the order of the keys."""
+    order = Window.partitionBy(*keys).orderBy("first_day")
+    placed = states.withColumns(
+        {"later": F.lead(F.struct(*STATE)).over(order), "has_earlier": F.lag("first_day").over(order).isNotNull()}
+    ).filter(~F.col("has_earlier"))
+    later = F.col("later")
+    seam = _seam(later["first_attacks"], later["first_day"], F.col("last_attacks"), F.when(later.isNotNull(), F.col("last_day")))
+    placed = placed.withColumns(seam)
+
+    def greatest(own: str, seam: str) -> Column:
+        return F.greatest(own, later[own], seam).alias(own)
+
+    def added(name: str, seam: Column, none: Column) -> Column:
+        return (F.col(name) + F.coalesce(later[name], none) + F.coalesce(seam, none)).alias(name)
+
+    zero, nothing = F.lit(0).cast("bigint"), F.lit(0.0)
+    size = F.col("seam_size")
+    return placed.select(
+        *keys,
+        "first_day",
+        "first_attacks",
+        F.coalesce(later["last_day"], "last_day").alias("last_day"),
+        F.coalesce(later["last_attacks"], "last_attacks").alias("last_attacks"),
+        added("total_attacks", zero, zero),
+        added("active_days", zero, zero),
+        F.greatest("max_daily", later["max_daily"]).alias("max_daily"),
+        greatest("rise", "seam_rise"),
+        greatest("rise_pct", "seam_pct"),
+        greatest("calendar_rise", "seam_calendar_rise"),
+        greatest("calendar_pct", "seam_calendar_pct"),
+        greatest("peak", "seam_peak"),
+        added("moves", F.when(size.isNotNull(), F.lit(1).cast("bigint")), zero),
+        added("sum_size", size, nothing),
+        added("sum_square", size * size, nothing),
+    )
+
+
 def number_of(day: dt.date) -> int:
     return (day - EPOCH).days
 
@@ -163,11 +201,22 @@ class DayBlocks:
     levels: int
 
     def build(self, days: DataFrame) -> DayBlocks:
-        """From ``entity, date, attacks`` (one row each); rows without an entity or date are left out."""
-        states = day_states(self._known(days), self.entity).withColumn("block", F.unix_date("first_day").cast("long"))
-        self._store(states, 0)
+        """From ``entity, date, attacks`` (one row each); rows without an entity or date are left out.
+
+        A level is shuffled and sorted once: the two halves of a block meet where the block
+        is written, in tasks of a part of the entities and of few partitions.
+        """
+        spark, known = days.sparkSession, self._known(days)
+        number = F.unix_date("date").cast("long")
+        placed = known.select(self.entity, "date", "attacks", number.alias("block")).withColumn("era", _era(0))
+        self._store(day_states(self._sorted(placed.hint("rebalance", F.col("era"))), self.entity, "block", "era"), 0)
         for level in range(1, self.levels + 1):
-            self._store(self._above(self.level(days.sparkSession, level - 1)), level)
+            below = self.level(spark, level - 1)
+            held = below.agg(F.count("*").alias("rows"), F.count_distinct("era").alias("eras")).first()
+            tasks = tasks_for(held["rows"])
+            part = F.pmod(F.xxhash64(self.entity), F.lit(-(-tasks // max(1, held["eras"]))))
+            halves = self._halves(below, level).withColumn("part", part).repartition(tasks, "era", "part")
+            self._store(paired(halves, "era", "block", self.entity, "part").drop("part"), level)
         return self
 
     def refresh(self, days: DataFrame, dates: Iterable[dt.date]) -> DayBlocks:
@@ -188,7 +237,7 @@ class DayBlocks:
             eras = {(b << level) >> ERA for b in blocks}
             below = {((2 * b + half) << (level - 1)) >> ERA for b in blocks for half in (0, 1)} | (eras if level <= ERA else set())
             source = self.level(spark, level - 1).filter(F.col("era").isin(sorted(below)))
-            above = self._above(source)
+            above = paired(self._halves(source, level), "era", "block", self.entity).drop("era")
             if level > ERA:
                 above = above.filter(F.col("block").isin(sorted(blocks)))
             self._replace(above, level, eras)
@@ -202,18 +251,16 @@ class DayBlocks:
     def _known(self, days: DataFrame) -> DataFrame:
         return days.filter(F.col(self.entity).isNotNull() & F.col("date").isNotNull())
 
-    def _above(self, states: DataFrame) -> DataFrame:
-        return combined(states.withColumn("block", F.shiftright("block", 1)), self.entity, "block")
+    def _halves(self, states: DataFrame, level: int) -> DataFrame:
+        """States of the level below with the block and partition that they belong to."""
+        return states.withColumn("block", F.shiftright("block", 1)).withColumn("era", _era(level))
+
+    def _sorted(self, rows: DataFrame) -> DataFrame:
+        return rows.sortWithinPartitions("era", "block", self.entity)
 
     def _store(self, states: DataFrame, level: int) -> None:
-        (
-            states.withColumn("era", _era(level))
-            .hint("rebalance", F.col("era"))
-            .sortWithinPartitions("era", "block", self.entity)
-            .write.mode("overwrite")
-            .partitionBy("era")
-            .parquet(f"{self.path}/level={level}")
-        )
+        """Write states that are sorted by partition, block and entity."""
+        states.write.mode("overwrite").partitionBy("era").parquet(f"{self.path}/level={level}")
 
     def _replace(self, states: DataFrame, level: int, eras: set[int]) -> None:
         """Write the partitions of some eras, also those that are empty now."""

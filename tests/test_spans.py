@@ -121,3 +121,18 @@ def test_empty_log(spark, tmp_path):
     assert B.block_summary(spark, kept, "country", day(0), day(9)).count() == 0
     assert isinstance(kept, DayBlocks) and kept.refresh(B.entity_days(none, "country"), [log_rows()[0][0]]) is kept
     assert B.block_summary(spark, kept, "country", day(0), day(150)).count() == 1
+
+
+def test_levels_are_shuffled_once(spark, tmp_path):
+    """Each level is what an aggregation of the level below gives, of one shuffle and no sort aggregate."""
+    days = B.entity_days(rollups(spark, log_rows()), "ip")
+    kept = DayBlocks(str(tmp_path / "ip"), "ip", 9).build(days)
+    for level in range(1, 10):
+        below = kept.level(spark, level - 1).withColumn("block", F.shiftright("block", 1))
+        want = spans.combined(below, "ip", "block").select("ip", "block", *spans.STATE)
+        got = kept.level(spark, level)
+        assert sorted(map(repr, got.select("ip", "block", *spans.STATE).collect())) == sorted(map(repr, want.collect()))
+        assert got.filter(F.col("era") != F.shiftright(F.shiftleft("block", level), spans.ERA)).count() == 0
+    dealt = kept.level(spark, 0).withColumn("part", F.pmod(F.xxhash64("ip"), F.lit(2))).repartition(4, "era", "part")
+    plan = spans.paired(dealt, "era", "block", "ip", "part")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Aggregate" not in plan
