@@ -94,14 +94,8 @@ def test_quality(spark):
 
 
 def symbol(character):
-    import numpy as np
-
-    from siegelog.llm.wordhash import mix
-
     point = ord(character)
-    if 9 <= point < 14:
-        return 32
-    return point if point < 128 else 128 + int(mix(np.array([point], np.uint64))[0] % np.uint64(128))
+    return 32 if 9 <= point < 14 else point
 
 
 def brute_log_perplexities(texts):
@@ -123,7 +117,7 @@ def brute_log_perplexities(texts):
 
     def p(g):
         if not g:
-            return 1 / 256
+            return 1 / 0x110000
         shorter, context = p(g[1:]), g[:-1]
         if not total[context]:
             return shorter
@@ -201,6 +195,22 @@ def test_quality_verdicts(spark, monkeypatch):
     assert sorted((r.doc_id or -1) for r in rows_.collect()) == sorted((i or -1) for i, _, k in want if k)
 
 
+def test_quality_tells_all_characters_apart(spark):
+    """No two characters share a symbol, so a text of unknown characters has the least likely ones."""
+    import numpy as np
+
+    points = [p for p in range(14, 0x3000) if not 0xD800 <= p < 0xE000]
+    grams = quality.grams_of("".join(map(chr, points)).encode())
+    assert len(np.unique(grams % quality.SYMBOLS)) == len(points) and (grams >= 0).all()
+    known = "".join(chr(0x4E00 + k) for k in range(400))
+    other = "".join(chr(0x5200 + k) for k in range(400))
+    model = quality._model(spark.createDataFrame([(1, known)], "doc_id long, text string").selectExpr("'zh' lang", "encode(text, 'utf-8') text")
+        .mapInArrow(quality._counted, "lang string, gram long, count long").toPandas())
+    scorer = quality.Scorer({"zh": model["arrays"][0]})
+    (seen,), (unseen,) = (scorer.log_perplexities("zh", [t.encode()]) for t in (known, other))
+    assert seen < 3 and unseen > 5.5
+
+
 def test_kneser_ney_is_a_distribution():
     import numpy as np
     import pandas as pd
