@@ -42,7 +42,7 @@ FEW = 3.0
 # Bytes of models in a broadcast, unless one model alone has more.
 PACK_BYTES = 64 << 20
 # Bytes of texts that are handled at a time, and distinct n-grams that a task gathers.
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 19
 GATHERED = 1 << 20
 
 _CONTINUATION = np.zeros(256, bool)  # later bytes of a character
