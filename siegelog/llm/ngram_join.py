@@ -403,10 +403,12 @@ def grouped_rows(
     )
     met = stored(met, "met")
 
-    bands = spark.createDataFrame(
-        [(b, p.segments, p.deletions, limits[b][1]) for b, p in plan.items()],
-        "in_band int, segments int, deletions boolean, high long",
-    )
+    # as literals: rows from Python lists would start other Python workers on the executors
+    each = [
+        F.struct(F.lit(b).alias("in_band"), F.lit(p.segments).alias("segments"), F.lit(p.deletions).alias("deletions"), F.lit(limits[b][1]).cast("long").alias("high"))
+        for b, p in plan.items()
+    ]
+    bands = spark.range(1).select(F.inline(F.array(*each)))
     # For each set and partition of the universe, the rarest H + 1 signatures; those it shares with nobody come first.
     n, partner = F.col("n"), F.floor(F.col("n") * like.whole / F.lit(like.part))
     differ = F.floor((n + F.when(F.col("lower") == 1, F.col("high")).otherwise(partner)) * (like.whole - like.part) / F.lit(like.whole + like.part))

@@ -26,12 +26,13 @@ from siegelog.llm.storage import ship
 from siegelog.llm.wordhash import _LOWER, _SPACE, text_batches, words
 
 END = 2
-# Encoded units that a Python worker keeps (some 150 bytes each); then it starts anew.
-KEPT_UNITS = 4_000_000
+# Encoded units that a Python worker keeps (some 200 bytes each); then it starts anew.
+KEPT_UNITS = 300_000
 # Documents whose tokens are put together at a time.
 GROUP = 256
-# Pieces in a batch of results.
+# Pieces in a batch of results, and bytes of their tokens; a document's pieces are in one batch.
 ROWS = 2000
+ROWS_BYTES = 1 << 20
 
 # Classes of bytes: white space, letter, digit, other, and bytes whose word is encoded as a whole.
 _BLANK, _LETTER, _DIGIT, _OTHER, _WHOLE = range(5)
@@ -168,14 +169,16 @@ def _packed(tokenizer: str, longest: int):
         sequence = context.partitionId() << 33 if context else 0
         for doc_ids, texts in text_batches(batches, "id", "text"):
             rows: list[tuple] = []
+            held = 0
             for doc_id, ids in zip(doc_ids, _encoder(tokenizer).encode(texts), strict=True):
                 start, body = 0, ids.astype("<u4").tobytes()
                 for size in piece_lengths(len(ids), longest):
                     rows.append((doc_id, start, size, body[4 * start : 4 * (start + size)], len(ids), sequence, 0, size))
                     start, sequence = start + size, sequence + 1
-                if len(rows) >= ROWS:
+                held += len(body)
+                if len(rows) >= ROWS or held >= ROWS_BYTES:
                     yield batch(rows)
-                    rows = []
+                    rows, held = [], 0
             if rows:
                 yield batch(rows)
 

@@ -9,6 +9,10 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Bytes of rows that are sent to a Python worker at a time, unless the session sets them; by default only their number is bounded.
+SENT_BYTES = 4 << 20
+_SENT = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 _LOCAL_FOLDERS: dict[str, str] = {}
 
 
@@ -41,7 +45,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package where it is not installed.
+    """Let Python workers import this package where it is not installed, and send them batches of bounded size.
 
     Enough for executors that see the driver's file system; other clusters
     install the package or pass it with ``--py-files``.
@@ -51,3 +55,5 @@ def ship(spark: SparkSession) -> None:
     paths = [x for x in environment.get("PYTHONPATH", "").split(os.pathsep) if x]
     if root not in paths:
         environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
+    if spark.conf.get(_SENT, None) is None:
+        spark.conf.set(_SENT, SENT_BYTES)

@@ -15,7 +15,7 @@ import numpy as np
 # Bytes of a span beyond which it is hashed by itself.
 LONG = 1024
 # Bytes of texts in a batch; a longer text is a batch of its own.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 _FACTOR = 0x9E3779B97F4A7C15
 

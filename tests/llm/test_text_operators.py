@@ -272,6 +272,49 @@ def test_packing(spark):
     assert digest >= 0
 
 
+def test_packing_holds_little():
+    """What a worker holds follows neither the bytes of a task's texts nor their distinct units; results go out in small parts."""
+    import tracemalloc
+    from itertools import islice, product
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    names = ["".join(x) for x in islice(product("abcdefghijklmnop", repeat=5), 700_000)]
+    texts = [" ".join(names[k : k + 2000]).encode() for k in range(0, len(names), 2000)]
+    texts += [texts[0] * 9] * 20
+    rows_ = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.binary())], ["id", "text"])
+    made, largest = defaultdict(list), 0
+    packing._encoder.cache_clear()
+    tracemalloc.start()
+    try:
+        for part in packing._packed(tokenizer_path(), 4096)(iter([rows_])):
+            largest = max(largest, part.nbytes)
+            for doc_id, ids in zip(part.column("id").to_pylist(), part.column("ids").to_pylist(), strict=True):
+                made[doc_id] = zlib.crc32(ids, made[doc_id] or 0)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+        packing._encoder.cache_clear()
+    tokenizer = Tokenizer.from_file(tokenizer_path())
+    for k in (0, 200, len(texts) - 1):
+        ids = [*tokenizer.encode(texts[k].decode(), add_special_tokens=False).ids, 2]
+        assert made[k] == zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids))
+    assert len(made) == len(texts) and peak < 150 << 20 and largest < 3 << 20
+
+
+def test_python_workers_get_bounded_batches(spark):
+    """Rows are sent to Python by their bytes, not only by their number."""
+    import pyarrow as pa
+
+    packing.pack_documents(none(spark), tokenizer_path())
+    sizes = spark.range(0, 9000, 1, 1).selectExpr("repeat('x', 3000) text").mapInArrow(
+        lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in batches), "n long"
+    )
+    got = [r.n for r in sizes.collect()]
+    assert sum(got) >= 27_000_000 and max(got) < 5 << 20
+
+
 @pytest.mark.parametrize("shard", [2_000_000, 3000])
 def test_language_model(spark, monkeypatch, shard):
     monkeypatch.setattr(trie_lm, "SHARD_TOKENS", shard)
