@@ -6,10 +6,15 @@ covariance is summed over all rows; only its dims x dims sum reaches the driver.
 
 Vectors are sorted along the first axis into tiles. Two of length 1 with cosine c
 are sqrt(2 - 2 c) apart at most, so tiles further apart are never
-compared. In a pair of tiles the products of the leading dimensions come first;
-the rest of a product is at most the product of the two suffix norms
-(Cauchy-Schwarz), so a pair whose sum of both is below the threshold stops
-there. What is left is decided by the cosine of the given vectors in double precision.
+compared. A pair of tiles is one matrix product in single precision, over the leading
+dimensions and the norm of the rest: the rest of a product is at most the product of the two
+norms (Cauchy-Schwarz), so a pair whose sum is below the threshold, by more than rounding can
+take, stops there. Where too many pairs are left, the product is made again with twice the
+dimensions. What is left is decided by the cosine of the given vectors in double precision,
+but for products of all dimensions that are above the threshold by more than rounding.
+
+All pairs of tiles in reach are compared, so the work is quadratic where one axis rules
+out little; a task holds two tiles, and of their links only a forest.
 
 Equal vectors are one representative from the start and link among themselves.
 """
@@ -27,13 +32,17 @@ from pyspark.sql import functions as F
 from siegelog.llm.components import components
 from siegelog.llm.storage import ship, stored
 
-# Representatives in a tile, about.
-TILE = 4096
-# Rows of a tile that are multiplied at a time.
-ROWS = 512
-# Leading dimensions are added in steps of this many.
-STEP = 8
-# Rounding of the turned, scaled products; pairs this close below the threshold go on.
+# Representatives in a tile, about, and bytes of their vectors.
+TILE = 16384
+TILE_BYTES = 24 << 20
+# Products that are held at a time.
+CELLS = 1 << 22
+# Leading dimensions of the first product; more while over one pair in FEW is left.
+LEADING = 16
+FEW = 256
+# Pairs that are decided at a time.
+DECIDED = 1 << 16
+# Rounding of the turned, scaled products in double precision.
 MARGIN = 1e-9
 
 
@@ -81,24 +90,45 @@ def _turned(axes):
     return run
 
 
-def _candidates(u: np.ndarray, v: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows whose product may reach the threshold, by leading dimensions and suffix norms."""
-
-    def suffix(x: np.ndarray, k: int) -> np.ndarray:
-        return np.sqrt(np.einsum("ij,ij->i", x[:, k:], x[:, k:]))
-
-    dims = u.shape[1]
-    k = min(STEP, dims)
-    dots = u[:, :k] @ v[:, :k].T
-    i, j = np.nonzero(dots + np.outer(suffix(u, k), suffix(v, k)) >= threshold - MARGIN)
-    sums = dots[i, j]
-    while k < dims and len(i):
-        until = min(k + STEP, dims)
-        sums = sums + np.einsum("ij,ij->i", u[i, k:until], v[j, k:until])
-        k = until
-        open_ = sums + suffix(u, k)[i] * suffix(v, k)[j] >= threshold - MARGIN
-        i, j, sums = i[open_], j[open_], sums[open_]
-    return i, j
+def _margin(dims: int) -> float:
+    """What rounding to single precision can add to or take from a product of vectors of length 1, and more."""
+    return MARGIN + (dims + 8) * 2.0**-23
+
+
+def _shortened(turned: np.ndarray, k: int) -> np.ndarray:
+    """The leading k dimensions and the norm of the others: a product of two such rows is never below that of the whole ones."""
+    rest = turned[:, k:]
+    return np.column_stack([turned[:, :k], np.sqrt(np.einsum("ij,ij->i", rest, rest))]).astype(np.float32)
+
+
+def _candidates(turned: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows a and b of pairs whose product may reach the threshold, and whether it surely does. Each pair once if left is right."""
+    dims = turned.shape[1]
+    margin, own = _margin(dims), left is right
+    k = min(LEADING, dims)
+    u = _shortened(turned[left], k)
+    v = u if own else _shortened(turned[right], k)
+    at = 0
+    while at < len(left):
+        among = right[at:] if own else right
+        rows = left[at : at + max(1, CELLS // len(among))]
+        while True:
+            bound = (u[at : at + len(rows)] @ v[len(right) - len(among) :].T).ravel()
+            hits = np.flatnonzero(bound >= threshold - margin)
+            if k == dims or len(hits) * FEW <= len(bound):
+                break
+            k = min(2 * k, dims)
+            u = _shortened(turned[left], k)
+            v = u if own else _shortened(turned[right], k)
+        for s in range(0, len(hits), DECIDED):
+            hit = hits[s : s + DECIDED]
+            i, j = np.divmod(hit, len(among))
+            sure = bound[hit] >= threshold + margin if k == dims else np.zeros(len(hit), bool)
+            if own:
+                once = i < j
+                i, j, sure = i[once], j[once], sure[once]
+            yield rows[i], among[j], sure
+        at += len(rows)
 
 
 def _scaled(rows: np.ndarray) -> np.ndarray:
@@ -113,26 +143,21 @@ def _compared(axes, threshold: float):
         tile = table.column("tile").to_numpy()
         rep, copies = table.column("rep").to_numpy(), table.column("copies").to_numpy()
         given = _scaled(_matrix(table.column("body")))
-        turned = _unit(given) @ axes.value
         norm = np.sqrt(np.einsum("ij,ij->i", given, given))
-        left, right = np.flatnonzero(tile == low), np.flatnonzero(tile == high)
-        links = np.zeros(len(rep), np.int64)
-        pairs = []
-        for k in range(0, len(left), ROWS):
-            rows = left[k : k + ROWS]
-            i, j = _candidates(turned[rows], turned[right], threshold)
-            a, b = rows[i], right[j]
-            if low == high:
-                a, b = a[a < b], b[a < b]
-            for s in range(0, len(a), 1 << 16):
-                x, y = a[s : s + (1 << 16)], b[s : s + (1 << 16)]
-                cosine = np.einsum("ij,ij->i", given[x], given[y]) / (norm[x] * norm[y])
-                x, y = x[cosine >= threshold], y[cosine >= threshold]
-                np.add.at(links, x, copies[y])
-                np.add.at(links, y, copies[x])
-                pairs.append((x, y))
-        a, b = (np.concatenate(p) for p in zip(*pairs, strict=True)) if pairs else (np.zeros(0, int), np.zeros(0, int))
-        tree = _forest(a, b, len(rep))
+        left = np.flatnonzero(tile == low)
+        right = left if low == high else np.flatnonzero(tile == high)
+        links, label = np.zeros(len(rep), np.int64), np.arange(len(rep))
+        forest = []
+        for x, y, linked in _candidates(_unit(given) @ axes.value, left, right, threshold):
+            open_ = np.flatnonzero(~linked)
+            a, b = x[open_], y[open_]
+            linked[open_] = np.einsum("ij,ij->i", given[a], given[b]) / (norm[a] * norm[b]) >= threshold
+            x, y = x[linked], y[linked]
+            np.add.at(links, x, copies[y])
+            np.add.at(links, y, copies[x])
+            *joined, label = _forest(x, y, label)
+            forest.append(joined)
+        tree = [np.concatenate(p) for p in zip(*forest, strict=True)] if forest else [np.zeros(0, int)] * 2
         some = np.flatnonzero(links)
         out_a = np.concatenate([rep[some], rep[tree[0]]])
         out_b = np.concatenate([np.full(len(some), -1), rep[tree[1]]])
@@ -143,10 +168,9 @@ def _compared(axes, threshold: float):
     return run
 
 
-def _forest(a: np.ndarray, b: np.ndarray, nodes: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that span the components of all links a-b: in rounds, one link from each component to a smaller one."""
-    label = np.arange(nodes)
-    out_a, out_b = [], []
+def _forest(a: np.ndarray, b: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links of a-b that join what ``label`` keeps apart, and the new labels: in rounds, one link from each component to a smaller one."""
+    out_a, out_b = [np.zeros(0, int)], [np.zeros(0, int)]
     while len(a):
         la, lb = label[a], label[b]
         apart = la != lb
@@ -158,14 +182,12 @@ def _forest(a: np.ndarray, b: np.ndarray, nodes: int) -> tuple[np.ndarray, np.nd
         first = order[np.concatenate([[True], high[order][1:] != high[order][:-1]])]
         out_a.append(a[first])
         out_b.append(b[first])
-        parent = np.arange(nodes)
+        parent = np.arange(len(label))
         parent[high[first]] = low[first]
         while (parent[parent] != parent).any():
             parent = parent[parent]
         label = parent[label]
-    if not out_a:
-        return np.zeros(0, int), np.zeros(0, int)
-    return np.concatenate(out_a), np.concatenate(out_b)
+    return np.concatenate(out_a), np.concatenate(out_b), label
 
 
 def near_duplicates(
@@ -237,10 +259,11 @@ def _one_length(classes: DataFrame, threshold: float) -> DataFrame:
     turned = stored(classes.select("rep", "copies", "body").mapInArrow(_turned(axes), "rep long, copies long, body binary, first double"), "turned")
 
     count = turned.count()
-    tiles = max(1, math.ceil(count / TILE))
+    size = max(1, min(TILE, TILE_BYTES // (8 * dims)))
+    tiles = max(1, math.ceil(count / size))
     # Tiles of equal size along the first axis: limits from quantiles, a list as long as the number of tiles.
     limits = sorted(set(turned.approxQuantile("first", [k / tiles for k in range(1, tiles)], 0.1 / tiles))) if tiles > 1 else []
-    dealt, parts = _dealt(turned, limits)
+    dealt, parts = _dealt(turned, limits, size)
     # The last part that one of a part's vectors can reach; beyond it no cosine gets to the threshold.
     reach = math.sqrt(2 - 2 * threshold) + MARGIN
     until = [int(np.searchsorted(limits, x + reach, "right")) for x in limits] + [len(limits)]
@@ -258,7 +281,7 @@ def _one_length(classes: DataFrame, threshold: float) -> DataFrame:
     )
 
 
-def _dealt(turned: DataFrame, limits: list[float]) -> tuple[DataFrame, DataFrame]:
+def _dealt(turned: DataFrame, limits: list[float], size: int) -> tuple[DataFrame, DataFrame]:
     """Vectors with their tile, and the parts between ``limits`` with their first tile and number of tiles.
 
     A part that came out larger than others, as values along the axis may be
@@ -272,7 +295,7 @@ def _dealt(turned: DataFrame, limits: list[float]) -> tuple[DataFrame, DataFrame
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at)], [*batch.schema.names, "part"])
 
     placed = turned.mapInArrow(run, "rep long, copies long, body binary, first double, part int")
-    sizes = placed.groupBy("part").agg(F.ceil(F.count("*") / (2 * TILE)).alias("pieces"))
+    sizes = placed.groupBy("part").agg(F.ceil(F.count("*") / (2 * size)).alias("pieces"))
     every = turned.sparkSession.createDataFrame([(k,) for k in range(len(limits) + 1)], "part int")  # also the empty ones
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = every.join(sizes, "part", "left").select("part", F.coalesce("pieces", F.lit(1)).alias("pieces"))

@@ -3,11 +3,18 @@
 from __future__ import annotations
 
 import datetime as dt
+import os
 import re
+import subprocess
+import sys
+import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tests.llm.data import documents, none, rows
 
@@ -157,6 +164,82 @@ def test_embeddings(spark, monkeypatch, tile):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+def pair_of_tiles(rows, dims, near):
+    """Two tiles of random vectors, the first ``near`` of each close to one centre, as the operator's tasks get them."""
+    pick = np.random.default_rng(5)
+    a = pick.normal(size=(2 * rows, dims))
+    tile = np.arange(2 * rows) // rows
+    close = np.arange(2 * rows) % rows < near
+    a[close] = a[0] + pick.normal(size=(int(close.sum()), dims)) * 0.2
+    a[10], a[rows + 20] = a[-1] * 3, a[-1] * 2
+    bodies = pa.array([x.tobytes() for x in a], pa.binary())
+    columns = [pa.array(np.full(2 * rows, k)) for k in (0, 1)] + [pa.array(tile), pa.array(np.arange(2 * rows) + 7), pa.array(np.arange(2 * rows) % 3 + 1), bodies]
+    return a, pa.table(columns, ["low", "high", "tile", "rep", "copies", "body"])
+
+
+@pytest.mark.parametrize("cells, near, apart", [(1 << 22, 0, False), (1000, 5, False), (1000, 150, False), (1 << 22, 150, True), (7, 20, True)])
+def test_tiles_compared(monkeypatch, cells, near, apart):
+    """Links and components of a pair of tiles are those of all its pairs, however many pairs are held and left by the first product."""
+    monkeypatch.setattr(embeddings, "CELLS", cells)
+    monkeypatch.setattr(embeddings, "DECIDED", 64)
+    a, table = pair_of_tiles(200, 48, near)
+    if apart:  # a tile with itself
+        a, table = a[:200], table.slice(0, 200).set_column(1, "high", pa.array(np.zeros(200, int)))
+    axes = SimpleNamespace(value=np.linalg.qr(np.random.default_rng(6).normal(size=(48, 48)))[0])
+    got = embeddings._compared(axes, 0.9)(table).to_pandas()
+    unit = a / np.sqrt((a * a).sum(1))[:, None]
+    linked = unit @ unit.T >= 0.9
+    linked &= ~np.eye(len(a), dtype=bool) if apart else np.not_equal.outer(np.arange(len(a)) // 200, np.arange(len(a)) // 200)
+    count = linked @ (np.arange(len(a)) % 3 + 1)
+    links = got[~got.edge]
+    assert dict(zip(links.a, links.links)) == {k + 7: n for k, n in enumerate(count) if n}
+    roots = lambda pairs: [min(component(k, pairs)) for k in range(len(a))]
+    edges = got[got.edge]
+    forest = np.zeros_like(linked)
+    forest[edges.a - 7, edges.b - 7] = forest[edges.b - 7, edges.a - 7] = True
+    assert roots(forest) == roots(linked) and len(edges) == len(a) - len(set(roots(linked)))
+    assert not (forest & ~linked).any()
+
+
+def component(k, linked):
+    reach, stack = {k}, [k]
+    while stack:
+        for x in np.flatnonzero(linked[stack.pop()]):
+            if int(x) not in reach:
+                reach.add(int(x))
+                stack.append(int(x))
+    return reach
+
+
+def cost_of_tiles():
+    """CPU seconds of a pair of tiles, and of a plain product of their vectors."""
+    a, table = pair_of_tiles(3000, 64, 0)
+    run = embeddings._compared(SimpleNamespace(value=np.eye(64)), 0.9)
+
+    def seconds(work):
+        start = time.process_time()
+        work()
+        return time.process_time() - start
+
+    run(table)
+    return min(seconds(lambda: run(table)) for _ in range(3)), min(seconds(lambda: a[:3000] @ a[3000:].T) for _ in range(3))
+
+
+def test_cost_of_tiles():
+    """Most pairs cost no more than a few matrix products, and the links of a large family are not held."""
+    code = f"from {__name__} import cost_of_tiles; print(*cost_of_tiles())"
+    one_thread = os.environ | {"OMP_NUM_THREADS": "1", "OPENBLAS_NUM_THREADS": "1", "PYTHONPATH": os.pathsep.join(sys.path)}  # as in Spark's workers
+    tiles, product = map(float, subprocess.run([sys.executable, "-c", code], env=one_thread, check=True, capture_output=True, text=True).stdout.split())
+    assert tiles < 4 * product
+    run = embeddings._compared(SimpleNamespace(value=np.eye(64)), 0.9)
+    a, table = pair_of_tiles(3000, 64, 3000)
+    tracemalloc.start()
+    links = run(table).to_pandas()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert links.links.max() > 5000 and peak < 150e6
+
+
 def test_url_lists(spark):
     day = lambda k: dt.datetime(2024, 1, 1) + dt.timedelta(days=k)
     changes = [
